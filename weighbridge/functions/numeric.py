@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 SPAN_WIDENING = 1e-6
 
 
+def literal_doubles(values: Sequence[float]) -> Column:
+    """A literal array<double>; the optimizer folds it into one constant."""
+    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
+
+
 def clamp01(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x.cast("double")))
 

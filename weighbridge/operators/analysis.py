@@ -8,29 +8,46 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def radix_digits(index: Column, sizes: Sequence[int]) -> list[Column]:
-    """Mixed-radix digits of an index, the last variable changing fastest."""
-    digits, step = [], 1
+def radix_digits(index: Column, sizes: Sequence[int | Column]) -> list[Column]:
+    """Mixed-radix digits of an index, the last variable changing fastest.
+
+    Sizes are numbers, or columns where every row has its own domains.
+    """
+    digits, rest = [], index.cast("long")
     for n in reversed(sizes):
-        digits.append(F.expr("0") if n == 1 else F.pmod(F.floor(index / F.lit(step)).cast("long"), F.lit(n)).cast("int"))
-        step *= n
+        n = n.cast("long") if isinstance(n, Column) else F.lit(n).cast("long")
+        digits.append((rest % n).cast("int"))
+        rest = F.floor((rest - rest % n) / n).cast("long")
     return digits[::-1]
 
 
-def radix_index(digits: Sequence[Column], sizes: Sequence[int]) -> Column:
+def radix_index(digits: Sequence[Column], sizes: Sequence[int | Column]) -> Column:
     index = F.lit(0).cast("long")
     for d, n in zip(digits, sizes):
         index = index * n + d
     return index
 
 
+def explode_combinations(df: DataFrame, names: Sequence[str], sizes: Sequence[Column]) -> DataFrame:
+    """Every combination of each row's own category domains, as rows (..., aid, names...)."""
+    total = F.lit(1).cast("long")
+    for n in sizes:
+        total = total * n
+    rows = df.select("*", F.explode(F.sequence(F.lit(0).cast("long"), total - 1)).alias("aid"))
+    return rows.select("*", *[d.alias(n) for n, d in zip(names, radix_digits(F.col("aid"), sizes))])
+
+
 def enumerate_assignments(spark: SparkSession, names: Sequence[str], sizes: Sequence[int]) -> DataFrame:
     """Every combination of the category domains as rows (aid, one column per variable)."""
     total = 1
     for n in sizes:
         total *= n
     base = spark.range(total).withColumnRenamed("id", "aid")
-    return base.select("aid", *[d.alias(n) for n, d in zip(names, radix_digits(F.col("aid"), sizes))])
+    steps, digits = 1, []
+    for n in reversed(sizes):
+        digits.append((F.expr(f"aid div {steps}") % n).cast("int"))
+        steps *= n
+    return base.select("aid", *[d.alias(n) for n, d in zip(names, digits[::-1])])
 
 
 def analysis_aggregates(labels: int, label="label", dec="decisiveness", score="score") -> list[Column]:

@@ -112,3 +112,38 @@ def bucketize(df: DataFrame, buckets: int, seed, ids: Sequence[str]) -> DataFram
         F.when(F.col("position") < buckets, F.col("position"))
         .otherwise(F.floor(u01(seed, F.lit("bucket"), *[F.col(i) for i in ids]) * buckets)).cast("int"),
     ).drop("position")
+
+
+def sample_in_span(lo: Column, hi: Column, seed, *parts: Column) -> Column:
+    """Uniform value inside a span."""
+    return lo + u01(seed, *parts) * (hi - lo)
+
+
+def running_scores(scores: Column) -> Column:
+    """Cumulative positive scores over the labels of one row."""
+    return F.transform(
+        F.sequence(F.lit(1), F.size(scores)),
+        lambda i: F.aggregate(F.slice(scores, F.lit(1), i), F.lit(0.0), lambda a, x: a + F.greatest(x, F.lit(0.0))))
+
+
+def oracle_samples(df: DataFrame, k: int, seed, id_: str) -> DataFrame:
+    """k rows by a fixed seed, numbered in id order; asking for more rows than there are is an error."""
+    total = df.count()
+    if k > total:
+        raise ValueError(f"Requested more oracle samples than available in the dataset: requested={k}, available={total}")
+    from pyspark.sql import Window
+    return sample_rows(df, k, seed, [id_]).withColumn("place", F.row_number().over(Window.orderBy(id_)).cast("long"))
+
+
+def example_assignment(domains: DataFrame, seed, id_: str) -> DataFrame:
+    """One random category per (id, var) with n categories, and the line that describes it."""
+    return domains.select(
+        id_, "var", draw_index(F.col("n"), seed, F.col(id_), F.col("var")).cast("int").alias("cat"),
+        F.concat(F.lit("- "), F.col("var"), F.lit(": num categories = "), F.col("n").cast("string")).alias("line"))
+
+
+def property_hints(names: DataFrame, keys: Sequence[str], value: str, k: int, seed) -> DataFrame:
+    """Up to k random values per key. A small k lets Spark cut every group before the shuffle."""
+    from pyspark.sql import Window
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(md5_key(seed, F.col(value)), value))
+    return names.withColumn("__r", place).where(F.col("__r") <= k).select(*keys, value)

@@ -7,17 +7,18 @@ shuffle, no join) and *long* for tables of models (joins on parameters, then an
 from __future__ import annotations
 
 from collections.abc import Mapping
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import clamp01, interpolated_weight, span_index, span_midpoint
+from ..functions.numeric import clamp01, interpolated_weight, literal_doubles, span_index, span_midpoint
 from .model import Model
 
 
 def _pick(values: list[float], index: Column) -> Column:
     """Literal table lookup by a category index; an absent or unknown category gives null."""
-    return F.get(F.array(*[F.lit(float(v)) for v in values]), index)
+    return F.get(literal_doubles(values), index)
 
 
 def span_bounds(model: Model, var: str, cat: Column) -> tuple[Column, Column]:
@@ -86,71 +87,142 @@ def decisiveness(scores: Column) -> Column:
     return F.when(F.size(scores) == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), margin)))
 
 
+BLOCK_LIMIT = 4096
+
+
+def _blocks(model: Model, used: set[str]) -> tuple[list[list[str]], list[int]]:
+    """Groups of variables small enough for one lookup table, and the rules left outside them.
+
+    Variables tied by a rule share a group while its combinations stay under BLOCK_LIMIT.
+    """
+    size = {v.name: v.categories + 1 for v in model.variables}  # one slot more for "absent"
+    group = {v.name: [v.name] for v in model.variables if v.name in used}
+
+    def combos(names) -> int:
+        total = 1
+        for n in names:
+            total *= size[n]
+        return total
+
+    def join(a, b) -> bool:
+        if group[a] is group[b]:
+            return True
+        both = group[a] + group[b]
+        if combos(both) > BLOCK_LIMIT:
+            return False
+        for n in both:
+            group[n] = both
+        return True
+
+    apart = [i for i, r in enumerate(model.rules) if r.var_a in used and r.var_b in used and not join(r.var_a, r.var_b)]
+    plain = [v.name for v in model.variables if v.name in used and not v.numerical]
+    for a, b in zip(plain, plain[1:]):
+        join(a, b)
+    seen, blocks = set(), []
+    for names in group.values():
+        if id(names) not in seen:
+            seen.add(id(names))
+            blocks.append(sorted(names, key=[v.name for v in model.variables].index))
+    return blocks, apart
+
+
+def _block_tables(model: Model, names: list[str], rules: list[int]) -> list[tuple[list[float], list[float]]]:
+    """Per label the weighted sum and weight sum of every combination of a block.
+
+    Equally named rules add their weights and the last matching one gives the score.
+    """
+    variables = [model.variable(n) for n in names]
+    cells = list(product(*[range(v.categories + 1) for v in variables]))
+    out = []
+    for label in range(model.labels):
+        ws, w = [], []
+        for combo in cells:
+            at = {n: c for n, c, v in zip(names, combo, variables) if c < v.categories}
+            entities: dict[str, tuple[float, float]] = {}
+            for v in variables:
+                if v.name in at and not v.numerical:
+                    entities[v.name] = (v.weights[label][at[v.name]], v.scores[label][at[v.name]])
+            for i in rules:
+                r = model.rules[i]
+                if at.get(r.var_a) == r.val_a and at.get(r.var_b) == r.val_b:
+                    entities[r.name] = (entities.get(r.name, (0.0, 0.0))[0] + r.weight, r.score)
+            ws.append(sum(a * b for a, b in entities.values()))
+            w.append(sum(a for a, _ in entities.values()))
+        out.append((ws, w))
+    return out
+
+
 def score_wide(
     df: DataFrame, model: Model, cats: Mapping[str, Column], values: Mapping[str, Column] | None = None
 ) -> DataFrame:
     """Add weighted_sums, weight_sums, scores (arrays by label), label, score, decisiveness.
 
-    The work is staged over projections (positions, then per-label sums, then ratios), so each
-    shared piece is one local variable of the generated code instead of a repeated expression.
+    Categories and rules are folded into lookup tables over blocks of variables, so a row costs
+    one index and two lookups per block and label; numerical variables add their interpolated
+    weight. The work is staged over projections, which keeps the generated code small enough
+    to be compiled. Models whose names collide across blocks go through the general expression.
     """
     values = values or {}
     used = [v for v in model.variables if v.name in cats]
-    rules = [r for r in model.rules if r.var_a in cats and r.var_b in cats]
+    names = {v.name for v in used}
+    entity_names = [v.name for v in used] + [r.name for r in model.rules]
+    labels = range(model.labels)
+    if len(set(entity_names)) < len(entity_names):
+        weighted, weights = score_parts(model, cats, values)
+        sums = df.select("*", *[c.alias(f"__ws_{i}") for i, c in enumerate(weighted)],
+                         *[c.alias(f"__sw_{i}") for i, c in enumerate(weights)])
+        return _finish(df, sums, model.labels)
+
+    blocks, apart = _blocks(model, names)
     place = df.select("*", *[cats[v.name].cast("int").alias(f"__c_{v.name}") for v in used])
-    position = []
+    staged = []
+    for b, block in enumerate(blocks):
+        index = F.lit(0)
+        for n in block:
+            size, cat = model.variable(n).categories, F.col(f"__c_{n}")
+            index = index * (size + 1) + F.when((cat >= 0) & (cat < size), cat).otherwise(F.lit(size))
+        staged.append(index.alias(f"__b_{b}"))
     for v in used:
         if v.numerical:
             cat = F.col(f"__c_{v.name}")
-            mids = F.get(F.array(*[F.lit((lo + hi) / 2) for lo, hi in v.spans]), cat)
+            mids = F.get(literal_doubles([(lo + hi) / 2 for lo, hi in v.spans]), cat)
             x = F.coalesce(values[v.name], mids) if v.name in values else mids
-            position.append(F.when(cat.isNotNull(), clamp01(x)).alias(f"__t_{v.name}"))
-    hits = [
-        F.coalesce((F.col(f"__c_{r.var_a}") == r.val_a) & (F.col(f"__c_{r.var_b}") == r.val_b), F.lit(False)).alias(f"__h_{i}")
-        for i, r in enumerate(rules)
-    ]
-    staged = place.select("*", *position, *hits)
+            staged.append(F.when(cat.isNotNull(), clamp01(x)).alias(f"__t_{v.name}"))
+    hits = {i: F.coalesce((F.col(f"__c_{model.rules[i].var_a}") == model.rules[i].val_a)
+                          & (F.col(f"__c_{model.rules[i].var_b}") == model.rules[i].val_b), F.lit(False)) for i in apart}
+    staged += [h.alias(f"__h_{i}") for i, h in hits.items()]
+    placed = place.select("*", *staged)
 
-    by_name: dict[str, list[int]] = {}
-    for i, r in enumerate(rules):
-        by_name.setdefault(r.name, []).append(i)
     zero = F.lit(0.0)
-    numeric_weights, weighted, weights = [], [], []
-    for label in range(model.labels):
+    tables = []
+    for block in blocks:
+        inside = [i for i, r in enumerate(model.rules) if i not in apart and r.var_a in block and r.var_b in block]
+        tables.append(_block_tables(model, block, inside))
+    cells, weighted, weights = [], [], []
+    for label in labels:
         ws, w = zero, zero
+        for b, table in enumerate(tables):
+            ws = ws + F.coalesce(F.get(literal_doubles(table[label][0]), F.col(f"__b_{b}")), zero)
+            w = w + F.coalesce(F.get(literal_doubles(table[label][1]), F.col(f"__b_{b}")), zero)
         for v in used:
             if v.numerical:
                 t = F.col(f"__t_{v.name}")
                 t = t if v.rising[label] else F.lit(1.0) - t
                 cell = clamp01(F.lit(float(v.low[label])) + t * F.lit(float(v.high[label] - v.low[label])))
-                numeric_weights.append(F.coalesce(cell, zero).alias(f"__w_{label}_{v.name}"))
-                vw, vs = F.col(f"__w_{label}_{v.name}"), F.lit(float(v.score[label]))
-                vws = vw * vs
-            else:
-                cat, n = F.col(f"__c_{v.name}"), range(v.categories)
-                lookup = lambda cells: F.coalesce(F.get(F.array(*[F.lit(float(x)) for x in cells]), cat), zero)
-                vw = lookup([v.weights[label][c] for c in n])
-                vs = lookup([v.scores[label][c] for c in n])
-                vws = lookup([v.weights[label][c] * v.scores[label][c] for c in n])
-            if v.name in by_name:  # a rule that shares the variable's name merges into its entity
-                extra, last = _merged_rule(rules, by_name[v.name])
-                vw = vw + extra
-                vws = vw * F.coalesce(last, vs)
-            ws, w = ws + vws, w + vw
-        for name, members in by_name.items():
-            if any(v.name == name for v in used):
-                continue
-            if len(members) == 1:
-                i, r = members[0], rules[members[0]]
-                ws = ws + F.when(F.col(f"__h_{i}"), F.lit(r.weight * r.score)).otherwise(zero)
-                w = w + F.when(F.col(f"__h_{i}"), F.lit(float(r.weight))).otherwise(zero)
-            else:
-                extra, last = _merged_rule(rules, members)
-                ws, w = ws + extra * F.coalesce(last, zero), w + extra
+                cells.append(F.when(t.isNotNull(), cell).otherwise(zero).alias(f"__w_{label}_{v.name}"))
+                vw = F.col(f"__w_{label}_{v.name}")
+                ws, w = ws + vw * F.lit(float(v.score[label])), w + vw
+        for i in apart:
+            r = model.rules[i]
+            ws = ws + F.when(F.col(f"__h_{i}"), F.lit(r.weight * r.score)).otherwise(zero)
+            w = w + F.when(F.col(f"__h_{i}"), F.lit(float(r.weight))).otherwise(zero)
         weighted.append(ws.alias(f"__ws_{label}"))
         weights.append(w.alias(f"__sw_{label}"))
-    labels = range(model.labels)
-    sums = staged.select("*", *numeric_weights).select(*df.columns, *weighted, *weights)
+    return _finish(df, placed.select("*", *cells).select(*df.columns, *weighted, *weights), model.labels)
+
+
+def _finish(df: DataFrame, sums: DataFrame, n: int) -> DataFrame:
+    labels = range(n)
     ratios = sums.select("*", *[ratio(F.col(f"__ws_{i}"), F.col(f"__sw_{i}")).alias(f"__s_{i}") for i in labels])
     arrays = ratios.select(
         *df.columns,
@@ -164,15 +236,6 @@ def score_wide(
         decisiveness(F.col("scores")).alias("decisiveness"))
 
 
-def _merged_rule(rules, members) -> tuple[Column, Column]:
-    """Weights of equally named rules add up; the last matching one gives the score."""
-    extra = F.lit(0.0)
-    for i in members:
-        extra = extra + F.when(F.col(f"__h_{i}"), F.lit(float(rules[i].weight))).otherwise(F.lit(0.0))
-    last = F.coalesce(*[F.when(F.col(f"__h_{i}"), F.lit(float(rules[i].score))) for i in reversed(members)])
-    return extra, last
-
-
 def contributions(
     df: DataFrame, model: Model, cats: Mapping[str, Column], values: Mapping[str, Column] | None = None
 ) -> DataFrame:

@@ -273,3 +273,53 @@ def random_rules(ids: DataFrame, sizes: list[int], count: int, seed, attempts: i
 
     return ids.select(cid.alias("cand"), proposals.alias("__p")).select(
         "cand", F.aggregate("__p", empty, step).alias("rules"))
+
+
+def random_search(scored: DataFrame) -> DataFrame:
+    """The first passing candidate, else the best, with the number of evaluations it took."""
+    total = scored.agg(F.count(F.lit(1)).alias("n"))
+    best = best_candidate(scored)
+    return best.withColumn("evaluations", F.when(F.col("passes"), F.col("cand") + 1).otherwise(total.select("n").scalar()))
+
+
+PARTS = ("w", "s", "falling", "rw", "rs", "ra")
+
+
+def to_long(cands: DataFrame) -> DataFrame:
+    """Parameters as rows (cand, part, idx, value)."""
+    parts = F.array(*[F.struct(F.lit(p).alias("part"), F.col(p).cast("array<double>").alias("v")) for p in PARTS])
+    return cands.select("cand", F.explode(parts).alias("p")).select(
+        "cand", F.col("p.part").alias("part"), F.posexplode("p.v").alias("idx", "value"))
+
+
+def from_long(long: DataFrame, shape: Shape) -> DataFrame:
+    """Rows back to one record per candidate; the size of a record is fixed by the shape."""
+    def gather(part: str, kind: str) -> Column:
+        cells = F.array_sort(F.collect_list(F.when(F.col("part") == part, F.struct("idx", "value"))))
+        return F.transform(cells, lambda c: c["value"]).cast(f"array<{kind}>").alias(part)
+
+    kinds = {"falling": "boolean", "ra": "int"}
+    return long.groupBy("cand").agg(*[gather(p, kinds.get(p, "double")) for p in PARTS])
+
+
+def summary_text(shape: Shape) -> Column:
+    """Text listing of a candidate's variables and rules."""
+    lines = [F.lit(f"Output labels: {shape.labels}"), F.lit(f"Variables: {len(shape.sizes)}")]
+    for v, n in enumerate(shape.sizes):
+        if shape.numerical[v]:
+            spans = ", ".join(f"[{lo:.2f}, {hi:.2f}]" for lo, hi in equal_span_bounds(n))
+            lines.append(F.lit(f"  - V{v}: type=numerical spans={spans}"))
+        else:
+            lines.append(F.lit(f"  - V{v}: type=categorical categories={n}"))
+    lines.append(F.lit(f"Rules: {len(shape.rules)}"))
+
+    def condition(var: int, value: Column) -> Column:
+        if shape.numerical[var]:
+            texts = F.array(*[F.lit(f"V{var} in [{lo:.2f}, {hi:.2f}]") for lo, hi in equal_span_bounds(shape.sizes[var])])
+            return F.get(texts, value)
+        return F.concat(F.lit(f"V{var}=="), value.cast("string"))
+
+    for r, (a, _, b, vb) in enumerate(shape.rules):
+        lines.append(F.concat(F.lit(f"  - R_{r}: IF "), condition(a, F.col("ra")[r]), F.lit(" AND "), condition(b, F.lit(vb)),
+                              F.format_string(" -> (w=%.3f, s=%.3f)", F.col("rw")[r], F.col("rs")[r])))
+    return F.concat_ws("\n", *lines)
