@@ -223,6 +223,10 @@ def score_wide(
 
 def _finish(df: DataFrame, sums: DataFrame, n: int) -> DataFrame:
     labels = range(n)
+    # The generator is a barrier: without it a filter or join on the label is pushed down
+    # through the projections and drags a copy of the whole score expression along each time.
+    parts = [F.col(f"__{k}_{i}") for k in ("ws", "sw") for i in labels]
+    sums = sums.select(*df.columns, F.inline(F.array(F.struct(*parts))))
     ratios = sums.select("*", *[ratio(F.col(f"__ws_{i}"), F.col(f"__sw_{i}")).alias(f"__s_{i}") for i in labels])
     arrays = ratios.select(
         *df.columns,
