@@ -1,6 +1,6 @@
 """The registered queries: each operator applied to the given tables, with its check SQL."""
 
-from . import evaluation_queries, parsing_queries, sampling_queries, scoring_queries, text_queries  # noqa: F401
+from . import catalog_queries, evaluation_queries, parsing_queries, sampling_queries, scoring_queries, text_queries  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
