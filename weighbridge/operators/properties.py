@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.seeded import u01
 from .model import Model
-from .scoring import score_wide
+from .scoring import SCORED, score_wide
 
 
 def gate(value: Column, label: Column, support: Column, empty_means_all: bool = False) -> Column:
@@ -27,9 +27,9 @@ def categorical_property(df: DataFrame, model: Model, cats: Mapping[str, Column]
                          values: Mapping[str, Column] | None, name: str) -> DataFrame:
     """Add ``name`` (label) and ``name_score`` from the property's own model."""
     keep = df.columns
-    renamed = df.withColumnsRenamed({c: f"__in_{c}" for c in ("label", "score") if c in keep})
-    scored = score_wide(renamed, model, cats, values)
-    return scored.select(*[F.col(f"__in_{c}").alias(c) if c in ("label", "score") else F.col(c) for c in keep],
+    made = [c for c in SCORED if c in keep]
+    scored = score_wide(df.withColumnsRenamed({c: f"__in_{c}" for c in made}), model, cats, values)
+    return scored.select(*[F.col(f"__in_{c}").alias(c) if c in made else F.col(c) for c in keep],
                          F.col("label").alias(name), F.col("score").alias(f"{name}_score"))
 
 

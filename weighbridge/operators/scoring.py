@@ -75,6 +75,15 @@ def ratio(weighted: Column, weight: Column) -> Column:
     return F.when(weight > 0, weighted / weight).otherwise(F.lit(0.0))
 
 
+def barrier(df: DataFrame, keep, costly) -> DataFrame:
+    """The same rows, with the costly columns computed once and for all.
+
+    Without the generator a filter or join on such a column is pushed down through the
+    projections and drags a copy of the whole expression along each time.
+    """
+    return df.select(*keep, F.inline(F.array(F.struct(*costly))))
+
+
 def argmax_label(scores: Column) -> Column:
     """Position of the largest score; ties go to the smallest label."""
     return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
@@ -88,6 +97,7 @@ def decisiveness(scores: Column) -> Column:
 
 
 BLOCK_LIMIT = 4096
+SCORED = ["weighted_sums", "weight_sums", "scores", "label", "score", "decisiveness"]
 
 
 def _blocks(model: Model, used: set[str]) -> tuple[list[list[str]], list[int]]:
@@ -223,10 +233,7 @@ def score_wide(
 
 def _finish(df: DataFrame, sums: DataFrame, n: int) -> DataFrame:
     labels = range(n)
-    # The generator is a barrier: without it a filter or join on the label is pushed down
-    # through the projections and drags a copy of the whole score expression along each time.
-    parts = [F.col(f"__{k}_{i}") for k in ("ws", "sw") for i in labels]
-    sums = sums.select(*df.columns, F.inline(F.array(F.struct(*parts))))
+    sums = barrier(sums, df.columns, [f"__{k}_{i}" for k in ("ws", "sw") for i in labels])
     ratios = sums.select("*", *[ratio(F.col(f"__ws_{i}"), F.col(f"__sw_{i}")).alias(f"__s_{i}") for i in labels])
     arrays = ratios.select(
         *df.columns,

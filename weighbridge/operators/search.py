@@ -323,3 +323,14 @@ def summary_text(shape: Shape) -> Column:
         lines.append(F.concat(F.lit(f"  - R_{r}: IF "), condition(a, F.col("ra")[r]), F.lit(" AND "), condition(b, F.lit(vb)),
                               F.format_string(" -> (w=%.3f, s=%.3f)", F.col("rw")[r], F.col("rs")[r])))
     return F.concat_ws("\n", *lines)
+
+
+def property_models(ids: DataFrame, shape: Shape, categories: int, labels: int, seed, name: str, id_: str = "cand") -> DataFrame:
+    """A fresh model per candidate for a categorical property: the candidate's shape with its own
+    parameters and ``categories`` labels, plus the main labels it applies to (at least one)."""
+    own = Shape(categories, shape.sizes, shape.numerical, shape.rules)
+    models = random_population(ids, own, f"{seed}-{name}", id_)
+    cid = F.col("cand")
+    on = F.filter(F.sequence(F.lit(0), F.lit(labels - 1)), lambda i: u01(seed, F.lit("support"), cid, i) < 0.5)
+    guard = F.array(draw_index(labels, seed, F.lit("guard"), cid).cast("int"))
+    return models.withColumn("support", F.when(F.size(on) == 0, guard).otherwise(on))

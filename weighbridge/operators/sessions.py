@@ -19,3 +19,172 @@ def latest_user_message(df: DataFrame, keys: Sequence[str], turn: str, role: str
     user = F.col(role) == "user"
     latest = F.max_by(F.when(user, F.col(text)), F.when(user, F.col(turn)))
     return df.groupBy(*keys).agg(F.coalesce(latest, F.lit("")).alias(name))
+
+
+# fixed values: cost of a tool call by tool name; any other tool costs 1
+TOOL_COSTS = {"run_experiment": 1, "run_textual_experiment": 1, "evaluate_theory": 5,
+              "derive_numerical_regression": 1, "derive_categorical_logic": 1}
+
+
+def tool_cost(name: Column) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in TOOL_COSTS.items() for x in kv]), name), F.lit(1))
+
+
+def budget_ledger(calls: DataFrame, keys: Sequence[str], pos: str, cost: str, runnable: str, budget: str,
+                  costs: Sequence[int], rows: int = 100_000) -> DataFrame:
+    """Charge calls in order against a budget per session; add ``outcome``, ``charged`` and ``left``.
+
+    A call that is not runnable is free; one dearer than what is left is rejected and costs
+    nothing; a null budget is unlimited. ``costs`` lists the positive costs that occur.
+
+    The sequential rule is split by cost: as long as nothing was rejected, accepted costs are a
+    running sum; the first rejection rules out the dearest cost for good, so the next stage
+    repeats the sum over the cheaper calls that follow, against what was left. There are as
+    many running sums as distinct costs, whatever the length of a session.
+    """
+    dear_first = sorted(set(costs), reverse=True)
+    chunk = position_chunk(F.col(pos), rows)
+    df = calls.withColumns({"__left_0": F.col(budget).cast("long"), "__open_0": F.col(runnable) & (F.col(cost) > 0)})
+    for k, limit in enumerate(dear_first):
+        member = F.col(f"__open_{k}") & (F.col(cost) <= limit)
+        aggs = {f"__cum_{k}": ("sum", F.when(member, F.col(cost)).otherwise(0).cast("long"))}
+        if k:
+            aggs[f"__used_{k}"] = ("max", F.when(F.col(f"__ok_{k - 1}"), F.col(f"__cum_{k - 1}")).otherwise(0).cast("long"))
+        df = running(df, keys, [pos], chunk, aggs)
+        if k:
+            df = df.withColumn(f"__left_{k}", F.col(f"__left_{k - 1}") - F.col(f"__used_{k}"))
+        within = F.col(f"__left_{k}").isNull() | (F.col(f"__cum_{k}") <= F.col(f"__left_{k}"))
+        df = df.withColumns({f"__within_{k}": within, f"__ok_{k}": member & within, f"__open_{k + 1}": F.col(f"__open_{k}") & ~within})
+    last = len(dear_first) - 1
+    if dear_first[-1] == 1:
+        after = F.lit(0).cast("long")  # a rejected call of cost 1 means nothing is left
+    else:
+        df = running(df, keys, [pos], chunk, {"__end": ("max", F.when(F.col(f"__ok_{last}"), F.col(f"__cum_{last}")).otherwise(0).cast("long"))})
+        after = F.col(f"__left_{last}") - F.col("__end")
+    left, taken = after, F.lit(False)
+    for k in range(last, -1, -1):
+        left = F.when(F.col(f"__within_{k}"), F.col(f"__left_{k}") - F.col(f"__cum_{k}")).otherwise(left)
+        taken = taken | F.col(f"__ok_{k}")
+    free = ~F.col(runnable) | (F.col(cost) <= 0)
+    return df.select(*calls.columns, F.when(free, "free").when(taken, "charged").otherwise("rejected").alias("outcome"),
+                     F.when(taken, F.col(cost)).otherwise(0).cast("long").alias("charged"), left.alias("left"))
+
+
+def experiment_index(experiments: DataFrame, keys: Sequence[str], pos: str) -> DataFrame:
+    """Running experiment number per session."""
+    return running(experiments, keys, [pos], position_chunk(F.col(pos)), {"experiment_index": ("sum", F.lit(1).cast("long"))})
+
+
+def submission_gate(rows: DataFrame, keys: Sequence[str], pos: str, is_experiment: Column, minimum: int) -> DataFrame:
+    """For every row: experiments done so far, how many are missing, and whether a theory is accepted."""
+    counted = running(rows, keys, [pos], position_chunk(F.col(pos)), {"completed": ("sum", is_experiment.cast("long"))})
+    missing = F.greatest(F.lit(0).cast("long"), F.lit(minimum) - F.col("completed"))
+    return counted.withColumn("remaining", missing).withColumn("accepted", missing == 0)
+
+
+def turn_status(turns: DataFrame, turn: str, max_turns: int, left: Column) -> DataFrame:
+    """Turns left, final-turn flag and the status line of every turn (0-based turn numbers)."""
+    remaining = F.lit(max_turns) - F.col(turn)
+    line = F.concat(F.lit("[Session status] Turns left: "), remaining.cast("string"), F.lit("; Experiments left: "),
+                    F.when(left.isNull(), F.lit("unlimited")).otherwise(F.greatest(left, F.lit(0)).cast("string")), F.lit("."))
+    last = (" This is the final turn; your answer to this message will be interpreted as the final theory.")
+    return turns.withColumns({"turns_left": remaining, "final_turn": remaining == 1,
+                              "status": F.concat(line, F.when(remaining == 1, F.lit(last)).otherwise(F.lit("")))})
+
+
+def first_seen_ids(shared: DataFrame, keys: Sequence[str], order: Sequence[str], id_: str) -> DataFrame:
+    """First occurrence of every shared id per session."""
+    return shared.groupBy(*keys, id_).agg(F.min(F.struct(*order)).alias("f")).select(*keys, id_, "f.*")
+
+
+def session_termination(turns: DataFrame, keys: Sequence[str], turn: str, error: Column, has_calls: Column,
+                        submitted: Column, max_turns: int, end_without_calls: bool = True, max_errors: int = 3) -> DataFrame:
+    """Why each session ended, and at which turn.
+
+    An error turn (an error text and no calls) ends the session only beyond ``max_errors``.
+    """
+    counted = running(turns.withColumn("__e", error & ~has_calls), keys, [turn], position_chunk(F.col(turn)),
+                      {"__errors": ("sum", F.col("__e").cast("long"))})
+    quiet = ~has_calls & ~F.col("__e")
+    reason = F.when(F.col("__e") & (F.col("__errors") > max_errors), "llm_error").when(
+        quiet & F.lit(end_without_calls), "no_tool_calls").when(has_calls & submitted, "theory_submitted")
+    inside = F.when(F.col(turn) < max_turns, reason)
+    return counted.groupBy(*keys).agg(
+        F.coalesce(F.min_by(inside, F.when(inside.isNotNull(), F.col(turn))), F.lit("max_turns_reached")).alias("reason"),
+        F.min(F.when(inside.isNotNull(), F.col(turn))).alias("end_turn"))
+
+
+def session_counts(messages: DataFrame, keys: Sequence[str], role: str, calls: Column, max_turns: int) -> DataFrame:
+    """Assistant turns (capped) and tool calls per session."""
+    return messages.groupBy(*keys).agg(F.least(F.lit(max_turns), F.count_if(F.col(role) == "assistant")).cast("long").alias("num_turns"),
+                                       F.coalesce(F.sum(calls), F.lit(0)).cast("long").alias("num_tool_calls"))
+
+
+def tool_call_pairing(calls: DataFrame, responses: DataFrame, keys: Sequence[str], call_id: str) -> DataFrame:
+    """Responses with the tool name of their call; without a call the name is null and a warning is set."""
+    names = calls.groupBy(*keys, call_id).agg(F.max_by("name", "pos").alias("name"))
+    j = responses.join(names, [*keys, call_id], "left")
+    return j.withColumn("warning", F.when(F.col("name").isNull(), F.concat(
+        F.lit("Could not find function name for tool_call_id "), F.col(call_id).cast("string"))))
+
+
+def shared_samples(shared: DataFrame, samples: DataFrame, id_: str) -> DataFrame:
+    """Shared ids with their sample rows; ids without a sample and unlabelled samples drop out."""
+    return shared.join(samples.where(F.col("label").isNotNull()), id_)
+
+
+def fetch_sample_text(requests: DataFrame, samples: DataFrame, id_: str) -> DataFrame:
+    """Text of the requested sample, or the reason why there is none."""
+    total = samples.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
+    j = requests.join(samples.select(F.col(id_).alias("__id"), "text"), F.col(id_) == F.col("__id"), "left")
+    status = (F.when(F.col(id_).isNull() | (F.col(id_) < 0), "invalid").when(F.col("__id").isNull(), "unknown")
+              .when(F.length(F.coalesce("text", F.lit(""))) == 0, "no_text").otherwise("text"))
+    reply = (F.when(status == "invalid", F.lit("Invalid sample_id. Please provide a non-negative integer."))
+             .when(status == "unknown", F.concat(F.lit("Unknown sample_id. Please choose an ID from the reference samples (0-"), (total - 1).cast("string"), F.lit(").")))
+             .when(status == "no_text", F.lit("No textual description is available for this sample. You may rely on the assignment/label information."))
+             .otherwise(F.col("text")))
+    return j.select(*requests.columns, status.alias("status"), reply.alias("reply"))
+
+
+def experiment_totals(sources: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
+    """Experiments counted over all combined sources (keys..., n)."""
+    both = sources[0]
+    for s in sources[1:]:
+        both = both.unionByName(s)
+    return both.groupBy(*keys).agg(F.sum("n").cast("long").alias("experiments"))
+
+
+def theory_history(sources: Sequence[DataFrame], keys: Sequence[str], pos: str) -> DataFrame:
+    """Evaluated theories of all sources, numbered per session in order."""
+    both = sources[0]
+    for s in sources[1:]:
+        both = both.unionByName(s)
+    return running(both, keys, [pos], position_chunk(F.col(pos)), {"evaluation": ("sum", F.lit(1).cast("long"))})
+
+
+RECONNECT_NOTICE = "You have reconnected. Your session is now synced with the latest status updates."
+
+
+def status_delivery(events: DataFrame, keys: Sequence[str], pos: str, kind: str, grace: int, rows: int = 100_000) -> DataFrame:
+    """What happens to every event of a client: kind is connect, disconnect, message or turn.
+
+    A message is delivered at once while connected, held while grace turns are left, dropped
+    otherwise; using up the grace drops everything held; a reconnect delivers a notice and then
+    the held messages. Adds ``outcome`` and ``delivered_at``.
+    """
+    k, p = F.col(kind), F.col(pos)
+    link = k.isin("connect", "disconnect")
+    chunk = position_chunk(p, rows)
+    one = running(events, keys, [pos], chunk, {"__turns": ("sum", (k == "turn").cast("long"))})
+    # __seg is the latest connection event before the row with the turns counted until then
+    two = running(one, keys, [pos], chunk, {"__seg": ("max", F.when(link, F.struct(p.alias("p"), k.alias("k"), F.col("__turns").alias("t"))))}, before_row=True)
+    offline = F.coalesce(F.col("__seg.k") == "disconnect", F.lit(False))
+    used = F.col("__turns") - F.col("__seg.t")
+    two = two.withColumns({"__off": offline, "__clear": offline & (k == "turn") & (used == grace), "__held": offline & (k == "message") & (used < grace)})
+    back = running(two, keys, [F.col(pos).desc()], -chunk, {
+        "__connect": ("min", F.when(k == "connect", p)), "__cleared": ("min", F.when(F.col("__clear"), p))}, before_row=True)
+    kept = F.col("__held") & F.col("__connect").isNotNull() & (F.col("__cleared").isNull() | (F.col("__cleared") > F.col("__connect")))
+    outcome = (F.when(k == "message", F.when(~F.col("__off"), "delivered").when(kept, "held").otherwise("dropped"))
+               .when((k == "connect") & F.col("__off"), "notice").otherwise("none"))
+    at = F.when(outcome.isin("delivered", "notice"), p).when(kept, F.col("__connect"))
+    return back.select(*events.columns, outcome.alias("outcome"), at.alias("delivered_at"))

@@ -1,6 +1,8 @@
 """The registered queries: each operator applied to the given tables, with its check SQL."""
 
-from . import catalog_queries, evaluation_queries, parsing_queries, sampling_queries, scoring_queries, text_queries  # noqa: F401
+from . import (  # noqa: F401
+    catalog_queries, evaluation_queries, parsing_queries, sampling_queries, scoring_queries, session_queries, text_queries,
+)
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
