@@ -95,9 +95,9 @@ def normalize_assignment(text: Column) -> Column:
     """
     def number(v: Column) -> Column:
         kind = F.schema_of_variant(v)
-        s = F.try_variant_get(v, "$", "string")
-        return (F.when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("int"))
-                .when(kind == "STRING", F.when(F.trim(s).rlike("^[+-]?[0-9]+$"), F.trim(s).try_cast("int")))
+        s = F.trim(F.try_variant_get(v, "$", "string"))
+        return (F.when(kind == "STRING", F.when(s.rlike("^[+-]?[0-9]+$"), s.try_cast("int")))
+                .when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("int"))
                 .otherwise(F.try_variant_get(v, "$", "double").cast("int")))
 
     def key(k: Column) -> Column:
@@ -105,13 +105,14 @@ def normalize_assignment(text: Column) -> Column:
         return F.when(n.isNotNull(), F.concat(F.lit("V"), n.cast("string"))).otherwise(k)
 
     def build(b: Column) -> Column:
-        entries = F.transform(F.map_entries(b["m"]), lambda e: F.struct(
-            key(e["key"]).alias("key"), number(e["value"]).alias("value"), F.to_json(F.struct(e["value"].alias("v"))).alias("shown")))
-        bad = F.filter(entries, lambda e: e["value"].isNull())
-        error = (F.when(b["m"].isNull(), F.concat(F.lit("assignment must be an object, got "), F.coalesce(b["t"], F.lit("null"))))
-                 .when(F.size(bad) > 0, F.concat(F.lit("assignment value for "), bad[0]["key"], F.lit(" must be int-like"))))
-        pairs = F.transform(entries, lambda e: F.struct(e["key"], e["value"]))
-        return F.struct(F.when(error.isNull(), F.map_from_entries(pairs)).alias("assignment"), error.alias("error"))
+        entries = F.transform(F.map_entries(b["m"]), lambda e: F.struct(key(e["key"]).alias("key"), number(e["value"]).alias("value")))
+        return let(F.struct(b["t"].alias("t"), entries.alias("e")), finish)
+
+    def finish(b: Column) -> Column:
+        bad = F.filter(b["e"], lambda e: e["value"].isNull())
+        error = (F.when(b["e"].isNull(), F.concat(F.lit("assignment must be an object, got "), F.coalesce(b["t"], F.lit("null"))))
+                 .when(F.size(bad) > 0, F.concat(F.lit("assignment value for "), F.get(bad, F.lit(0))["key"], F.lit(" must be int-like"))))
+        return F.struct(F.when(F.size(bad) == 0, F.map_from_entries(b["e"])).alias("assignment"), error.alias("error"))
 
     parsed = F.when(is_object(text), F.from_json(text, "MAP<STRING, VARIANT>"))
     return let(F.struct(text.alias("t"), parsed.alias("m")), build)

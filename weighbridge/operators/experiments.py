@@ -7,7 +7,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import resolve_category
 from ..functions.parsing import normalize_assignment
 from ..functions.text import label_name
 from .model import Model
@@ -26,12 +25,13 @@ def run_experiments(requests: DataFrame, model: Model, text: str, names: Column,
     properties = properties or {}
     read = requests.withColumn("__a", normalize_assignment(F.col(text)))
     base = barrier(read, requests.columns, ["__a"])
-    resolved = base.select("*", *[
-        resolve_category(F.try_element_at(F.col("__a.assignment"), F.lit(v.name)).cast("string"), v.name, v.categories,
-                         v.spans or None).alias(f"__r_{v.name}") for v in model.variables])
-    given = {v.name: F.array_contains(F.map_keys("__a.assignment"), v.name) for v in model.variables}
-    wrong = F.coalesce(F.col("__a.error"), *[F.when(given[v.name], F.col(f"__r_{v.name}.error")) for v in model.variables])
-    staged = resolved.select(*requests.columns, wrong.alias("message"), *[F.col(f"__r_{v.name}.category").alias(f"__v_{v.name}") for v in model.variables])
+    # the values are whole numbers by now, so a category is right when it lies in its domain
+    value = {v.name: f"try_element_at(__a.assignment, '{v.name}')" for v in model.variables}
+    outside = [f"IF({value[v.name]} < 0 OR {value[v.name]} >= {v.categories}, concat('Assignment value ', {value[v.name]}, ' out of range for {v.name}'), NULL)"
+               for v in model.variables]
+    own = [f"`{c}`" for c in requests.columns]
+    staged = base.selectExpr(*own, f"coalesce(__a.error, {', '.join(outside)}) AS message",
+                             *[f"{value[v.name]} AS `__v_{v.name}`" for v in model.variables])
     staged = barrier(staged, requests.columns, ["message", *[f"__v_{v.name}" for v in model.variables]])
     cats = {v.name: F.col(f"__v_{v.name}") for v in model.variables}
     keep = [*requests.columns, "message", *[f"__v_{v.name}" for v in model.variables]]

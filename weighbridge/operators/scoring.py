@@ -81,7 +81,7 @@ def barrier(df: DataFrame, keep, costly) -> DataFrame:
     Without the generator a filter or join on such a column is pushed down through the
     projections and drags a copy of the whole expression along each time.
     """
-    return df.select(*keep, F.inline(F.array(F.struct(*costly))))
+    return df.selectExpr(*[f"`{c}`" for c in keep], f"inline(array(struct({', '.join(f'`{c}`' for c in costly)})))")
 
 
 def argmax_label(scores: Column) -> Column:
@@ -184,67 +184,70 @@ def score_wide(
         return _finish(df, sums, model.labels)
 
     blocks, apart = _blocks(model, names)
-    place = df.select("*", *[cats[v.name].cast("int").alias(f"__c_{v.name}") for v in used])
+    # From here on expressions are SQL text: building them costs one call to the JVM each.
+    numeric = [v for v in used if v.numerical]
+    place = df.select(
+        "*", *[cats[v.name].cast("int").alias(f"__c_{v.name}") for v in used],
+        *[values[v.name].cast("double").alias(f"__x_{v.name}") for v in numeric if v.name in values])
     staged = []
     for b, block in enumerate(blocks):
-        index = F.lit(0)
+        index = "0"
         for n in block:
-            size, cat = model.variable(n).categories, F.col(f"__c_{n}")
-            index = index * (size + 1) + F.when((cat >= 0) & (cat < size), cat).otherwise(F.lit(size))
-        staged.append(index.alias(f"__b_{b}"))
-    for v in used:
-        if v.numerical:
-            cat = F.col(f"__c_{v.name}")
-            mids = F.get(literal_doubles([(lo + hi) / 2 for lo, hi in v.spans]), cat)
-            x = F.coalesce(values[v.name], mids) if v.name in values else mids
-            staged.append(F.when(cat.isNotNull(), clamp01(x)).alias(f"__t_{v.name}"))
-    hits = {i: F.coalesce((F.col(f"__c_{model.rules[i].var_a}") == model.rules[i].val_a)
-                          & (F.col(f"__c_{model.rules[i].var_b}") == model.rules[i].val_b), F.lit(False)) for i in apart}
-    staged += [h.alias(f"__h_{i}") for i, h in hits.items()]
-    placed = place.select("*", *staged)
-
-    zero = F.lit(0.0)
+            size, cat = model.variable(n).categories, f"`__c_{n}`"
+            index = f"({index}) * {size + 1} + IF({cat} >= 0 AND {cat} < {size}, {cat}, {size})"
+        staged.append(f"{index} AS __b_{b}")
+    for v in numeric:
+        mids = f"get({_array_sql([(lo + hi) / 2 for lo, hi in v.spans])}, `__c_{v.name}`)"
+        x = f"coalesce(`__x_{v.name}`, {mids})" if v.name in values else mids
+        staged.append(f"IF(`__c_{v.name}` IS NOT NULL, greatest(0D, least(1D, {x})), NULL) AS `__t_{v.name}`")
+    for i in apart:
+        r = model.rules[i]
+        staged.append(f"coalesce(`__c_{r.var_a}` = {r.val_a} AND `__c_{r.var_b}` = {r.val_b}, false) AS __h_{i}")
+    placed = place.selectExpr("*", *staged)
+
     tables = []
     for block in blocks:
         inside = [i for i, r in enumerate(model.rules) if i not in apart and r.var_a in block and r.var_b in block]
         tables.append(_block_tables(model, block, inside))
-    cells, weighted, weights = [], [], []
+    cells, sums = [], []
     for label in labels:
-        ws, w = zero, zero
+        ws, w = [], []
         for b, table in enumerate(tables):
-            ws = ws + F.coalesce(F.get(literal_doubles(table[label][0]), F.col(f"__b_{b}")), zero)
-            w = w + F.coalesce(F.get(literal_doubles(table[label][1]), F.col(f"__b_{b}")), zero)
-        for v in used:
-            if v.numerical:
-                t = F.col(f"__t_{v.name}")
-                t = t if v.rising[label] else F.lit(1.0) - t
-                cell = clamp01(F.lit(float(v.low[label])) + t * F.lit(float(v.high[label] - v.low[label])))
-                cells.append(F.when(t.isNotNull(), cell).otherwise(zero).alias(f"__w_{label}_{v.name}"))
-                vw = F.col(f"__w_{label}_{v.name}")
-                ws, w = ws + vw * F.lit(float(v.score[label])), w + vw
+            ws.append(f"coalesce(get({_array_sql(table[label][0])}, __b_{b}), 0D)")
+            w.append(f"coalesce(get({_array_sql(table[label][1])}, __b_{b}), 0D)")
+        for v in numeric:
+            t = f"`__t_{v.name}`" if v.rising[label] else f"(1D - `__t_{v.name}`)"
+            low, width = float(v.low[label]), float(v.high[label] - v.low[label])
+            cell = f"`__w_{label}_{v.name}`"
+            cells.append(f"IF(`__t_{v.name}` IS NOT NULL, greatest(0D, least(1D, {low!r}D + {t} * {width!r}D)), 0D) AS {cell}")
+            ws.append(f"{cell} * {float(v.score[label])!r}D")
+            w.append(cell)
         for i in apart:
             r = model.rules[i]
-            ws = ws + F.when(F.col(f"__h_{i}"), F.lit(r.weight * r.score)).otherwise(zero)
-            w = w + F.when(F.col(f"__h_{i}"), F.lit(float(r.weight))).otherwise(zero)
-        weighted.append(ws.alias(f"__ws_{label}"))
-        weights.append(w.alias(f"__sw_{label}"))
-    return _finish(df, placed.select("*", *cells).select(*df.columns, *weighted, *weights), model.labels)
+            ws.append(f"IF(__h_{i}, {r.weight * r.score!r}D, 0D)")
+            w.append(f"IF(__h_{i}, {float(r.weight)!r}D, 0D)")
+        sums += [f"{' + '.join(ws) or '0D'} AS __ws_{label}", f"{' + '.join(w) or '0D'} AS __sw_{label}"]
+    own = [f"`{c}`" for c in df.columns]
+    return _finish(df, placed.selectExpr("*", *cells).selectExpr(*own, *sums), model.labels)
+
+
+def _array_sql(values) -> str:
+    return f"CAST(split('{','.join(repr(float(v)) for v in values)}', ',') AS ARRAY<DOUBLE>)"
 
 
 def _finish(df: DataFrame, sums: DataFrame, n: int) -> DataFrame:
+    own = [f"`{c}`" for c in df.columns]
     labels = range(n)
     sums = barrier(sums, df.columns, [f"__{k}_{i}" for k in ("ws", "sw") for i in labels])
-    ratios = sums.select("*", *[ratio(F.col(f"__ws_{i}"), F.col(f"__sw_{i}")).alias(f"__s_{i}") for i in labels])
-    arrays = ratios.select(
-        *df.columns,
-        F.array(*[F.col(f"__ws_{i}") for i in labels]).alias("weighted_sums"),
-        F.array(*[F.col(f"__sw_{i}") for i in labels]).alias("weight_sums"),
-        F.array(*[F.col(f"__s_{i}") for i in labels]).alias("scores"))
-    return arrays.select(
-        "*",
-        argmax_label(F.col("scores")).alias("label"),
-        F.array_max("scores").alias("score"),
-        decisiveness(F.col("scores")).alias("decisiveness"))
+    arrays = sums.selectExpr(
+        *own, f"array({', '.join(f'__ws_{i}' for i in labels)}) AS weighted_sums",
+        f"array({', '.join(f'__sw_{i}' for i in labels)}) AS weight_sums",
+        f"array({', '.join(f'IF(__sw_{i} > 0, __ws_{i} / __sw_{i}, 0D)' for i in labels)}) AS scores")
+    # best minus second best; a single label counts 0 as its rival
+    second = "sort_array(scores, false)[1]" if n > 1 else "0D"
+    return arrays.selectExpr(
+        "*", "CAST(array_position(scores, array_max(scores)) - 1 AS INT) AS label", "array_max(scores) AS score",
+        f"greatest(0D, least(1D, array_max(scores) - {second})) AS decisiveness")
 
 
 def contributions(
