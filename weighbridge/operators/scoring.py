@@ -254,14 +254,43 @@ def contributions(
     df: DataFrame, model: Model, cats: Mapping[str, Column], values: Mapping[str, Column] | None = None
 ) -> DataFrame:
     """One row per (row, label, entity) with its weight and score; absent entities give no row."""
-    items = []
+    values = values or {}
+    used = [v for v in model.variables if v.name in cats]
+    rules = [r for r in model.rules if r.var_a in cats and r.var_b in cats]
+    own = [f"`{c}`" for c in df.columns]
+    if len({v.name for v in used} | {r.name for r in rules}) < len(used) + len(rules):
+        rows = []
+        for label in range(model.labels):
+            for ord_, (name, w, s) in enumerate(_entities(model, label, cats, values)):
+                rows.append(F.struct(F.lit(label).alias("label"), F.lit(ord_).alias("ord"), F.lit(name).alias("entity"),
+                                     w.alias("weight"), s.alias("score")))
+        return df.select("*", F.inline(F.array(*rows))).where("weight IS NOT NULL")
+
+    place = df.select(
+        "*", *[cats[v.name].cast("int").alias(f"__c_{v.name}") for v in used],
+        *[values[v.name].cast("double").alias(f"__x_{v.name}") for v in used if v.numerical and v.name in values])
+    at = []
+    for v in used:
+        if v.numerical:
+            mids = f"get({_array_sql([(lo + hi) / 2 for lo, hi in v.spans])}, `__c_{v.name}`)"
+            x = f"coalesce(`__x_{v.name}`, {mids})" if v.name in values else mids
+            at.append(f"IF(`__c_{v.name}` IS NOT NULL, greatest(0D, least(1D, {x})), NULL) AS `__t_{v.name}`")
+    at += [f"(`__c_{r.var_a}` = {r.val_a} AND `__c_{r.var_b}` = {r.val_b}) AS __h_{i}" for i, r in enumerate(rules)]
+    cells = []
     for label in range(model.labels):
-        for ord_, (name, w, s) in enumerate(_entities(model, label, cats, values or {})):
-            items.append(F.struct(F.lit(label).alias("label"), F.lit(ord_).alias("ord"), F.lit(name).alias("entity"),
-                                  w.alias("weight"), s.alias("score")))
-    return df.select("*", F.explode(F.filter(F.array(*items), lambda e: e["weight"].isNotNull())).alias("e")).select(
-        *df.columns, "e.*"
-    )
+        entities = []
+        for v in used:
+            cat, n = f"`__c_{v.name}`", range(v.categories)
+            if v.numerical:
+                t = f"`__t_{v.name}`" if v.rising[label] else f"(1D - `__t_{v.name}`)"
+                low, width = float(v.low[label]), float(v.high[label] - v.low[label])
+                entities.append((v.name, f"IF(`__t_{v.name}` IS NOT NULL, greatest(0D, least(1D, {low!r}D + {t} * {width!r}D)), NULL)", f"{float(v.score[label])!r}D"))
+            else:
+                entities.append((v.name, f"get({_array_sql([v.weights[label][c] for c in n])}, {cat})", f"get({_array_sql([v.scores[label][c] for c in n])}, {cat})"))
+        entities += [(r.name, f"IF(__h_{i}, {float(r.weight)!r}D, NULL)", f"{float(r.score)!r}D") for i, r in enumerate(rules)]
+        cells += [f"{label}, {ord_}, '{name}', {w}, {s}" for ord_, (name, w, s) in enumerate(entities)]
+    rows = place.selectExpr("*", *at).selectExpr(*own, f"stack({len(cells)}, {', '.join(cells)}) AS (label, ord, entity, weight, score)")
+    return rows.where("weight IS NOT NULL")
 
 
 def applied_rules(model: Model, cats: Mapping[str, Column]) -> Column:

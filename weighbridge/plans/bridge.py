@@ -75,11 +75,15 @@ def order_samples(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def line_samples(spark: SparkSession, sf: str) -> DataFrame:
-    """Lineitem joined to orders as samples (the join is on the order key, shuffled on both sides)."""
+    """Lineitem joined to orders as samples.
+
+    Both sides grow with the data, so they are shuffled on the order key and merged; neither is
+    broadcast, however small the tables of a trial run are.
+    """
     li = table(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_discount", "l_quantity")
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
-    j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    j = li.join(o.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
     return _spanned(j.select(
         "l_orderkey", "l_linenumber", F.col("o_orderstatus").alias("status"),
         F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2).alias("V0"),
