@@ -21,8 +21,9 @@ ROOT_FILE = "UDD.json"
 def scan(spark: SparkSession, roots: Sequence[str], name: str = "*.json") -> DataFrame:
     """(path, content) of every matching file below the roots; listing and reading are distributed."""
     files = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name)
-             .option("wholetext", "true").text(list(roots)))
-    return files.select(F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/").alias("path"), F.col("value").alias("content"))
+             .text(list(roots), wholetext=True))
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return files.select(F.regexp_replace(path, "^file:/*", "/").alias("path"), F.col("value").alias("content"))
 
 
 # -- paths ---------------------------------------------------------------------------------------
