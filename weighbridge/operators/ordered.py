@@ -7,6 +7,7 @@ is smaller by the chunk size) are added, so one group may hold any share of the
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.seeded import md5_bucket
 
-CHUNK_ROWS = 100_000
+CHUNK_ROWS = 1_000_000
 
 _FUNCS = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count}
 
@@ -82,22 +83,54 @@ def number_by_position(df, keys, position: str, name: str = "rn", rows: int = CH
     return running(df, keys, [position], position_chunk(F.col(position), rows), {name: ("sum", F.lit(1).cast("long"))})
 
 
-def number_by_key(df, keys, key: str, name: str = "rn", digits: int = 3, tie: Sequence[str] = ()) -> DataFrame:
+def number_by_key(df, keys, key: str, name: str = "rn", digits: int = 4, tie: Sequence[str] = ()) -> DataFrame:
     """row_number() per key along an md5 key column (a seeded shuffle)."""
     return running(
         df, keys, [key, *tie], md5_bucket(F.col(key), digits), {name: ("sum", F.lit(1).cast("long"))}
     )
 
 
-def value_bounds(df: DataFrame, column: str, parts: int) -> list[float]:
-    """At most parts - 1 cut points of a numeric column, for chunking along its values."""
+def chunk_count(df: DataFrame) -> int:
+    """How many chunks an ordering is cut into: a few per shuffle partition."""
+    return max(64, min(4096, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def value_bounds(df: DataFrame, column: str, parts: int, isolate: bool = False) -> list[float]:
+    """Cut points of a numeric column at even shares of the rows.
+
+    With ``isolate`` a value frequent enough to appear as several cut points gets a chunk of
+    its own, by a second cut just above it.
+    """
     fractions = [i / parts for i in range(1, parts)]
-    row = df.agg(F.percentile_approx(column, fractions, 10_000).alias("q")).first()
-    return sorted(set(row["q"] or []))
+    row = df.agg(F.percentile_approx(F.col(column).cast("double"), fractions, 10_000).alias("q")).first()
+    cuts = row["q"] or []
+    heavy = {a for a, b in zip(cuts, cuts[1:]) if a == b} if isolate else set()
+    return sorted(set(cuts) | {math.nextafter(h, math.inf) for h in heavy})
 
 
 def bounds_chunk(value: Column, bounds: Sequence[float]) -> Column:
+    """Number of cut points at or below a value, found in two steps of at most 64 comparisons."""
     if not bounds:
         return F.lit(0)
-    cuts = F.array(*[F.lit(float(b)) for b in bounds])
-    return F.size(F.filter(cuts, lambda b: b <= value))
+    groups = [list(bounds[i:i + 64]) for i in range(0, len(bounds), 64)]
+    text = "array(" + ", ".join("array(" + ", ".join(f"{float(b)!r}D" for b in g) + ")" for g in groups) + ")"
+    heads = "array(" + ", ".join(f"{float(g[0])!r}D" for g in groups[1:]) + ")" if len(groups) > 1 else "CAST(array() AS ARRAY<DOUBLE>)"
+    coarse = F.size(F.filter(F.expr(heads), lambda h: h <= value))
+    return coarse * 64 + F.size(F.filter(F.get(F.expr(text), coarse), lambda b: b <= value))
+
+
+def number_by_value(df: DataFrame, column: str, tie: str, name: str = "rn", descending: bool = False) -> DataFrame:
+    """row_number() of the whole table by a numeric column, ties by a second numeric column.
+
+    Values that fill a share of the table get chunks of their own, cut further by the tie column.
+    """
+    parts = chunk_count(df)
+    bounds = value_bounds(df, column, parts, isolate=True)
+    single = [b for b in bounds if math.nextafter(b, math.inf) in set(bounds)]
+    chunk = bounds_chunk(F.col(column).cast("double"), bounds)
+    within = F.lit(0)
+    if single:
+        within = F.when(F.col(column).cast("double").isin(single), bounds_chunk(F.col(tie).cast("double"), value_bounds(df, tie, parts))).otherwise(0)
+    order = [F.col(column).desc() if descending else F.col(column), F.col(tie)]
+    return running(df, [], order, F.struct((-chunk if descending else chunk).alias("a"), within.alias("b")),
+                   {name: ("sum", F.lit(1).cast("long"))})

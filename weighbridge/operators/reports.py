@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import running
+from .ordered import number_by_value
 
 
 def most_common(df: DataFrame, column: str) -> DataFrame:
-    """Counts by descending frequency, with their place; ties in value order."""
+    """Counts of a numeric column by descending frequency, with their place; ties in value order."""
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    # equal counts stay in one chunk, so the chunk follows the order; counts spread over chunks
-    return running(counts, [], [F.col("n").desc(), F.col(column)], -F.col("n"), {"place": ("sum", F.lit(1).cast("long"))}).select("place", column, "n")
+    return number_by_value(counts, "n", column, "place", descending=True).select("place", column, "n")
 
 
 def corpus_statistics(instances: DataFrame, runs: DataFrame) -> DataFrame:
@@ -33,15 +32,10 @@ def run_rollup(results: DataFrame) -> DataFrame:
         F.min_by(F.when(failed, F.col("error")), F.when(failed, F.col("pos"))).alias("first_error"))
 
 
-def leaderboard(entries: DataFrame, order: list, accuracy: str) -> DataFrame:
-    """Entries ranked, accuracy as a percent text with one decimal.
-
-    A leaderboard is one short table, so its ranking is a plain ordered window.
-    """
-    from pyspark.sql import Window
-    ranked = entries.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
+def leaderboard(entries: DataFrame, score: str, tie: str, accuracy: str) -> DataFrame:
+    """Entries ranked by descending score, accuracy as a percent text with one decimal."""
     shown = F.concat(F.call_function("format_number", F.bround(F.col(accuracy) * 100, 1), F.lit("0.0")), F.lit("%"))
-    return ranked.withColumn(accuracy, shown)
+    return number_by_value(entries, score, tie, "rank", descending=True).withColumn(accuracy, shown)
 
 
 def first_failures(failures: DataFrame, n: int, width: int) -> DataFrame:

@@ -12,7 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.seeded import draw_index, md5_key, u01
-from .ordered import number_by_key
+from .ordered import number_by_key, number_by_position
+
+
+MERGED_ROWS = 100_000
 
 
 def stratified_rank(df: DataFrame, by: Sequence[str], seed, ids: Sequence[str], name: str = "rank") -> DataFrame:
@@ -28,9 +31,15 @@ def seeded_shuffle(df: DataFrame, seed, ids: Sequence[str]) -> DataFrame:
 
 
 def sample_rows(df: DataFrame, k: int, seed, ids: Sequence[str]) -> DataFrame:
-    """k rows without replacement (all rows if fewer): the k smallest md5 keys."""
+    """k rows without replacement (all rows if fewer): the k smallest md5 keys.
+
+    A small k is kept per partition and merged; a large one is cut by a distributed rank, as no
+    single task should hold it.
+    """
     key = md5_key(seed, *[F.col(i) for i in ids])
-    return df.orderBy(key, *ids).limit(k)
+    if k <= MERGED_ROWS:
+        return df.orderBy(key, *ids).limit(k)
+    return stratified_rank(df, [], seed, ids, "__rank").where(F.col("__rank") <= k).drop("__rank")
 
 
 def label_from_scores(scores: Column, draw: Column | None = None) -> Column:
@@ -131,8 +140,7 @@ def oracle_samples(df: DataFrame, k: int, seed, id_: str) -> DataFrame:
     total = df.count()
     if k > total:
         raise ValueError(f"Requested more oracle samples than available in the dataset: requested={k}, available={total}")
-    from pyspark.sql import Window
-    return sample_rows(df, k, seed, [id_]).withColumn("place", F.row_number().over(Window.orderBy(id_)).cast("long"))
+    return number_by_position(sample_rows(df, k, seed, [id_]), [], id_, "place")
 
 
 def example_assignment(domains: DataFrame, seed, id_: str) -> DataFrame:

@@ -12,7 +12,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import clamp01, interpolated_weight, literal_doubles, span_index, span_midpoint
+from ..functions.numeric import clamp01, interpolated_weight, literal_doubles, span_index, span_index_of, span_midpoint
 from .model import Model
 
 
@@ -323,6 +323,17 @@ def classifier(model: Model, inputs: Mapping[str, Column]) -> Column:
     return argmax_label(F.array(*[ratio(a, b) for a, b in zip(weighted, weights)]))
 
 
+def span_join(long: DataFrame, spans: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Span index of every (keys..., var, value) row, from span tables keyed the same way.
+
+    The spans of a variable are first gathered into one array (bounded by its categories), so
+    the range question becomes an equality join and a lookup; outside values clamp.
+    """
+    by = [*keys, "var"]
+    arrays = spans.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("idx", "lo", "hi"))).alias("__spans"))
+    return long.join(arrays, by).withColumn("idx", span_index_of(F.col("value"), F.col("__spans"))).drop("__spans")
+
+
 # -- long form ---------------------------------------------------------------------------
 
 def unpivot_assignment(df: DataFrame, ids: list[str], cats: Mapping[str, Column],

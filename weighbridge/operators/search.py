@@ -9,12 +9,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clamp01, equal_span_bounds, interpolated_weight
 from ..functions.seeded import draw_index, u01
+from ..sources.storage import cut_lineage
 from .analysis import analysis_aggregates, early_stop_minimum, passes, penalty, radix_digits, with_fractions
+from .ordered import number_by_value
+from .sampling import MERGED_ROWS
 from .scoring import argmax_label, decisiveness, ratio
 
 
@@ -155,8 +158,8 @@ def explode_assignments(cands: DataFrame, shape: Shape, chunk: int = 4096) -> Da
     n = shape.assignments
     chunks = (n + chunk - 1) // chunk
     cut = cands.withColumn("__c", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    if chunks > 1:
-        cut = cut.repartition("cand", "__c")
+    # a fixed number of partitions: the rows are few and small, but each grows by the chunk
+    cut = cut.repartition(int(cands.sparkSession.conf.get("spark.sql.shuffle.partitions")), "cand", "__c")
     start = F.col("__c").cast("long") * chunk
     return cut.withColumn("aid", F.explode(F.sequence(start, F.least(start + chunk - 1, F.lit(n - 1).cast("long"))))).drop("__c")
 
@@ -182,8 +185,14 @@ def score_population(cands: DataFrame, shape: Shape, max_gap: float, min_require
 
 
 def elite(scored: DataFrame, population: int) -> DataFrame:
-    """The max(1, population // 4) candidates of lowest penalty."""
-    return scored.orderBy("penalty", "cand").limit(max(1, population // 4))
+    """The max(1, population // 4) candidates of lowest penalty.
+
+    Small populations are merged; of large ones every candidate gets a distributed rank.
+    """
+    k = max(1, population // 4)
+    if k <= MERGED_ROWS:
+        return scored.orderBy("penalty", "cand").limit(k)
+    return number_by_value(scored, "penalty", "cand", "__rank").where(F.col("__rank") <= k).drop("__rank")
 
 
 def best_candidate(scored: DataFrame) -> DataFrame:
@@ -196,7 +205,11 @@ def best_candidate(scored: DataFrame) -> DataFrame:
 def next_generation(cands: DataFrame, winners: DataFrame, shape: Shape, population: int, seed, rate: float) -> DataFrame:
     """Winners keep their places 0..k-1, the other places are mutants of randomly chosen winners."""
     k = max(1, population // 4)
-    ranked = winners.select("cand", F.row_number().over(_by_penalty()).alias("place")).withColumn("place", F.col("place") - 1)
+    if k <= MERGED_ROWS:  # so few winners may share one task
+        places = winners.select("cand", F.row_number().over(Window.orderBy("penalty", "cand")).alias("place"))
+    else:
+        places = number_by_value(winners.select("cand", "penalty"), "penalty", "cand", "place")
+    ranked = places.select("cand", (F.col("place") - 1).cast("int").alias("place"))
     parents = cands.join(ranked, "cand").drop("cand")
     places = cands.sparkSession.range(population).withColumnRenamed("id", "cand").withColumn(
         "place", F.when(F.col("cand") < k, F.col("cand")).otherwise(draw_index(F.lit(k), seed, F.lit("parent"), F.col("cand"))).cast("int"))
@@ -205,12 +218,6 @@ def next_generation(cands: DataFrame, winners: DataFrame, shape: Shape, populati
     return keep.unionByName(mutate(filled.where(F.col("cand") >= k), shape, seed, rate).select(*keep.columns))
 
 
-def _by_penalty():
-    # only ever applied to the winners, a table bounded by a quarter of the population
-    from pyspark.sql import Window
-    return Window.orderBy("penalty", "cand")
-
-
 def evolve(cands: DataFrame, shape: Shape, budget: int, population: int, max_gap: float, min_required: float,
            seed, rate: float = 0.2) -> dict:
     """Generations of score, select, mutate until one passes or the evaluation budget is spent.
@@ -222,7 +229,7 @@ def evolve(cands: DataFrame, shape: Shape, budget: int, population: int, max_gap
     best, evaluations, generation = None, 0, 0
     while evaluations < budget:
         room = min(population, budget - evaluations)
-        scored = score_population(cands.where(F.col("cand") < room), shape, max_gap, min_required).checkpoint()
+        scored = cut_lineage(score_population(cands.where(F.col("cand") < room), shape, max_gap, min_required))
         top = best_candidate(scored).first()
         if top["passes"]:
             return {"cand": top["cand"], "penalty": top["penalty"], "passes": True,
@@ -231,7 +238,7 @@ def evolve(cands: DataFrame, shape: Shape, budget: int, population: int, max_gap
         if best is None or top["penalty"] < best["penalty"]:
             best = {"cand": top["cand"], "penalty": top["penalty"], "passes": False, "population": cands, "scored": scored}
         evaluations += room
-        cands = next_generation(cands, elite(scored, population), shape, population, f"{seed}-{generation}", rate).checkpoint()
+        cands = cut_lineage(next_generation(cands, elite(scored, population), shape, population, f"{seed}-{generation}", rate))
         generation += 1
     return {**(best or {}), "evaluations": evaluations, "generations": generation}
 

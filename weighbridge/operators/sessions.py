@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import cut_lineage
 from .ordered import position_chunk, running
 
 
@@ -46,6 +47,8 @@ def budget_ledger(calls: DataFrame, keys: Sequence[str], pos: str, cost: str, ru
     chunk = position_chunk(F.col(pos), rows)
     df = calls.withColumns({"__left_0": F.col(budget).cast("long"), "__open_0": F.col(runnable) & (F.col(cost) > 0)})
     for k, limit in enumerate(dear_first):
+        if k > 1:  # each running sum reads its input twice
+            df = cut_lineage(df)
         member = F.col(f"__open_{k}") & (F.col(cost) <= limit)
         aggs = {f"__cum_{k}": ("sum", F.when(member, F.col(cost)).otherwise(0).cast("long"))}
         if k:
@@ -181,6 +184,7 @@ def status_delivery(events: DataFrame, keys: Sequence[str], pos: str, kind: str,
     offline = F.coalesce(F.col("__seg.k") == "disconnect", F.lit(False))
     used = F.col("__turns") - F.col("__seg.t")
     two = two.withColumns({"__off": offline, "__clear": offline & (k == "turn") & (used == grace), "__held": offline & (k == "message") & (used < grace)})
+    two = cut_lineage(two)  # each running aggregate reads its input twice
     back = running(two, keys, [F.col(pos).desc()], -chunk, {
         "__connect": ("min", F.when(k == "connect", p)), "__cleared": ("min", F.when(F.col("__clear"), p))}, before_row=True)
     kept = F.col("__held") & F.col("__connect").isNotNull() & (F.col("__cleared").isNull() | (F.col("__cleared") > F.col("__connect")))

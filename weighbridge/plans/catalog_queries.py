@@ -468,7 +468,7 @@ def _(spark, sf):
 @query("leaderboard", """SELECT row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS rank, c_name AS model_name, format('{:.1f}', round_even(greatest(c_acctbal, 0) / 10000 * 100, 1)) || '%' AS accuracy FROM customer""")
 def _(spark, sf):
     c = table(spark, sf, "customer").select(F.col("c_name").alias("model_name"), (F.greatest("c_acctbal", F.lit(0)) / 10000).alias("accuracy"), "c_acctbal", "c_custkey")
-    return rp.leaderboard(c, [F.col("c_acctbal").desc(), F.col("c_custkey")], "accuracy").select("rank", "model_name", "accuracy")
+    return rp.leaderboard(c, "c_acctbal", "c_custkey", "accuracy").select("rank", "model_name", "accuracy")
 
 
 @query("failure_top8", "SELECT event_id AS pos, user_id, substr(repeat(event_type || ' ' || value || ' ', 30), 1, 160) AS error FROM events WHERE event_type = 'error' ORDER BY event_id LIMIT 8")

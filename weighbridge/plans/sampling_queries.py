@@ -297,8 +297,6 @@ def _(spark, sf):
 
 @query("evolve")
 def _(spark, sf):
-    from ..sources.storage import checkpoint_ready
-    checkpoint_ready(spark)
     cands = candidates(spark, sf)
     n = table(spark, sf, "supplier").count()
     found = se.evolve(cands, SHAPE, budget=2 * n, population=n, max_gap=0.01, min_required=0.3, seed=SEED)

@@ -118,18 +118,10 @@ def _(spark, sf):
     return rows.select("sid", "label", "entity", r6("weight").alias("weight"), r6("score").alias("score"))
 
 
-@query("span_range_join", f"""WITH {SQL_LINES} SELECT l_orderkey, l_linenumber, V3 AS idx3, V4 AS idx4 FROM smp""")
+@query("span_range_join", f"""WITH {SQL_LINES} SELECT l_orderkey, l_linenumber, 'V3' AS var, V3 AS idx FROM smp UNION ALL SELECT l_orderkey, l_linenumber, 'V4', V4 FROM smp""")
 def _(spark, sf):
-    spans = MODEL.tables(spark)["spans"]
-    df = line_samples(spark, sf).select("l_orderkey", "l_linenumber", "x3", "x4")
-
-    def locate(d, x, var, out):
-        s = spans.where(F.col("var") == var).select("idx", "lo", "hi", "is_last")
-        v = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(x)))  # outside values clamp to the end spans
-        hit = (v >= s["lo"]) & ((v < s["hi"]) | (s["is_last"] & (v <= s["hi"])))
-        return d.join(F.broadcast(s), hit).withColumnRenamed("idx", out).drop("lo", "hi", "is_last")
-
-    return locate(locate(df, "x3", "V3", "idx3"), "x4", "V4", "idx4").select("l_orderkey", "l_linenumber", "idx3", "idx4")
+    rows = line_samples(spark, sf).select("l_orderkey", "l_linenumber", F.expr("stack(2, 'V3', x3, 'V4', x4) AS (var, value)"))
+    return sc.span_join(rows, MODEL.tables(spark)["spans"]).drop("value")
 
 
 @query("udd_score", f"""WITH {SQL_LINES}, {sql_model(MODEL)}, {sql_scores()}
