@@ -326,7 +326,7 @@ def test_evolution_spends_its_budget_and_never_gets_worse(spark):
 
 def test_rolling_mean_and_titles(spark):
     df, rows = skewed(spark, 120)
-    got = {(r["k"], r["pos"]): r["m"] for r in bl.rolling_mean(df, ["k"], "pos", F.col("v"), 5, "m").collect()}
+    got = {(r["k"], r["pos"]): r["m"] for r in bl.rolling_mean(df, ["k"], "pos", F.col("v"), 5, "m", rows=7).collect()}
     for k, pos, _ in rows:
         last = [v for kk, p, v in rows if kk == k and p <= pos][-5:]
         assert got[k, pos] == pytest.approx(sum(last) / len(last))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import CHUNK_ROWS, number_by_position, position_chunk, running
+from .ordered import CHUNK_ROWS, number_by_position
 
 
 def text_bounds(df: DataFrame, column: str, parts: int = 64) -> list[str]:
@@ -37,14 +37,21 @@ def indices_by_label(df: DataFrame, label: str, position: str, size: int = 10_00
     return list_blocks(ranked, [label], "__rank", F.col(position), size, "indices")
 
 
-def rolling_mean(df: DataFrame, keys: Sequence[str], position: str, value: Column, window: int, name: str) -> DataFrame:
-    """Mean over the last ``window`` rows of a key, from prefix sums joined to themselves."""
-    sums = running(df.withColumn("__v", value.cast("long")), keys, [position], position_chunk(F.col(position)),
-                   {"__n": ("sum", F.lit(1).cast("long")), "__s": ("sum", F.col("__v"))})
-    back = sums.select(*keys, (F.col("__n") + window).alias("__n"), F.col("__s").alias("__old"))
-    joined = sums.join(back, [*keys, "__n"], "left")
-    mean = (F.col("__s") - F.coalesce("__old", F.lit(0))) / F.least(F.col("__n"), F.lit(window))
-    return joined.select(*df.columns, mean.alias(name))
+def rolling_mean(df: DataFrame, keys: Sequence[str], position: str, value: Column, window: int, name: str,
+                 rows: int = CHUNK_ROWS) -> DataFrame:
+    """Mean over the last ``window`` rows of a key.
+
+    Rows are numbered and cut into blocks; the last rows of a block also go to the next one,
+    where they complete the first windows and are dropped again.
+    """
+    rows = max(rows, window)
+    numbered = number_by_position(df.withColumn("__v", value), keys, position, "__n", rows)
+    block, at = F.floor((F.col("__n") - 1) / rows), F.pmod(F.col("__n") - 1, F.lit(rows))
+    copies = F.when(at > rows - window, F.array(block, block + 1)).otherwise(F.array(block))
+    spread = numbered.withColumn("__home", block).withColumn("__block", F.explode(copies))
+    frame = Window.partitionBy(*keys, "__block").orderBy("__n").rowsBetween(1 - window, 0)
+    means = spread.withColumn(name, F.avg("__v").over(frame))
+    return means.where(F.col("__home") == F.col("__block")).select(*df.columns, name)
 
 
 def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], n: int) -> DataFrame:

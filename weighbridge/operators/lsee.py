@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import cut_lineage
 from .ordered import bounds_chunk, chunk_count, running, value_bounds
 
 
@@ -19,7 +20,8 @@ def knn_scale(train: DataFrame, value: str, queries: DataFrame, query: str, k: i
     merged = train.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("x")).agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("n"))
     asked = queries.where(F.col(query).isNotNull()).select(F.col(query).cast("double").alias("x")).distinct()
     both = merged.select("x", "n", F.lit(False).alias("ask")).unionByName(asked.select("x", F.lit(0).cast("long").alias("n"), F.lit(True).alias("ask")))
-    bounds = value_bounds(merged, "x", parts or chunk_count(train))
+    both = cut_lineage(both)  # from here on only distinct values are read, several times
+    bounds = value_bounds(both.where(~F.col("ask")), "x", parts or chunk_count(train))
     placed = running(both, [], ["x", "ask"], bounds_chunk(F.col("x"), bounds), {"upto": ("sum", F.col("n"))})
     known = placed.where(~F.col("ask")).select(F.explode(F.sequence(F.col("upto") - F.col("n") + 1, F.col("upto"))).alias("place"), F.col("x").alias("t"))
     near = placed.where("ask").select("x", F.explode(F.sequence(F.greatest(F.col("upto") - (k - 1), F.lit(1).cast("long")), F.col("upto") + k)).alias("place"))

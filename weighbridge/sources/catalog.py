@@ -93,14 +93,16 @@ def read_models(docs: DataFrame, key: str = "dataset_id") -> dict[str, DataFrame
     m = docs.select(key, F.from_json("content", schema.MODEL).alias("m"))
     variables = m.select(key, F.coalesce("m.num_output_labels", F.lit(2)).alias("labels"), F.explode("m.variables").alias("var", "v"))
 
-    def cells(what: str) -> DataFrame:
-        per_label = variables.where(F.coalesce("v.variable_type", F.lit("categorical")) == "categorical").select(
-            key, "var", "labels", F.explode(f"v.{what}").alias("label", "cells"))
-        rows = per_label.select(key, "var", "labels", F.col("label").cast("int").alias("label"), F.explode("cells").alias("cat", what))
-        return rows.where(F.col("label") < F.col("labels")).select(key, "var", "label", F.col("cat").cast("int").alias("cat"), what)
-
-    categories = cells("weights").join(cells("scores"), [key, "var", "label", "cat"], "full_outer").select(
-        key, "var", "label", "cat", F.col("weights").alias("weight"), F.col("scores").alias("score"))
+    none = F.expr("CAST(map() AS MAP<STRING, MAP<STRING, DOUBLE>>)")
+    plain = variables.where(F.coalesce("v.variable_type", F.lit("categorical")) == "categorical").select(
+        key, "var", "labels", F.coalesce("v.weights", none).alias("w"), F.coalesce("v.scores", none).alias("s"))
+    per_label = plain.select("*", F.explode(F.array_union(F.map_keys("w"), F.map_keys("s"))).alias("l")).where(F.col("l").cast("int") < F.col("labels"))
+    no_cells = F.expr("CAST(map() AS MAP<STRING, DOUBLE>)")
+    per_label = per_label.select(key, "var", F.col("l").cast("int").alias("label"), F.coalesce(F.try_element_at("w", F.col("l")), no_cells).alias("w"),
+                                 F.coalesce(F.try_element_at("s", F.col("l")), no_cells).alias("s"))
+    cells = per_label.select("*", F.explode(F.array_union(F.map_keys("w"), F.map_keys("s"))).alias("c"))
+    categories = cells.select(key, "var", "label", F.col("c").cast("int").alias("cat"), F.try_element_at("w", F.col("c")).alias("weight"),
+                              F.try_element_at("s", F.col("c")).alias("score"))
     numbers = variables.where("v.variable_type = 'numerical'")
     numeric = numbers.select(key, "var", "v", F.explode(F.sequence(F.lit(0), F.col("labels") - 1)).alias("label"))
     at = lambda name: F.try_element_at(F.col(f"v.{name}"), F.col("label").cast("string"))
