@@ -26,38 +26,45 @@ def confusion_counts(df: DataFrame, truth="label", pred="pred", keys: Sequence[s
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _known(labels: int) -> Column:
+    return F.sequence(F.lit(0), F.lit(labels - 1)) if labels else F.expr("CAST(array() AS ARRAY<INT>)")
+
+
 def label_universe(counts: DataFrame, labels: int = 0, keys: Sequence[str] = ()) -> DataFrame:
     """Known labels 0..labels-1 together with every label seen as truth or prediction."""
-    known = F.sequence(F.lit(0), F.lit(labels - 1)) if labels else F.expr("CAST(array() AS ARRAY<INT>)")
     seen = counts.groupBy(*keys).agg(F.collect_set("label").alias("a"), F.collect_set("pred").alias("b"))
-    return seen.select(*keys, F.array_sort(F.array_union(known, F.array_union("a", "b"))).alias("labels"))
+    return seen.select(*keys, F.array_sort(F.array_union(_known(labels), F.array_union("a", "b"))).alias("labels"))
 
 
 def confusion_matrix(counts: DataFrame, labels: int = 0, keys: Sequence[str] = ()) -> DataFrame:
-    """Dense (keys, label, pred, n) over the label universe."""
-    grid = label_universe(counts, labels, keys).select(
-        *keys, F.explode("labels").alias("label"), "labels").select(*keys, "label", F.explode("labels").alias("pred"))
-    return grid.join(counts, [*keys, "label", "pred"], "left").select(
-        *keys, "label", "pred", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    """Dense (keys, label, pred, n) over the label universe.
+
+    The counts of a key (at most labels squared) are gathered once and padded with zero cells, so
+    whatever produced them runs a single time.
+    """
+    cells = counts.groupBy(*keys).agg(F.collect_list(F.struct("label", "pred", "n")).alias("c"))
+    seen = F.array_union(F.transform("c", lambda x: x["label"]), F.transform("c", lambda x: x["pred"]))
+    rows = cells.select(*keys, "c", F.array_union(_known(labels), seen).alias("u"))
+    zeros = F.flatten(F.transform("u", lambda a: F.transform("u", lambda b: F.struct(a.alias("label"), b.alias("pred"), F.lit(0).cast("long").alias("n")))))
+    return rows.select(*keys, F.inline(F.concat("c", zeros))).groupBy(*keys, "label", "pred").agg(F.sum("n").alias("n"))
 
 
 def per_label_metrics(counts: DataFrame, labels: int = 0, keys: Sequence[str] = ()) -> DataFrame:
-    """tp, fp, fn, tn, precision, recall, f1, tnr and support per label; 0/0 is 0."""
+    """tp, fp, fn, tn, precision, recall, f1, tnr and support per label; 0/0 is 0.
+
+    One pass over the counts: both sides of each cell are summed per label, the labels of a key
+    are gathered into one short array, and known labels that did not occur are added to it.
+    """
     zero = F.lit(0).cast("long")
     hit = F.when(F.col("label") == F.col("pred"), F.col("n")).otherwise(zero)
-    sides = counts.select(*keys, F.explode(F.array(
+    sides = counts.select(*keys, F.inline(F.array(
         F.struct(F.col("label").alias("label"), hit.alias("tp"), F.col("n").alias("truth"), zero.alias("guess")),
-        F.struct(F.col("pred").alias("label"), zero.alias("tp"), zero.alias("truth"), F.col("n").alias("guess")),
-    )).alias("e")).select(*keys, "e.*")
-    universe = label_universe(counts, labels, keys).select(*keys, F.explode("labels").alias("label"))
-    totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
+        F.struct(F.col("pred").alias("label"), zero.alias("tp"), zero.alias("truth"), F.col("n").alias("guess")))))
     sums = sides.groupBy(*keys, "label").agg(F.sum("tp").alias("tp"), F.sum("truth").alias("truth"), F.sum("guess").alias("guess"))
-    base = universe.join(sums, [*keys, "label"], "left").fillna(0, ["tp", "truth", "guess"])
-    # totals is one row per key; without keys it rides along as a scalar
-    if keys:
-        base = base.join(totals, [*keys], "left")
-    else:
-        base = base.withColumn("total", F.coalesce(totals.select("total").scalar(), F.lit(0)))
+    packed = sums.groupBy(*keys).agg(F.collect_list(F.struct("label", "tp", "truth", "guess")).alias("rows"), F.sum("truth").alias("total"))
+    absent = F.array_except(_known(labels), F.transform("rows", lambda r: r["label"]))
+    filler = F.transform(absent, lambda x: F.struct(x.alias("label"), zero.alias("tp"), zero.alias("truth"), zero.alias("guess")))
+    base = packed.select(*keys, "total", F.inline(F.concat("rows", filler)))
     fp, fn = F.col("guess") - F.col("tp"), F.col("truth") - F.col("tp")
     tn = F.col("total") - F.col("tp") - fp - fn
     m = base.select(*keys, "label", "tp", fp.alias("fp"), fn.alias("fn"), tn.alias("tn"),

@@ -57,6 +57,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal a table out by key when it comes in fewer pieces than there are cores (a small single
+    file); a table in many files stays as it is and is not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def _spanned(df: DataFrame) -> DataFrame:
     spans = equal_span_bounds(4)
     return df.withColumns({"V3": span_index(F.col("x3"), spans), "V4": span_index(F.col("x4"), spans)})
@@ -64,8 +71,8 @@ def _spanned(df: DataFrame) -> DataFrame:
 
 def order_samples(spark: SparkSession, sf: str) -> DataFrame:
     """(sid, custkey, status, V0..V4, x3, x4): one sample per order."""
-    o = table(spark, sf, "orders")
-    return _spanned(o.select(
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate")
+    return _spanned(spread(o, "o_orderkey").select(
         F.col("o_orderkey").alias("sid"), F.col("o_custkey").alias("custkey"), F.col("o_orderstatus").alias("status"),
         F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2).alias("V0"),
         (F.col("o_custkey") % 2).cast("int").alias("V1"),

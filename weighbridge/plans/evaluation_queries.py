@@ -137,9 +137,8 @@ c AS (SELECT status, CASE WHEN coalesce(pred, -1) = label THEN 1 ELSE 0 END
   2 + CASE WHEN pred IS NOT NULL AND custkey % 5 = 0 THEN 1 ELSE 0 END + CASE WHEN pred IS NULL THEN 1 ELSE 0 END AS cells FROM ev)
 SELECT status, CAST(sum(ok) AS BIGINT) AS correct_cells, CAST(sum(cells) AS BIGINT) AS cells, round(sum(ok) / sum(cells), 6) AS all_output_accuracy FROM c GROUP BY status""")
 def _(spark, sf):
-    tone = pr.categorical_property(order_samples(spark, sf), TONE, cats(), values(), "tone")
-    df = scored(spark, sf).select("sid", "status", "custkey", "V1", "label", predicted().alias("pred")).join(
-        tone.select("sid", "tone"), "sid")
+    base = scored(spark, sf).select("sid", "status", "custkey", *VARS, "x3", "x4", "label", predicted().alias("pred"))
+    df = pr.categorical_property(base, TONE, cats(), values(), "tone")
     truth = F.create_map(F.lit("tone"), pr.gate(F.col("tone"), F.col("label"), F.array(*[F.lit(x) for x in TONE_LABELS])))
     guess = F.create_map(F.lit("tone"), F.when(F.col("custkey") % 3 != 0, F.col("V1")))
     guess = F.when(F.col("custkey") % 5 == 0, F.map_concat(guess, F.create_map(F.lit("extra"), F.lit(1)))).otherwise(guess)

@@ -8,13 +8,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder the cluster names; only a session without one (a test) gets its own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="weighbridge-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = tempfile.mkdtemp(prefix="weighbridge-")
+    return _OWN[app]
 
 
 def checkpoint_ready(spark: SparkSession) -> None:
