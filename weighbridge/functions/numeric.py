@@ -49,6 +49,11 @@ def normalize_span(lo: Column, hi: Column) -> Column:
 def span_index(x: Column, spans: Sequence[tuple[float, float]]) -> Column:
     """Index of the half-open literal span holding x (last span closed); outside values clamp."""
     last = len(spans) - 1
+    if all(spans[i][1] == spans[i + 1][0] for i in range(last)):  # no gaps: the upper ends decide
+        index = F.lit(last)
+        for i in range(last - 1, -1, -1):
+            index = F.when(x < F.lit(spans[i][1]), F.lit(i)).otherwise(index)
+        return F.when(x.isNotNull(), index)
     hit = F.lit(None).cast("int")
     for i in range(last, -1, -1):
         lo, hi = spans[i]

@@ -12,7 +12,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import clamp01, interpolated_weight, literal_doubles, span_index, span_index_of, span_midpoint
+from ..functions.numeric import interpolated_weight, literal_doubles, span_index, span_index_of, span_midpoint
 from .model import Model
 
 

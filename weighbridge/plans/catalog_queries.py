@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import parse_mode
 from ..operators import configs as cf
 from ..operators import reports as rp
 from ..sources import catalog as ct

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as num
 from ..operators import scoring as sc
-from .bridge import (MODEL, SIZES, SQL_LINES, SQL_ORDERS, VARS, _v, cats, line_samples, order_samples, sql_model,
-                     sql_scores, table, values, with_scores)
+from .bridge import (MODEL, SQL_LINES, SQL_ORDERS, cats, line_samples, order_samples, sql_model, sql_scores, table, values,
+                     with_scores)
 from .registry import query
 
 

@@ -9,20 +9,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import alignment as al
-from ..operators import analysis as an
 from ..operators import experiments as ex
 from ..operators import lsee as ls
 from ..operators import properties as pr
 from ..operators import sampling as sp
-from ..operators import scoring as sc
 from ..operators import search as se
 from ..operators import sessions as ss
 from ..operators import tree as tr
 from ..functions import text as tx
-from ..sources import sinks as sk
 from ..sources.storage import fresh_path
 from ..streaming import sessions as st
-from .bridge import (MODEL, SEED, SQL_ORDERS, TONE, TONE_LABELS, VARS, build_model, cats, order_samples, sql_key, sql_model, sql_scores,
+from .bridge import (MODEL, SEED, SQL_ORDERS, TONE, TONE_LABELS, VARS, cats, order_samples, sql_key, sql_model, sql_scores,
                      sql_u01, table, values, with_scores)
 from .registry import query
 from .sampling_queries import labelled
