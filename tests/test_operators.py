@@ -381,3 +381,18 @@ def test_json_pieces(spark):
     r = one(spark, ps.last_code_block(F.lit("```python\na```b```\nc\n```")).alias("code"),
             ps.parse_tool_call(F.lit('{"function": {"name": "f", "arguments": {"x": "{\\"y\\": 1}"}}}'))["args"]["x"].alias("x"))
     assert r["code"] == "c\n" and r["x"] == '{"y": 1}'
+
+
+def test_tree_rules_say_what_the_tree_predicts(spark):
+    from weighbridge.operators import tree as tr
+    rows = [(float(a), float(b), int(a > 3 and b < 2)) for a in range(8) for b in range(5)]
+    df = spark.createDataFrame(rows, "A double, B double, label int")
+    model, out, classes = tr.derive_tree(df, ["A", "B"], "label")
+    assert model.depth <= 3 and classes == ["0", "1"]
+    assert tr.training_accuracy(out, "label").first()["accuracy"] == 1.0
+    rules = tr.tree_rules(model, ["A", "B"], classes)
+    told = F.lit(None).cast("string")
+    for condition, cls in rules:
+        told = F.when(F.expr(condition), F.lit(cls)).otherwise(told)
+    assert 2 <= len(rules) <= 8 and out.where(~told.eqNullSafe(F.col("prediction"))).count() == 0
+    assert tr.tree_to_text(rules).count("return") == len(rules)

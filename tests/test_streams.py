@@ -38,3 +38,15 @@ def test_delivery_stream_equals_batch(spark, tmp_path):
     got = {(r["k"], r["pos"], r["delivered_at"], r["outcome"]) for r in spark.read.parquet(str(tmp_path / "out/data")).collect()}
     batch = ss.status_delivery(df, ["k"], "pos", "kind", 2).where("delivered_at IS NOT NULL")
     assert got == {(r["k"], r["pos"], r["delivered_at"], r["outcome"]) for r in batch.collect()}
+
+
+def test_late_rows_change_nothing(spark, tmp_path):
+    path = str(tmp_path / "in")
+    first = spark.createDataFrame([(1, 0, "disconnect"), (1, 5, "message")], "k long, pos long, kind string")
+    late = spark.createDataFrame([(1, 3, "connect"), (1, 6, "connect")], first.schema)
+    for df in (first, late):
+        df.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    st.run_to_table(st.delivery_stream(stream, "k", 2), str(tmp_path / "out"))
+    got = {(r["pos"], r["delivered_at"], r["outcome"]) for r in spark.read.parquet(str(tmp_path / "out/data")).collect()}
+    assert got == {(3, None, "late"), (6, 6, "notice"), (5, 6, "held")}

@@ -33,7 +33,7 @@ def upsert_instances(spark: SparkSession, new: DataFrame, path: str, by: Sequenc
         have = spark.read.parquet(path).select(*by).distinct()
         if not new.select(*by).distinct().join(have, list(by), "left_anti").isEmpty():
             raise ValueError("an instance to update does not exist")
-    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    new.hint("rebalance", *[F.col(c) for c in by]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
 def append_runs(spark: SparkSession, runs: DataFrame, path: str) -> None:

@@ -56,12 +56,16 @@ def delivery_stream(stream: DataFrame, key: str, grace: int) -> DataFrame:
     """Columns (key, pos, kind) in; one row per delivery out: (key, pos of the message, delivered_at, outcome)."""
 
     def deliver(ids, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        connected, remaining, held = state.get if state.exists else (True, 0, [])
+        last, connected, remaining, held = state.get if state.exists else (-1, True, 0, [])
         held = list(held)
         rows = pd.concat(list(batches)).sort_values("pos")
         out = []
         for pos, kind in zip(rows["pos"], rows["kind"]):
             pos = int(pos)
+            if pos <= last:
+                out.append((ids[0], pos, None, "late"))
+                continue
+            last = pos
             if kind == "message":
                 if connected:
                     out.append((ids[0], pos, pos, "delivered"))
@@ -78,11 +82,11 @@ def delivery_stream(stream: DataFrame, key: str, grace: int) -> DataFrame:
                 connected, remaining = True, 0
             elif kind == "disconnect":
                 connected, remaining = False, grace
-        state.update((connected, remaining, held))
-        yield pd.DataFrame(out, columns=[key, "pos", "delivered_at", "outcome"])
+        state.update((last, connected, remaining, held))
+        yield pd.DataFrame(out, columns=[key, "pos", "delivered_at", "outcome"]).astype({"delivered_at": "Int64"})
 
     return stream.groupBy(key).applyInPandasWithState(
-        deliver, f"{key} long, pos long, delivered_at long, outcome string", "connected boolean, remaining int, held array<long>",
+        deliver, f"{key} long, pos long, delivered_at long, outcome string", "last long, connected boolean, remaining int, held array<long>",
         "append", GroupStateTimeout.NoTimeout)
 
 
