@@ -12,10 +12,15 @@ _OWN: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names; only a session without one (a test) gets its own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else the context's own
+    checkpoint folder. Only a local session, where there is one machine, may do without and gets a
+    folder of its own; any other session without one is an error, as executors would write files
+    that nobody else can read."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="weighbridge-")
@@ -37,3 +42,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """The same rows from reliable files, so what led to them is not computed again."""
     checkpoint_ready(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """As ``cut_lineage``, but as a Parquet table in the shared folder: smaller, and read by column.
+
+    The files stay until the shared folder is cleared, as later jobs may still read them.
+    """
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
