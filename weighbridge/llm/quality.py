@@ -43,7 +43,7 @@ def repeated_lines(text: bytes) -> int:
     return repeats
 
 
-def judge(docs: DataFrame, model: Ratio, text: str = "text", threshold: float = -0.02) -> DataFrame:
+def judge(docs: DataFrame, model: Ratio, text: str = "text", threshold: float = -0.4) -> DataFrame:
     """``docs`` with the base counts, the mean log ratio per gram, and the verdict.
 
     base_failed: under 50 words, or more than half of the words repeat; kept: not base_failed and
