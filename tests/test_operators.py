@@ -110,7 +110,7 @@ def test_knn_scale_with_one_value_in_a_third_of_the_rows(spark):
     query = np.concatenate([[5.0] * 20, rng.uniform(-20, 90, 60).round(2)])
     t = spark.createDataFrame([(float(x),) for x in train], "v double")
     q = spark.createDataFrame([(float(x),) for x in query], "q double")
-    got = {r["x"]: r["sigma"] for r in ls.knn_scale(t, "v", q, "q", 5, parts=6).collect()}
+    got = {r["x"]: r["sigma"] for r in ls.knn_scale(t, "v", q, "q", 5, rows=20).collect()}
     for x in set(query.tolist()):
         assert got[x] == pytest.approx(np.sort(np.abs(train - x))[:5].mean(), abs=1e-9)
     few = ls.knn_scale(t.limit(3), "v", q, "q", 5).collect()

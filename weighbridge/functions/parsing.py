@@ -2,47 +2,33 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from .numeric import let
 
-_BRACE = re.compile(r"[{}]")
-
-
-def _first_object(text: str | None) -> str | None:
-    if text is None:
-        return None
-    t = text.strip()
-    if t.startswith("{") and t.endswith("}"):
-        return t
-    depth, start = 0, -1
-    for m in _BRACE.finditer(t):
-        if m.group() == "{":
-            if start < 0:
-                start = m.start()
-            depth += 1
-        elif start >= 0:
-            depth -= 1
-            if depth == 0:
-                return t[start:m.end()]
-    return None
+def extract_json_object(text: Column) -> Column:
+    """The whole text when it is braced, else its first balanced ``{...}``; null when there is none.
 
+    From the first opening brace on, the text is cut behind every closing one. A piece has so many
+    openings and one closing; the object ends with the first piece up to which they balance.
+    """
+    trimmed = F.regexp_replace(text, r"^\s+|\s+$", "")
 
-def _first_objects(text: pd.Series) -> pd.Series:
-    return pd.Series([_first_object(t) if isinstance(t, str) else None for t in text], dtype=object)
+    def cut(t: Column) -> Column:
+        pieces = F.regexp_extract_all(F.substr(t, F.greatest(F.locate("{", t), F.lit(1))), F.lit(r"([^}]*\})"), 1)
+        start = F.struct(F.lit(0).alias("depth"), F.lit(0).cast("int").alias("pieces"), F.lit(False).alias("done"))
 
+        def step(a: Column, p: Column) -> Column:
+            depth = a["depth"] + F.length(F.regexp_replace(p, r"[^{]", "")) - 1
+            return F.when(a["done"], a).otherwise(F.struct(depth.alias("depth"), (a["pieces"] + 1).alias("pieces"), (depth == 0).alias("done")))
 
-def extract_json_object(text: Column) -> Column:
-    """The whole text when it is braced, else its first balanced ``{...}``; null when there is none.
+        found = F.aggregate(pieces, start, step)
+        body = F.when(found["done"], F.array_join(F.slice(pieces, F.lit(1), found["pieces"]), ""))
+        whole = t.startswith("{") & t.endswith("}")
+        return F.when(whole, t).when(F.locate("{", t) > 0, body)
 
-    Balanced braces are not a regular language, hence an Arrow batch function.
-    """
-    return pandas_udf(_first_objects, "string")(text)
+    return let(trimmed, cut)
 
 
 def is_object(text: Column) -> Column:
@@ -98,7 +84,7 @@ def normalize_assignment(text: Column) -> Column:
         s = F.trim(F.try_variant_get(v, "$", "string"))
         return (F.when(kind == "STRING", F.when(s.rlike("^[+-]?[0-9]+$"), s.try_cast("int")))
                 .when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("int"))
-                .otherwise(F.try_variant_get(v, "$", "double").cast("int")))
+                .otherwise(F.try_variant_get(v, "$", "double").try_cast("int")))
 
     def key(k: Column) -> Column:
         n = F.when(k.rlike(r"^\s*[+-]?[0-9]+\s*$"), F.trim(k).try_cast("long"))

@@ -19,11 +19,13 @@ def align_by_sample_id(wanted: DataFrame, available: DataFrame, id_: str, pos: s
 
 
 def align_by_position(a: DataFrame, b: DataFrame, pos: str) -> DataFrame:
-    """Rows of two tables with the same position; tables of different sizes cannot be aligned."""
+    """The n-th row of one table with the n-th of the other, in order of their positions; tables of
+    different sizes cannot be aligned. Positions are those of the first table."""
     n, m = a.count(), b.count()
     if n != m:
         raise ValueError(f"cannot align by position: {n} rows against {m}")
-    return a.join(b, pos)
+    right = number_by_position(b, [], pos, "__nth").drop(pos)
+    return number_by_position(a, [], pos, "__nth").join(right, "__nth").drop("__nth")
 
 
 def subset_dataset(chosen: DataFrame, instances: DataFrame, id_: str, lineage: dict[str, Column]) -> DataFrame:

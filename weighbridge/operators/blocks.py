@@ -10,20 +10,6 @@ from pyspark.sql import functions as F
 from .ordered import CHUNK_ROWS, number_by_position
 
 
-def text_bounds(df: DataFrame, column: str, parts: int = 64) -> list[str]:
-    """Cut points of a text column from a seeded sample of at most 16 * parts values."""
-    sample = df.select(column).orderBy(F.md5(column), column).limit(16 * parts).collect()
-    ordered = sorted({r[0] for r in sample if r[0] is not None}, key=lambda s: s.encode())
-    step = max(1, len(ordered) // parts)
-    return ordered[step::step]
-
-
-def text_chunk(value: Column, bounds: Sequence[str]) -> Column:
-    if not bounds:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= value))
-
-
 def list_blocks(df: DataFrame, keys: Sequence[str], rank: str, value: Column, size: int, name: str) -> DataFrame:
     """The values of each key in rank order, as lists of at most ``size`` (keys, block, name)."""
     cut = df.withColumn("block", F.floor((F.col(rank) - 1) / size).cast("long"))

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.parsing import is_object
 from ..functions.text import parse_mode, slug
-from .blocks import list_blocks, text_bounds, text_chunk
-from .ordered import running
+from .blocks import list_blocks
+from .model import small_table
+from .ordered import chunked, running
 
 # fixed values: presets by complexity (labels, rules, variables, categories from/to, numerical variables, spans, properties)
 COMPLEXITIES = {
@@ -27,8 +28,7 @@ INTRO_SAMPLES = 10
 def complexity(configs: DataFrame) -> DataFrame:
     """Preset columns of a config's complexity, an error for unknown ones, and the sample cap of
     rendered interactive datasets."""
-    presets = configs.sparkSession.createDataFrame(
-        [(k, *v) for k, v in COMPLEXITIES.items()], "udd_complexity int, " + ", ".join(f"{c} int" for c in _PRESET))
+    presets = small_table(configs.sparkSession, [(k, *v) for k, v in COMPLEXITIES.items()], "udd_complexity int, " + ", ".join(f"{c} int" for c in _PRESET))
     interactive = (F.col("level") == "files") & (F.coalesce("mode", F.lit("static")) != "static")
     return configs.join(presets, "udd_complexity", "left").withColumns({
         "error": F.when(F.col("labels").isNull(), F.concat(F.lit("Unrecognized UDD complexity level: "), F.col("udd_complexity").cast("string"))),
@@ -89,8 +89,7 @@ def pending_groups(configs: DataFrame, block: int = 10_000) -> DataFrame:
     keys = ["level", "mode", "num_samples"]
     rows = configs.select(F.coalesce("level", F.lit("raw")).alias("level"), parse_mode(F.col("mode"), F.lit("static")).alias("mode"),
                           "num_samples", F.col("dataset_id").alias("path"))
-    chunk = text_chunk(F.col("path"), text_bounds(rows, "path"))
-    ranked = running(rows, keys, ["path"], chunk, {"__rank": ("sum", F.lit(1).cast("long"))})
+    ranked = running(chunked(rows, ["path", *keys]), keys, ["path"], F.col("__part"), {"__rank": ("sum", F.lit(1).cast("long"))})
     static = F.col("mode") == "static"
     return list_blocks(ranked, keys, "__rank", F.col("path"), block, "paths").withColumns({
         "intro": F.when(static, F.col("num_samples")).otherwise(F.lit(INTRO_SAMPLES)),

@@ -5,24 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.storage import cut_lineage
-from .ordered import bounds_chunk, chunk_count, running, value_bounds
+from .ordered import CHUNK_ROWS, chunked, running
 
 
-def knn_scale(train: DataFrame, value: str, queries: DataFrame, query: str, k: int, parts: int | None = None) -> DataFrame:
+def knn_scale(train: DataFrame, value: str, queries: DataFrame, query: str, k: int, rows: int = CHUNK_ROWS) -> DataFrame:
     """Mean distance from every distinct query value to its k nearest training values.
 
     Equal training values are first merged, at most k copies of each (more can never be among
     the k nearest), so a value that fills a third of the table is one small row. The rest is
-    ordered and numbered in chunks between sampled bounds; the k nearest of a query lie among
+    ordered and numbered in chunks; the k nearest of a query lie among
     the k numbers on either side of its place. Fewer than k training values give null.
     """
     merged = train.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("x")).agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("n"))
     asked = queries.where(F.col(query).isNotNull()).select(F.col(query).cast("double").alias("x")).distinct()
     both = merged.select("x", "n", F.lit(False).alias("ask")).unionByName(asked.select("x", F.lit(0).cast("long").alias("n"), F.lit(True).alias("ask")))
-    both = cut_lineage(both)  # from here on only distinct values are read, several times
-    bounds = value_bounds(both.where(~F.col("ask")), "x", parts or chunk_count(train))
-    placed = running(both, [], ["x", "ask"], bounds_chunk(F.col("x"), bounds), {"upto": ("sum", F.col("n"))})
+    placed = running(chunked(both, ["x", "ask"], rows), [], ["x", "ask"], F.col("__part"), {"upto": ("sum", F.col("n"))})
     known = placed.where(~F.col("ask")).select(F.explode(F.sequence(F.col("upto") - F.col("n") + 1, F.col("upto"))).alias("place"), F.col("x").alias("t"))
     near = placed.where("ask").select("x", F.explode(F.sequence(F.greatest(F.col("upto") - (k - 1), F.lit(1).cast("long")), F.col("upto") + k)).alias("place"))
     distances = near.join(known, "place").groupBy("x").agg(F.sort_array(F.collect_list(F.abs(F.col("x") - F.col("t")))).alias("d"))

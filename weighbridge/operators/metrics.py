@@ -11,8 +11,15 @@ INVALID = -1
 
 
 def prediction_label(raw: Column) -> Column:
-    """int-castable label of a prediction, -1 when there is none."""
-    return F.coalesce(raw.cast("string").try_cast("double").cast("int"), F.lit(INVALID))
+    """int-castable label of a prediction, -1 when there is none.
+
+    A text must be a whole number; a real number is cut; NaN and what no int can hold are no label.
+    """
+    text = F.regexp_replace(raw.cast("string"), "^[ \\t\\r\\n]+|[ \\t\\r\\n]+$", "")
+    from_text = F.when(text.rlike("^[+-]?[0-9]+$"), text.try_cast("int"))
+    number = F.when(~F.isnan(raw.try_cast("double")), raw.try_cast("double"))
+    from_number = F.when(number >= 0, F.floor(number)).otherwise(F.ceil(number)).try_cast("int")
+    return F.coalesce(F.when(F.typeof(raw) == "string", from_text).otherwise(from_number), F.lit(INVALID))
 
 
 def _div(n: Column, d: Column) -> Column:
@@ -39,14 +46,13 @@ def label_universe(counts: DataFrame, labels: int = 0, keys: Sequence[str] = ())
 def confusion_matrix(counts: DataFrame, labels: int = 0, keys: Sequence[str] = ()) -> DataFrame:
     """Dense (keys, label, pred, n) over the label universe.
 
-    The counts of a key (at most labels squared) are gathered once and padded with zero cells, so
-    whatever produced them runs a single time.
+    The labels of a key are one list; its cells are made by exploding that list twice, so no row
+    ever holds labels squared.
     """
-    cells = counts.groupBy(*keys).agg(F.collect_list(F.struct("label", "pred", "n")).alias("c"))
-    seen = F.array_union(F.transform("c", lambda x: x["label"]), F.transform("c", lambda x: x["pred"]))
-    rows = cells.select(*keys, "c", F.array_union(_known(labels), seen).alias("u"))
-    zeros = F.flatten(F.transform("u", lambda a: F.transform("u", lambda b: F.struct(a.alias("label"), b.alias("pred"), F.lit(0).cast("long").alias("n")))))
-    return rows.select(*keys, F.inline(F.concat("c", zeros))).groupBy(*keys, "label", "pred").agg(F.sum("n").alias("n"))
+    seen = label_universe(counts, labels, keys)
+    grid = seen.select(*keys, "labels", F.explode("labels").alias("label")).select(*keys, "label", F.explode("labels").alias("pred"))
+    zeros = grid.select(*keys, "label", "pred", F.lit(0).cast("long").alias("n"))
+    return counts.select(*zeros.columns).unionByName(zeros).groupBy(*keys, "label", "pred").agg(F.sum("n").alias("n"))
 
 
 def per_label_metrics(counts: DataFrame, labels: int = 0, keys: Sequence[str] = ()) -> DataFrame:

@@ -80,7 +80,7 @@ class Model:
 
     def tables(self, spark: SparkSession) -> dict[str, DataFrame]:
         """The model as long tables; their size is fixed by the model, not by the data."""
-        make = spark.createDataFrame
+        make = lambda rows, schema: small_table(spark, rows, schema)
         return {
             "categories": make(self.category_rows(), "var string, label int, cat int, weight double, score double"),
             "numeric": make(self.numeric_rows(),
@@ -92,6 +92,25 @@ class Model:
         }
 
 
+def small_table(spark: SparkSession, rows, schema: str) -> DataFrame:
+    """Rows as literals of the plan, so Spark knows how small the table is and joins by broadcast."""
+    def text(x) -> str:
+        if x is None:
+            return "NULL"
+        if isinstance(x, bool):
+            return str(x)
+        if isinstance(x, str):
+            return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return f"{x!r}D" if isinstance(x, float) else str(x)
+
+    fields = [f.strip().split(" ") for f in schema.split(",")]
+    if not rows:
+        return spark.createDataFrame([], schema)
+    values = ", ".join("(" + ", ".join(text(x) for x in r) + ")" for r in rows)
+    names = ", ".join(n for n, _ in fields)
+    return spark.sql(f"SELECT {', '.join(f'CAST({n} AS {t}) AS {n}' for n, t in fields)} FROM VALUES {values} AS t({names})")
+
+
 def model_from_tables(categories, numeric, spans, rules, labels: int, order: list[str]) -> Model:
     """Build a driver-side model from the (small) parameter rows of one model id."""
     by_var: dict[str, dict] = {}

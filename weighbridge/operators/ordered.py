@@ -7,13 +7,13 @@ is smaller by the chunk size) are added, so one group may hold any share of the
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.seeded import md5_bucket
+from ..sources.storage import stored
 
 CHUNK_ROWS = 1_000_000
 
@@ -90,47 +90,36 @@ def number_by_key(df, keys, key: str, name: str = "rn", digits: int = 4, tie: Se
     )
 
 
-def chunk_count(df: DataFrame) -> int:
-    """How many chunks an ordering is cut into: a few per shuffle partition."""
-    return max(64, min(4096, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+def chunked(df: DataFrame, order: Sequence[Column | str], rows: int = CHUNK_ROWS) -> DataFrame:
+    """The rows in a written table with ``__part``, a chunk number that rises with ``order``.
 
-
-def value_bounds(df: DataFrame, column: str, parts: int, isolate: bool = False) -> list[float]:
-    """Cut points of a numeric column at even shares of the rows.
-
-    With ``isolate`` a value frequent enough to appear as several cut points gets a chunk of
-    its own, by a second cut just above it.
+    Spark's range partitioning cuts the order into pieces of about ``rows`` rows, however many
+    rows there are; equal values are split as well if ``order`` ends in a column that tells them apart. The
+    table is written because both passes of ``running`` must see the same cuts.
     """
-    fractions = [i / parts for i in range(1, parts)]
-    row = df.agg(F.percentile_approx(F.col(column).cast("double"), fractions, 10_000).alias("q")).first()
-    cuts = row["q"] or []
-    heavy = {a for a, b in zip(cuts, cuts[1:]) if a == b} if isolate else set()
-    return sorted(set(cuts) | {math.nextafter(h, math.inf) for h in heavy})
-
-
-def bounds_chunk(value: Column, bounds: Sequence[float]) -> Column:
-    """Number of cut points at or below a value, found in two steps of at most 64 comparisons."""
-    if not bounds:
-        return F.lit(0)
-    groups = [list(bounds[i:i + 64]) for i in range(0, len(bounds), 64)]
-    text = "array(" + ", ".join("array(" + ", ".join(f"{float(b)!r}D" for b in g) + ")" for g in groups) + ")"
-    heads = "array(" + ", ".join(f"{float(g[0])!r}D" for g in groups[1:]) + ")" if len(groups) > 1 else "CAST(array() AS ARRAY<DOUBLE>)"
-    coarse = F.size(F.filter(F.expr(heads), lambda h: h <= value))
-    return coarse * 64 + F.size(F.filter(F.get(F.expr(text), coarse), lambda b: b <= value))
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))
+    return stored(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "ordered")
 
 
 def number_by_value(df: DataFrame, column: str, tie: str, name: str = "rn", descending: bool = False) -> DataFrame:
-    """row_number() of the whole table by a numeric column, ties by a second numeric column.
-
-    Values that fill a share of the table get chunks of their own, cut further by the tie column.
-    """
-    parts = chunk_count(df)
-    bounds = value_bounds(df, column, parts, isolate=True)
-    single = [b for b in bounds if math.nextafter(b, math.inf) in set(bounds)]
-    chunk = bounds_chunk(F.col(column).cast("double"), bounds)
-    within = F.lit(0)
-    if single:
-        within = F.when(F.col(column).cast("double").isin(single), bounds_chunk(F.col(tie).cast("double"), value_bounds(df, tie, parts))).otherwise(0)
+    """row_number() of the whole table by a column, ties by a second one."""
     order = [F.col(column).desc() if descending else F.col(column), F.col(tie)]
-    return running(df, [], order, F.struct((-chunk if descending else chunk).alias("a"), within.alias("b")),
-                   {name: ("sum", F.lit(1).cast("long"))})
+    return running(chunked(df, order), [], order, F.col("__part"), {name: ("sum", F.lit(1).cast("long"))}).drop("__part")
+
+
+def smallest_key(df: DataFrame, key: str, k: int, digits: int = 3, size: int = 32) -> str | None:
+    """The k-th smallest of hexadecimal keys, found a few digits at a time from counts (16**digits
+    numbers per pass reach the driver); null when there are no more than k rows."""
+    known, left = "", k
+    while len(known) < size:
+        step = min(digits, size - len(known))
+        near = df.where(F.col(key).startswith(known)) if known else df
+        counts = sorted((r["d"], r["count"]) for r in near.groupBy(F.substring(key, len(known) + 1, step).alias("d")).count().collect())
+        if sum(n for _, n in counts) <= left:
+            return known + "g" if known else None  # every key with this beginning
+        for d, n in counts:
+            if n >= left:
+                known += d
+                break
+            left -= n
+    return known

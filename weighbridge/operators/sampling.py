@@ -12,10 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.seeded import draw_index, md5_key, u01
-from .ordered import number_by_key, number_by_position
-
-
-MERGED_ROWS = 100_000
+from .ordered import number_by_key, number_by_position, smallest_key
 
 
 def stratified_rank(df: DataFrame, by: Sequence[str], seed, ids: Sequence[str], name: str = "rank") -> DataFrame:
@@ -33,13 +30,14 @@ def seeded_shuffle(df: DataFrame, seed, ids: Sequence[str]) -> DataFrame:
 def sample_rows(df: DataFrame, k: int, seed, ids: Sequence[str]) -> DataFrame:
     """k rows without replacement (all rows if fewer): the k smallest md5 keys.
 
-    A small k is kept per partition and merged; a large one is cut by a distributed rank, as no
-    single task should hold it.
+    The largest key that still belongs is found from counts; the rows are then a plain filter,
+    whatever k is. Rows with equal ids have equal keys and stay or go together.
     """
+    if k <= 0:
+        return df.limit(0)
     key = md5_key(seed, *[F.col(i) for i in ids])
-    if k <= MERGED_ROWS:
-        return df.orderBy(key, *ids).limit(k)
-    return stratified_rank(df, [], seed, ids, "__rank").where(F.col("__rank") <= k).drop("__rank")
+    last = smallest_key(df.select(key.alias("__key")), "__key", k)
+    return df if last is None else df.where(key <= last)
 
 
 def label_from_scores(scores: Column, draw: Column | None = None) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clamp01, equal_span_bounds, interpolated_weight
@@ -17,7 +17,6 @@ from ..functions.seeded import draw_index, u01
 from ..sources.storage import cut_lineage
 from .analysis import analysis_aggregates, early_stop_minimum, passes, penalty, radix_digits, with_fractions
 from .ordered import number_by_value
-from .sampling import MERGED_ROWS
 from .scoring import argmax_label, decisiveness, ratio
 
 
@@ -185,13 +184,8 @@ def score_population(cands: DataFrame, shape: Shape, max_gap: float, min_require
 
 
 def elite(scored: DataFrame, population: int) -> DataFrame:
-    """The max(1, population // 4) candidates of lowest penalty.
-
-    Small populations are merged; of large ones every candidate gets a distributed rank.
-    """
+    """The max(1, population // 4) candidates of lowest penalty, by a distributed rank."""
     k = max(1, population // 4)
-    if k <= MERGED_ROWS:
-        return scored.orderBy("penalty", "cand").limit(k)
     return number_by_value(scored, "penalty", "cand", "__rank").where(F.col("__rank") <= k).drop("__rank")
 
 
@@ -205,10 +199,7 @@ def best_candidate(scored: DataFrame) -> DataFrame:
 def next_generation(cands: DataFrame, winners: DataFrame, shape: Shape, population: int, seed, rate: float) -> DataFrame:
     """Winners keep their places 0..k-1, the other places are mutants of randomly chosen winners."""
     k = max(1, population // 4)
-    if k <= MERGED_ROWS:  # so few winners may share one task
-        places = winners.select("cand", F.row_number().over(Window.orderBy("penalty", "cand")).alias("place"))
-    else:
-        places = number_by_value(winners.select("cand", "penalty"), "penalty", "cand", "place")
+    places = number_by_value(winners.select("cand", "penalty"), "penalty", "cand", "place")
     ranked = places.select("cand", (F.col("place") - 1).cast("int").alias("place"))
     parents = cands.join(ranked, "cand").drop("cand")
     places = cands.sparkSession.range(population).withColumnRenamed("id", "cand").withColumn(

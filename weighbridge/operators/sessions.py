@@ -32,18 +32,24 @@ def tool_cost(name: Column) -> Column:
 
 
 def budget_ledger(calls: DataFrame, keys: Sequence[str], pos: str, cost: str, runnable: str, budget: str,
-                  costs: Sequence[int], rows: int = 100_000) -> DataFrame:
+                  costs: Sequence[int] | None = None, rows: int = 100_000) -> DataFrame:
     """Charge calls in order against a budget per session; add ``outcome``, ``charged`` and ``left``.
 
     A call that is not runnable is free; one dearer than what is left is rejected and costs
-    nothing; a null budget is unlimited. ``costs`` lists the positive costs that occur.
+    nothing; a null budget is unlimited. ``costs`` lists the positive costs that occur (read from
+    the table when left out); a call with another cost ends the job with an error.
 
     The sequential rule is split by cost: as long as nothing was rejected, accepted costs are a
     running sum; the first rejection rules out the dearest cost for good, so the next stage
     repeats the sum over the cheaper calls that follow, against what was left. There are as
     many running sums as distinct costs, whatever the length of a session.
     """
+    if costs is None:
+        costs = [r[0] for r in calls.where(F.col(runnable) & (F.col(cost) > 0)).select(cost).distinct().collect()] or [1]
     dear_first = sorted(set(costs), reverse=True)
+    listed = F.col(cost).isin(*dear_first) | (F.col(cost) <= 0) | ~F.col(runnable)
+    calls = calls.withColumn(cost, F.when(F.coalesce(listed, F.lit(True)), F.col(cost)).otherwise(
+        F.raise_error(F.concat(F.lit("a cost that is not listed: "), F.col(cost).cast("string"))).cast(calls.schema[cost].dataType)))
     chunk = position_chunk(F.col(pos), rows)
     df = calls.withColumns({"__left_0": F.col(budget).cast("long"), "__open_0": F.col(runnable) & (F.col(cost) > 0)})
     for k, limit in enumerate(dear_first):
@@ -124,11 +130,18 @@ def session_counts(messages: DataFrame, keys: Sequence[str], role: str, calls: C
 
 
 def tool_call_pairing(calls: DataFrame, responses: DataFrame, keys: Sequence[str], call_id: str) -> DataFrame:
-    """Responses with the tool name of their call; without a call the name is null and a warning is set."""
-    names = calls.groupBy(*keys, call_id).agg(F.max_by("name", "pos").alias("name"))
-    j = responses.join(names, [*keys, call_id], "left")
-    return j.withColumn("warning", F.when(F.col("name").isNull(), F.concat(
-        F.lit("Could not find function name for tool_call_id "), F.col(call_id).cast("string"))))
+    """Responses with the tool name of their call; those without a call drop out."""
+    return responses.join(_call_names(calls, keys, call_id), [*keys, call_id])
+
+
+def _call_names(calls: DataFrame, keys: Sequence[str], call_id: str) -> DataFrame:
+    return calls.groupBy(*keys, call_id).agg(F.max_by("name", "pos").alias("name"))
+
+
+def unpaired_responses(calls: DataFrame, responses: DataFrame, keys: Sequence[str], call_id: str) -> DataFrame:
+    """The responses that pairing drops, with a warning."""
+    lost = responses.join(_call_names(calls, keys, call_id), [*keys, call_id], "left_anti")
+    return lost.withColumn("warning", F.concat(F.lit("Could not find function name for tool_call_id "), F.col(call_id).cast("string")))
 
 
 def shared_samples(shared: DataFrame, samples: DataFrame, id_: str) -> DataFrame:
@@ -165,9 +178,6 @@ def theory_history(sources: Sequence[DataFrame], keys: Sequence[str], pos: str)
     return running(both, keys, [pos], position_chunk(F.col(pos)), {"evaluation": ("sum", F.lit(1).cast("long"))})
 
 
-RECONNECT_NOTICE = "You have reconnected. Your session is now synced with the latest status updates."
-
-
 def status_delivery(events: DataFrame, keys: Sequence[str], pos: str, kind: str, grace: int, rows: int = 100_000) -> DataFrame:
     """What happens to every event of a client: kind is connect, disconnect, message or turn.
 

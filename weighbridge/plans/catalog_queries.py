@@ -37,13 +37,13 @@ def _(spark, sf):
     return ct.dataset_roots(dataset_files(spark, sf))
 
 
-@query("resolve_paths", f"""SELECT {ROOT} AS root, min(o_orderkey) AS first_pos FROM customer JOIN (SELECT *, CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END AS exact FROM orders)
-  ON (exact = 1 AND o_custkey = c_custkey) OR (exact = 0 AND o_orderpriority = '1-URGENT' AND c_nationkey = o_custkey % 20) GROUP BY ALL""")
+@query("resolve_paths", f"""SELECT {ROOT} AS root, min(o_orderkey) AS first_pos FROM customer JOIN (SELECT *, CASE WHEN o_orderpriority = '1-URGENT' THEN 0 ELSE 1 END AS exact FROM orders)
+  ON (exact = 1 AND o_custkey = c_custkey) OR (exact = 0 AND c_nationkey = o_custkey % 20) GROUP BY ALL""")
 def _(spark, sf):
     r = roots(spark, sf)
     o = table(spark, sf, "orders")
-    exact = o.where("o_orderstatus = 'P'").join(r, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("pos"), F.col("root").alias("path"))
-    wide = o.where("o_orderstatus <> 'P' AND o_orderpriority = '1-URGENT'").select(
+    exact = o.where("o_orderpriority <> '1-URGENT'").join(r, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("pos"), F.col("root").alias("path"))
+    wide = o.where("o_orderpriority = '1-URGENT'").select(
         F.col("o_orderkey").alias("pos"), F.concat(F.lit("/data/n"), (F.col("o_custkey") % 20).cast("string")).alias("path"))
     return ct.resolve_paths(exact.unionByName(wide), r.select("root"))
 
@@ -215,12 +215,15 @@ def _(spark, sf):
     return t.select("dataset_id", "name", F.array_join("missing", ",").alias("missing"), "accuracy", F.col("textual_llm_theory").alias("theory"))
 
 
-@query("write_noise_theories", "SELECT user_id AS dataset_id, count(*) AS theories FROM events WHERE event_type NOT IN ('error', 'view') GROUP BY 1")
+@query("write_noise_theories", "SELECT user_id AS dataset_id, count(*) AS theories, CAST(count(*) FILTER (event_id % 3 = 0) AS BIGINT) AS replaced FROM events WHERE event_type NOT IN ('error', 'view') GROUP BY 1")
 def _(spark, sf):
     path = fresh_path(spark, "theories")
     t = ct.read_noise_theories(theory_docs(spark, sf))
     sk.write_theories(t, path)
-    return spark.read.parquet(path).groupBy(F.col("dataset_id").cast("long").alias("dataset_id")).agg(F.count("*").alias("theories"))
+    again = t.where(F.regexp_extract("name", "([0-9]+)$", 1).cast("long") % 3 == 0).withColumn("accuracy", F.lit(0.9))
+    sk.write_theories(again, path)  # some theories come once more, under their old names
+    return spark.read.parquet(path).groupBy(F.col("dataset_id").cast("long").alias("dataset_id")).agg(
+        F.count("*").alias("theories"), F.count_if(F.col("accuracy") == 0.9).alias("replaced"))
 
 
 def property_docs(spark, sf):
@@ -387,7 +390,8 @@ def _(spark, sf):
     o = table(spark, sf, "orders")
     samples = o.select(F.col("o_orderpriority").alias("dataset_id"), F.lit("raw").alias("level"), F.col("o_orderstatus").alias("instance"), F.col("o_orderkey").alias("sample_idx"), (F.col("o_custkey") % 2).alias("label"))
     instances = samples.select("dataset_id", "level", "instance").distinct()
-    sk.write_dataset({"samples": samples, "instances": instances}, path, {"samples": ["dataset_id", "level", "instance"], "instances": ["dataset_id"]})
+    for part in ("dataset_id < '3'", "dataset_id >= '3'"):  # the second save leaves the datasets of the first alone
+        sk.write_dataset({"samples": samples.where(part), "instances": instances.where(part)}, path)
     return spark.read.parquet(f"{path}/samples").groupBy("dataset_id", "level", "instance").agg(F.count("*").alias("samples"), F.sum("label").alias("ones"))
 
 

@@ -73,10 +73,14 @@ g AS (SELECT status, 'main' AS property, max(abs(n / total - 1/3::DOUBLE)) AS ga
  UNION ALL SELECT status, 'tone', max(abs(n / total - 0.5)) FROM (SELECT status, label, count(*) AS n, sum(count(*)) OVER (PARTITION BY status) AS total FROM labt JOIN smp USING (sid) GROUP BY status, label) GROUP BY status)
 SELECT status, round(avg(gap), 6) AS property_gap, count(*) AS properties FROM g GROUP BY status""")
 def _(spark, sf):
+    # both labels of a row in one pass, then one small row per status, property and label
     df = order_samples(spark, sf)
-    gaps = [an.analyze(sc.score_wide(df, m, cats(), values()), m.labels, ["status"]).select("status", F.lit(n).alias("property"), "max_gap")
-            for n, m in (("main", MODEL), ("tone", TONE))]
-    return gaps[0].unionByName(gaps[1]).groupBy("status").agg(r6(F.avg("max_gap")).alias("property_gap"), F.count("*").alias("properties"))
+    one = sc.score_wide(df, MODEL, cats(), values()).select(*df.columns, F.col("label").alias("main"))
+    two = sc.score_wide(one, TONE, cats(), values()).select("status", "main", F.col("label").alias("tone"))
+    n = lambda c, labels: F.array(*[F.count_if(F.col(c) == i) for i in range(labels)])
+    counts = two.groupBy("status").agg(F.count("*").alias("total"), n("main", MODEL.labels).alias("main"), n("tone", TONE.labels).alias("tone"))
+    gap = lambda c, labels: F.array_max(F.transform(c, lambda x: F.abs(x / F.col("total") - 1.0 / labels)))
+    return counts.select("status", r6((gap("main", MODEL.labels) + gap("tone", TONE.labels)) / 2).alias("property_gap"), F.lit(2).cast("long").alias("properties"))
 
 
 @query("udd_penalty", f"""{with_scores()},

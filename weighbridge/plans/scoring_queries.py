@@ -93,9 +93,9 @@ def _(spark, sf):
 
 
 @query("weight_score_lookup", f"""WITH {SQL_ORDERS}, {sql_model(MODEL)}, {sql_scores()}
-SELECT sid, label, entity, round(w, 6) AS weight, round(s, 6) AS score FROM ent WHERE entity IN ('V0', 'V3')""")
+SELECT sid, label, entity, round(w, 6) AS weight, round(s, 6) AS score FROM ent WHERE entity LIKE 'V%'""")
 def _(spark, sf):
-    rows = sc.contributions(order_samples(spark, sf), MODEL, {v: F.col(v) for v in ("V0", "V3")}, values())
+    rows = sc.contributions(order_samples(spark, sf), MODEL, cats(), values()).where(F.col("entity").startswith("V"))
     return rows.select("sid", "label", "entity", r6("weight").alias("weight"), r6("score").alias("score"))
 
 
@@ -169,12 +169,14 @@ def _(spark, sf):
     return order_samples(spark, sf).select("sid", sc.classifier(MODEL, inputs).alias("label"))
 
 
-@query("classifier_contract", """SELECT event_id, coalesce(CAST(trunc(TRY_CAST(CASE WHEN event_type = 'error' THEN 'oops'
-  ELSE json_extract_string(props, '$.k') END AS DOUBLE)) AS INTEGER), -1) AS pred FROM events""")
+@query("classifier_contract", """SELECT event_id, CASE WHEN event_type = 'error' OR event_id % 5 < 4 THEN -1 ELSE CAST(json_extract_string(props, '$.k') AS INTEGER) END AS pred,
+  CASE WHEN event_id % 3 = 0 THEN -1 ELSE CAST(trunc(value) AS INTEGER) END AS from_number FROM events""")
 def _(spark, sf):
     from ..operators.metrics import prediction_label
-    raw = F.when(F.col("event_type") == "error", "oops").otherwise(F.get_json_object("props", "$.k"))
-    return table(spark, sf, "events").select("event_id", prediction_label(raw).alias("pred"))
+    odd = F.get(F.array(*[F.lit(x) for x in ("nan", "1e20", "3.7", "99999999999")]), (F.col("event_id") % 5).cast("int"))
+    raw = F.when(F.col("event_type") == "error", "oops").otherwise(F.coalesce(odd, F.get_json_object("props", "$.k")))
+    number = F.when(F.col("event_id") % 6 == 0, F.lit(float("nan"))).when(F.col("event_id") % 3 == 0, 1e20).otherwise(F.col("value"))
+    return table(spark, sf, "events").select("event_id", prediction_label(raw).alias("pred"), prediction_label(number).alias("from_number"))
 
 
 @query("normalize_param_tables", """WITH grid AS (SELECT p_partkey, l.l AS label, c.c AS cat FROM part, range(2) l(l), range(3) c(c)),

@@ -54,7 +54,7 @@ def _(spark, sf):
 
 @query("budget_ledger", f"WITH {LEDGER} SELECT conv_id, turn AS pos, outcome, charged, left_ AS left FROM f WHERE outcome <> ''".replace("AS left ", 'AS "left" '))
 def _(spark, sf):
-    return ss.budget_ledger(calls(spark, sf), ["conv_id"], "pos", "cost", "runnable", "budget", [1, 5]).select("conv_id", "pos", "outcome", "charged", "left")
+    return ss.budget_ledger(calls(spark, sf), ["conv_id"], "pos", "cost", "runnable", "budget").select("conv_id", "pos", "outcome", "charged", "left")
 
 
 @query("experiment_index", "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS experiment_index FROM conversations WHERE role = 'user'")
@@ -97,12 +97,23 @@ def _(spark, sf):
 
 
 @query("tool_call_pairing", """WITH c AS (SELECT conv_id, turn + 1 AS call_id, 'tool_' || turn AS name FROM conversations WHERE role = 'user')
-SELECT r.conv_id, r.turn AS call_id, name, CASE WHEN name IS NULL THEN 'Could not find function name for tool_call_id ' || r.turn END AS warning FROM (SELECT * FROM conversations WHERE role <> 'user') r LEFT JOIN c ON c.conv_id = r.conv_id AND c.call_id = r.turn""")
+SELECT r.conv_id, r.turn AS call_id, name FROM (SELECT * FROM conversations WHERE role <> 'user') r JOIN c ON c.conv_id = r.conv_id AND c.call_id = r.turn""")
 def _(spark, sf):
+    asked, answers = tool_logs(spark, sf)
+    return ss.tool_call_pairing(asked, answers, ["conv_id"], "call_id")
+
+
+@query("unpaired_tool_responses", """SELECT r.conv_id, r.turn AS call_id, 'Could not find function name for tool_call_id ' || r.turn AS warning FROM conversations r
+ WHERE role <> 'user' AND NOT EXISTS (SELECT 1 FROM conversations c WHERE c.role = 'user' AND c.conv_id = r.conv_id AND c.turn + 1 = r.turn)""")
+def _(spark, sf):
+    asked, answers = tool_logs(spark, sf)
+    return ss.unpaired_responses(asked, answers, ["conv_id"], "call_id")
+
+
+def tool_logs(spark, sf):
     c = table(spark, sf, "conversations")
     asked = c.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("call_id"), F.concat(F.lit("tool_"), F.col("turn").cast("string")).alias("name"), F.col("turn").alias("pos"))
-    answers = c.where("role <> 'user'").select("conv_id", F.col("turn").alias("call_id"))
-    return ss.tool_call_pairing(asked, answers, ["conv_id"], "call_id")
+    return asked, c.where("role <> 'user'").select("conv_id", F.col("turn").alias("call_id"))
 
 
 @query("session_counts", "SELECT conv_id, least(3, count(*) FILTER (role = 'assistant')) AS num_turns, CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) % 3 END), 0) AS BIGINT) AS num_tool_calls FROM conversations GROUP BY conv_id")
@@ -127,9 +138,9 @@ def _(spark, sf):
     return ss.experiment_totals([one("click"), one("view")], ["user_id"])
 
 
-@query("theory_history", "SELECT conv_id, turn, substr(text, 1, 40) AS theory, length(text) / 2000 AS accuracy, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS evaluation FROM conversations WHERE role IN ('assistant', 'system')")
+@query("theory_history", "SELECT conv_id, turn, text AS theory, regexp_extract(text, '[A-Za-z]+') AS code, conv_id % 11 / 10 AS accuracy, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS evaluation FROM conversations WHERE role IN ('assistant', 'system')")
 def _(spark, sf):
-    c = table(spark, sf, "conversations").select("conv_id", "turn", "role", F.substring("text", 1, 40).alias("theory"), (F.length("text") / 2000).alias("accuracy"))
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "role", F.col("text").alias("theory"), F.regexp_extract("text", "[A-Za-z]+", 0).alias("code"), (F.col("conv_id") % 11 / 10).alias("accuracy"))
     return ss.theory_history([c.where("role = 'assistant'").drop("role"), c.where("role = 'system'").drop("role")], ["conv_id"], "turn")
 
 
@@ -146,8 +157,10 @@ def requests(spark, sf):
     return order_samples(spark, sf).select("sid", "custkey", F.expr(_REQUEST).alias("request"))
 
 
-def ran(spark, sf, support=TONE_LABELS):
-    return ex.run_experiments(requests(spark, sf), MODEL, "request", F.create_map(F.lit(0), F.lit("Accept")), {"tone": (TONE, support)})
+def ran(spark, sf, **supports):
+    """Experiments with the property "tone" under one or several names, each with its labels."""
+    return ex.run_experiments(requests(spark, sf), MODEL, "request", F.create_map(F.lit(0), F.lit("Accept")),
+                              {name: (TONE, labels) for name, labels in (supports or {"tone": TONE_LABELS}).items()})
 
 
 @query("run_experiments", f"""{_RUN} SELECT sid, CASE WHEN message IS NULL THEN 'Success' ELSE 'Error' END AS status, message, CASE WHEN message IS NULL THEN lb END AS label, CASE WHEN message IS NULL THEN CASE lb WHEN 0 THEN 'Accept' ELSE 'Label ' || lb END END AS label_name,
@@ -158,8 +171,7 @@ def _(spark, sf):
 
 @query("experiment_properties", f"{_RUN} SELECT sid, CASE WHEN message IS NULL AND lb IN (0, 2) THEN tn END AS gated, CASE WHEN message IS NULL THEN tn END AS open FROM x")
 def _(spark, sf):
-    free = ran(spark, sf, []).select("sid", F.col("tone").alias("open"))
-    return ran(spark, sf).select("sid", F.col("tone").alias("gated")).join(free, "sid")
+    return ran(spark, sf, gated=TONE_LABELS, open=[]).select("sid", "gated", "open")
 
 
 @query("experiment_line", f"""{_RUN} SELECT sid, 'Labels: ' || CASE lb WHEN 0 THEN 'Accept' ELSE 'Label ' || lb END || CASE WHEN lb IN (0, 2) THEN ', tone=' || tn ELSE '' END || ' | V0=' || V0 || ', V1=' || V1 || ', V2=' || V2 || ', V3=' || V3 || ', V4=' || V4 || ', Z=1' AS line FROM x WHERE message IS NULL""")
@@ -299,6 +311,9 @@ dv AS (SELECT user_id, pos, CASE WHEN kind = 'message' THEN CASE WHEN NOT off TH
  CASE WHEN kind = 'message' AND NOT off OR kind = 'connect' AND off THEN pos WHEN kept THEN conn END AS delivered_at FROM d)"""
 
 
+FILES_PER_TRIGGER = 1000
+
+
 def connection_log(df):
     return df.select("user_id", F.col("event_id").alias("pos"), F.expr(_KIND).alias("kind"))
 
@@ -309,9 +324,10 @@ def _(spark, sf):
 
 
 def stream_of(spark, sf, name):
-    """The table as a stream of its file."""
+    """The table, a file or a folder of files, as a stream (a pattern, as a stream's plain path must
+    be a folder)."""
     schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_TRIGGER).parquet(f"{sf}/{name}.parque[t]")
 
 
 @query("stream_status_delivery", f"WITH {DELIVERY} SELECT user_id, pos, outcome, delivered_at FROM dv WHERE delivered_at IS NOT NULL")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import blocks as bl
 from ..operators import scoring as sc
+from ..operators.model import small_table
 from .bridge import (MODEL, SEED, SQL_ORDERS, VARS, cats, order_samples, sql_u01, table, values, with_scores)
 from .registry import query
 
@@ -56,7 +57,7 @@ def _(spark, sf):
 @query("phrase_join", f"""WITH {SQL_ORDERS}, l AS (SELECT sid, unnest(['V0','V1','V2']) AS var, unnest([V0, V1, V2]) AS cat FROM smp), p(var, cat, phrase) AS (VALUES {', '.join(f"('{v}', {c}, '{t}')" for v, m in PHRASES.items() for c, t in m.items())})
 SELECT sid, var, cat, phrase, phrase IS NULL AS missing FROM l LEFT JOIN p USING (var, cat)""")
 def _(spark, sf):
-    phrases = spark.createDataFrame([(v, c, t) for v, m in PHRASES.items() for c, t in m.items()], "var string, cat int, phrase string")
+    phrases = small_table(spark, [(v, c, t) for v, m in PHRASES.items() for c, t in m.items()], "var string, cat int, phrase string")
     long = sc.unpivot_assignment(order_samples(spark, sf), ["sid"], {v: F.col(v) for v in ("V0", "V1", "V2")})
     return long.join(phrases, ["var", "cat"], "left").select("sid", "var", "cat", "phrase", F.col("phrase").isNull().alias("missing"))
 
@@ -307,17 +308,17 @@ def _(spark, sf):
     return d.select("sid", "label", F.length(tx.render_raw(assignment())).cast("long").alias("n"))
 
 
-@query("filtered_range", "SELECT d.doc_id, lang FROM documents d ANTI JOIN labels USING (doc_id) WHERE d.doc_id BETWEEN 50 AND 100000000 AND lang IN ('en', 'de')")
+@query("filtered_range", "SELECT d.doc_id, lang FROM documents d ANTI JOIN labels USING (doc_id) WHERE d.doc_id >= 50 AND lang IN ('en', 'de')")
 def _(spark, sf):
-    d = docs(spark, sf).where(F.col("doc_id").between(50, 100000000) & F.col("lang").isin("en", "de")).select("doc_id", "lang")
+    d = docs(spark, sf).where((F.col("doc_id") >= 50) & F.col("lang").isin("en", "de")).select("doc_id", "lang")
     return d.join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
-@query("block_assignment", """WITH c AS (SELECT p_partkey AS sample, min(CAST(l_linenumber AS INTEGER)) AS block FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 45 GROUP BY 1)
+@query("block_assignment", """WITH c AS (SELECT p_partkey AS sample, min(CAST(l_linenumber AS INTEGER)) AS block FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)
 SELECT p_partkey AS sample, CASE WHEN block <= 5 THEN block ELSE 5 END AS block FROM part LEFT JOIN c ON sample = p_partkey""")
 def _(spark, sf):
     # line numbers are blocks that claim parts; block 5 takes all that remain by then
-    li = table(spark, sf, "lineitem").where("l_quantity > 45").select(F.col("l_linenumber").alias("block"), F.col("l_partkey").alias("sample"))
+    li = table(spark, sf, "lineitem").select(F.col("l_linenumber").alias("block"), F.col("l_partkey").alias("sample"))
     claims = li.unionByName(li.select(F.lit(5).alias("block"), F.lit(None).cast("long").alias("sample")).limit(1))
     return bl.block_assignment(claims, table(spark, sf, "part").select(F.col("p_partkey").alias("sample")), "sample")
 

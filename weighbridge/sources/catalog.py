@@ -96,12 +96,12 @@ def read_models(docs: DataFrame, key: str = "dataset_id") -> dict[str, DataFrame
     none = F.expr("CAST(map() AS MAP<STRING, MAP<STRING, DOUBLE>>)")
     plain = variables.where(F.coalesce("v.variable_type", F.lit("categorical")) == "categorical").select(
         key, "var", "labels", F.coalesce("v.weights", none).alias("w"), F.coalesce("v.scores", none).alias("s"))
-    per_label = plain.select("*", F.explode(F.array_union(F.map_keys("w"), F.map_keys("s"))).alias("l")).where(F.col("l").cast("int") < F.col("labels"))
+    per_label = plain.select("*", F.explode(F.array_union(F.map_keys("w"), F.map_keys("s"))).alias("l")).where(F.col("l").try_cast("int").between(0, F.col("labels") - 1))
     no_cells = F.expr("CAST(map() AS MAP<STRING, DOUBLE>)")
-    per_label = per_label.select(key, "var", F.col("l").cast("int").alias("label"), F.coalesce(F.try_element_at("w", F.col("l")), no_cells).alias("w"),
+    per_label = per_label.select(key, "var", F.col("l").try_cast("int").alias("label"), F.coalesce(F.try_element_at("w", F.col("l")), no_cells).alias("w"),
                                  F.coalesce(F.try_element_at("s", F.col("l")), no_cells).alias("s"))
     cells = per_label.select("*", F.explode(F.array_union(F.map_keys("w"), F.map_keys("s"))).alias("c"))
-    categories = cells.select(key, "var", "label", F.col("c").cast("int").alias("cat"), F.try_element_at("w", F.col("c")).alias("weight"),
+    categories = cells.where(F.col("c").try_cast("int").isNotNull()).select(key, "var", "label", F.col("c").try_cast("int").alias("cat"), F.try_element_at("w", F.col("c")).alias("weight"),
                               F.try_element_at("s", F.col("c")).alias("score"))
     numbers = variables.where("v.variable_type = 'numerical'")
     numeric = numbers.select(key, "var", "v", F.explode(F.sequence(F.lit(0), F.col("labels") - 1)).alias("label"))
@@ -187,7 +187,7 @@ def read_metadata(docs: DataFrame, key: str = "dataset_id") -> DataFrame:
 
 def read_statistics(docs: DataFrame, key: str = "dataset_id") -> DataFrame:
     s = docs.select(key, F.from_json("content", schema.STATISTICS).alias("s"))
-    ints = lambda c: F.coalesce(F.transform_keys(F.col(f"s.{c}"), lambda k, v: k.cast("int")), F.expr("CAST(map() AS MAP<INT, INT>)")).alias(c)
+    ints = lambda c: F.coalesce(F.transform_keys(F.map_filter(F.col(f"s.{c}"), lambda k, v: k.try_cast("int").isNotNull()), lambda k, v: k.try_cast("int")), F.expr("CAST(map() AS MAP<INT, INT>)")).alias(c)
     return s.select(key, F.coalesce("s.udd_search_iterations", F.lit(0)).alias("udd_search_iterations"), ints("samples_per_label"),
                     ints("total_samples_per_label"), F.coalesce("s.total_number_of_assignments", F.lit(0)).alias("total_number_of_assignments"),
                     F.col("s.analysis_results").alias("analysis_results"))

@@ -8,18 +8,37 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .storage import stored
+
 
 def write_partitioned(df: DataFrame, path: str, by: Sequence[str], mode: str = "append") -> None:
-    df.hint("rebalance", *[F.col(c) for c in by]).write.mode(mode).partitionBy(*by).parquet(path)
+    """Append rows, or overwrite those partitions that the rows belong to."""
+    rows = df.hint("rebalance", *[F.col(c) for c in by])
+    rows.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
 
+def write_dataset(tables: dict[str, DataFrame], path: str, key: str = "dataset_id") -> None:
+    """Every table of some datasets below one folder, one partition per dataset.
 
-def write_dataset(tables: dict[str, DataFrame], path: str, by: dict[str, Sequence[str]]) -> None:
-    """Every table of a dataset below one folder, each partitioned by its own columns."""
+    Saving a dataset replaces what was stored of it and leaves the others alone. A table without
+    a row of a dataset keeps the rows stored before.
+    """
     for name, df in tables.items():
-        write_partitioned(df, f"{path}/{name}", by[name], "overwrite")
+        write_partitioned(df, f"{path}/{name}", [key], "overwrite")
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at a path, None if nothing is there yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def export_json(df: DataFrame, path: str) -> None:
@@ -37,18 +56,34 @@ def upsert_instances(spark: SparkSession, new: DataFrame, path: str, by: Sequenc
 
 
 def append_runs(spark: SparkSession, runs: DataFrame, path: str) -> None:
-    """Append runs whose id is not stored yet; appending twice changes nothing."""
-    one_each = runs.dropDuplicates(["run_id"])
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
-        one_each = one_each.join(spark.read.parquet(path).select("run_id"), "run_id", "left_anti")
-    write_partitioned(one_each, path, ["model", "mode", "level"])
+    """Append runs whose id is not stored yet; appending twice changes nothing.
+
+    Of repeated ids the row whose JSON text comes first is taken. One writer at a time: two that
+    look before either has written may both store an id.
+    """
+    whole = F.struct(*runs.columns)
+    one_each = runs.groupBy("run_id").agg(F.min_by(whole, F.to_json(whole)).alias("r")).select("r.*")
+    stored_runs = _read(spark, path)
+    if stored_runs is not None:
+        one_each = one_each.join(stored_runs.select("run_id"), "run_id", "left_anti")
+    write_partitioned(one_each, path, [c for c in ("model", "mode", "level", "instance") if c in runs.columns])
 
 
 def write_theories(theories: DataFrame, path: str) -> None:
-    """Valid theories only, by dataset; the latest of one name wins upstream."""
-    write_partitioned(theories.where(F.size("missing") == 0).drop("missing"), path, ["dataset_id"], "overwrite")
+    """Add valid theories; one of the same dataset and name replaces the stored one.
+
+    Of equal names among the new ones the row whose JSON text comes last is taken. Only the
+    datasets of the new theories are written.
+    """
+    new = theories.where(F.size("missing") == 0).drop("missing")
+    whole, keys = F.struct(*new.columns), ["dataset_id", "name"]
+    new = new.groupBy(*keys).agg(F.max_by(whole, F.to_json(whole)).alias("t")).select("t.*")
+    old = _read(theories.sparkSession, path)
+    if old is not None:
+        old = old.withColumn("dataset_id", F.col("dataset_id").cast(new.schema["dataset_id"].dataType))
+        kept = old.join(new.select("dataset_id").distinct(), "dataset_id", "left_semi").join(new.select(*keys), keys, "left_anti")
+        new = stored(new.unionByName(kept), "theories")  # read before its partitions are replaced
+    write_partitioned(new, path, ["dataset_id"], "overwrite")
 
 
 def write_failures(failures: DataFrame, path: str) -> None:
