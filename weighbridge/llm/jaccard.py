@@ -152,10 +152,11 @@ def candidates(sigs: DataFrame, least: dict[int, int]) -> DataFrame:
     """(a, b): edges that connect classes whose signatures collide in a band and survive pruning."""
     one = sigs.where(F.col("class").isNotNull()).groupBy("class").agg(F.first("sig").alias("sig"))
     one = stored(one, "signatures")
-    bands = one.select("class", "sig", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.substring("sig", b * (2 * BAND) + 1, 2 * BAND))).alias("band", "__part"))
-    bands = bands.select("class", "sig", "band", F.xxhash64("band", "__part").alias("bucket"))
+    bands = one.select("class", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.substring("sig", b * (2 * BAND) + 1, 2 * BAND))).alias("band", "__part"))
+    bands = bands.select("class", "band", F.xxhash64("band", "__part").alias("bucket"))
     shared = stored(bands.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
-    members = blocked(bands.join(shared, "bucket"), ["bucket"], "size", "class")
+    # signatures travel only with those that share a bucket
+    members = blocked(bands.join(shared, "bucket").join(one, "class"), ["bucket"], "size", "class")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending: list[tuple] = []
