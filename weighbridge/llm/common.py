@@ -142,45 +142,52 @@ def windows(h: np.ndarray, n: int) -> np.ndarray:
 VECTOR = "part string, chunk int, counts binary"
 
 
-def vector_rows(vectors: dict[str, np.ndarray]) -> pa.RecordBatch:
-    """A task's count vectors as rows of chunks; chunks without a count are left out."""
-    part, chunk, counts = [], [], []
+def vector_rows(vectors: dict[str, np.ndarray], rows: int = 64) -> Iterator[pa.RecordBatch]:
+    """A task's count vectors as rows of chunks, some at a time; chunks without a count are left out."""
+    pending: list[tuple[str, int, bytes]] = []
     for name, v in vectors.items():
         for at in range(0, len(v), CHUNK_SLOTS):
             piece = v[at:at + CHUNK_SLOTS]
             if piece.any():
-                part.append(name)
-                chunk.append(at // CHUNK_SLOTS)
-                counts.append(piece.astype(np.int64).tobytes())
+                pending.append((name, at // CHUNK_SLOTS, piece.astype(np.int32).tobytes()))  # of one task
+                if len(pending) == rows:
+                    yield _vector_batch(pending)
+                    pending = []
+    if pending:
+        yield _vector_batch(pending)
+
+
+def _vector_batch(rows: list[tuple[str, int, bytes]]) -> pa.RecordBatch:
+    part, chunk, counts = zip(*rows)
     return pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array(chunk, pa.int32()), pa.array(counts, pa.binary())],
                                       names=["part", "chunk", "counts"])
 
 
-def summed(rows: DataFrame) -> DataFrame:
-    """Chunks summed over all tasks. Each chunk's rows are added as they arrive, so a task holds
-    one vector piece per chunk it was dealt, however many tasks the corpus took."""
+def summed(rows: DataFrame, finish: Callable[[np.ndarray], np.ndarray] = lambda v: v) -> DataFrame:
+    """Chunks summed over all tasks, then handed through ``finish``. Each chunk's rows are added as
+    they arrive, so a task holds one vector piece per chunk it was dealt, however many tasks the
+    corpus took."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[str, int], np.ndarray] = {}
         for batch in batches:
             for part, chunk, counts in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                piece = np.frombuffer(counts, np.int64)
+                piece = np.frombuffer(counts, np.int32)
                 if (part, chunk) in total:
                     total[part, chunk] += piece
                 else:
-                    total[part, chunk] = piece.copy()
+                    total[part, chunk] = piece.astype(np.int64)
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.int32()),
-                                              pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["part", "chunk", "counts"])
+            yield _vector_batch([(*k, finish(v).tobytes()) for k, v in total.items()])
 
     return rows.repartition("part", "chunk").mapInArrow(run, VECTOR)
 
 
-def gather(rows: DataFrame, slots: int) -> dict[str, np.ndarray]:
-    """Summed vectors on the driver; their size is the model's (parts x slots), not the corpus's."""
+def gather(rows: DataFrame, slots: int, kind=np.int64) -> dict[str, np.ndarray]:
+    """Finished vectors on the driver; their size is the model's (parts x slots), not the corpus's."""
     out: dict[str, np.ndarray] = {}
     for r in rows.toLocalIterator():
-        v = out.setdefault(r["part"], np.zeros(slots, np.int64))
-        piece = np.frombuffer(r["counts"], np.int64)
-        v[r["chunk"] * CHUNK_SLOTS:r["chunk"] * CHUNK_SLOTS + len(piece)] = piece
+        v = out.setdefault(r["part"], np.zeros(slots, kind))
+        piece = np.frombuffer(r["counts"], kind)
+        v[r["chunk"] * len(piece):(r["chunk"] + 1) * len(piece)] = piece
     return out

@@ -41,7 +41,7 @@ def fit(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "t
                 slots, counts = c.gram_slots(parts[a:b], gram, bits)
                 total["raw"] += np.bincount(slots, minlength=1 << bits)
                 total["target"] += np.bincount(slots[np.repeat(hit[a:b], counts)], minlength=1 << bits)
-        yield c.vector_rows(total)
+        yield from c.vector_rows(total)
 
     found = c.gather(c.summed(rows.mapInArrow(count, c.VECTOR)), 1 << bits)
     none = np.zeros(1 << bits, np.int64)

@@ -54,7 +54,7 @@ def learn(docs: DataFrame, where: Column, text: str = "text", lang: str = "lang"
                 v = total.setdefault(name, np.zeros(1 << bits, np.int64))
                 for a, b in c.slices(parts):
                     v += np.bincount(c.gram_slots(parts[a:b], GRAM, bits)[0], minlength=1 << bits)
-        yield c.vector_rows(total)
+        yield from c.vector_rows(total)
 
     found = c.gather(c.summed(rows.mapInArrow(count, c.VECTOR)), 1 << bits)
     names = sorted(found)
