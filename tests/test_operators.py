@@ -351,6 +351,9 @@ def test_alignment_by_id_and_position(spark):
     assert got == [(0, 10), (1, 12), (2, 11)]
     with pytest.raises(ValueError):
         al.align_by_position(w, a, "pos")
+    one = spark.createDataFrame([(i, f"a{i}") for i in range(10)], "pos long, x string")
+    two = spark.createDataFrame([(i + 1, f"b{i}") for i in range(10)], "pos long, y string")
+    assert sorted(tuple(r) for r in al.align_by_position(one, two, "pos").collect()) == [(i, f"a{i}", f"b{i}") for i in range(10)]
 
 
 def test_number_formats(spark):
@@ -395,4 +398,42 @@ def test_tree_rules_say_what_the_tree_predicts(spark):
     for condition, cls in rules:
         told = F.when(F.expr(condition), F.lit(cls)).otherwise(told)
     assert 2 <= len(rules) <= 8 and out.where(~told.eqNullSafe(F.col("prediction"))).count() == 0
-    assert tr.tree_to_text(rules).count("return") == len(rules)
+    text = tr.tree_to_text(model, ["A", "B"], classes)
+    assert text.count("return") == len(rules) and text.count("if ") == text.count("else:") == len(rules) - 1
+
+
+def test_prediction_labels(spark):
+    texts = {"3": 3, " 4 ": 4, "+5": 5, "3.7": -1, "nan": -1, "1e20": -1, "": -1, "x": -1, None: -1, "99999999999": -1, "-1": -1}
+    got = {r["t"]: r["p"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", mt.prediction_label(F.col("t")).alias("p")).collect()}
+    assert got == texts
+    numbers = [(3.7, 3), (-0.4, 0), (float("nan"), -1), (1e20, -1), (None, -1), (2.0, 2)]
+    rows = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(numbers)], "i int, x double").select("i", mt.prediction_label(F.col("x")).alias("p")).collect()
+    assert [r["p"] for r in sorted(rows)] == [w for _, w in numbers]
+
+
+def test_json_objects_in_text(spark):
+    cases = {'{"a": 1}': '{"a": 1}', ' x {"a": {"b": 2}} y {c}': '{"a": {"b": 2}}', "} {a} }": "{a}", "x {a {b}": None, "{a {b}": "{a {b}", "none": None, None: None,
+             "{a} and {b}": "{a} and {b}", "x{}": "{}", "x {a\n{b}\n} z": "{a\n{b}\n}"}
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
+    assert {r["t"]: r["o"] for r in df.select("t", ps.extract_json_object(F.col("t")).alias("o")).collect()} == cases
+
+
+def test_budget_reads_costs_or_names_unlisted_ones(spark):
+    rows = [(1, i, c, True, 7) for i, c in enumerate((5, 2, 3, 1))]
+    df = spark.createDataFrame(rows, "k long, pos long, cost int, runnable boolean, budget long")
+    got = [(r["outcome"], r["left"]) for r in sorted(ss.budget_ledger(df, ["k"], "pos", "cost", "runnable", "budget").collect(), key=lambda r: r["pos"])]
+    assert got == [("charged", 2), ("charged", 0), ("rejected", 0), ("rejected", 0)]
+    with pytest.raises(Exception, match="not listed"):
+        ss.budget_ledger(df, ["k"], "pos", "cost", "runnable", "budget", [1, 5]).collect()
+
+
+def test_sampling_takes_the_smallest_keys(spark):
+    df = spark.range(3000).withColumnRenamed("id", "i")
+    for k in (0, 1, 17, 2999, 3000, 4000):
+        got = {r["i"] for r in sp.sample_rows(df, k, 5, ["i"]).collect()}
+        want = {r["i"] for r in df.orderBy(F.md5(F.concat_ws("|", F.lit("5"), F.col("i").cast("string")))).limit(k).collect()}
+        assert got == want
+    seen = spark.createDataFrame([(i % 3, i % 2) for i in range(6)], "a int, b int").where("a < 2")
+    rows = spark.createDataFrame([(i, i % 3, i % 2) for i in range(60)], "i int, a int, b int")
+    assert {r["a"] for r in sp.unseen(rows, seen, ["a", "b"], 7, 1, "i").collect()} == {2}
+    assert sp.unseen(rows, seen, ["a", "b"], 7, 1, "i").count() == 7

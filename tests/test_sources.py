@@ -87,3 +87,37 @@ def test_export_json(spark, tmp_path):
     df = spark.createDataFrame([('{"a": 1}',), ('{"a": 2}',)], "content string")
     sk.export_json(df, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).agg(F.sum("a")).first()[0] == 3
+
+
+def test_saving_leaves_other_datasets_alone(spark, tmp_path):
+    path = str(tmp_path / "data")
+    rows = lambda *x: spark.createDataFrame(x, "dataset_id string, v int")
+    sk.write_dataset({"samples": rows(("d1", 1), ("d1", 2), ("d2", 3)), "instances": rows(("d1", 4))}, path)
+    sk.write_dataset({"samples": rows(("d1", 9)), "instances": rows(("d3", 5))}, path)
+    read = lambda t: sorted((r["dataset_id"], r["v"]) for r in spark.read.parquet(f"{path}/{t}").collect())
+    assert read("samples") == [("d1", 9), ("d2", 3)] and read("instances") == [("d1", 4), ("d3", 5)]
+
+
+def test_theories_of_one_slug(spark, tmp_path):
+    path = str(tmp_path / "theories")
+
+    def docs(*rows):
+        return ct.read_noise_theories(spark.createDataFrame([
+            (d, f"/x/noise_theories/{f}.json", json.dumps({"accuracy": a, "llm": "m", "textual_llm_theory": "t", "textual_dt_theory": "d"})) for d, f, a in rows],
+            "dataset_id string, path string, content string"))
+
+    sk.write_theories(docs(("d1", "a b", 0.1), ("d1", "a_b", 0.2), ("d2", "c", 0.3)), path)
+    sk.write_theories(docs(("d1", "a b", 0.4), ("d1", "e", 0.5)), path)
+    got = sorted((r["dataset_id"], r["name"], r["accuracy"]) for r in spark.read.parquet(path).collect())
+    assert got == [("d1", "a_b", 0.4), ("d1", "e", 0.5), ("d2", "c", 0.3)]
+
+
+def test_bad_keys_do_not_end_a_scan(spark):
+    model = {"num_output_labels": 2, "variables": {"V0": {"name": "V0", "categories": 2, "variable_type": "categorical",
+             "weights": {"0": {"0": 0.1, "x": 0.2}, "oops": {"0": 1.0}}, "scores": {"0": {"0": 0.3}}}}, "rules": []}
+    docs = spark.createDataFrame([("d", json.dumps(model))], "dataset_id string, content string")
+    cells = {(r["label"], r["cat"]): (r["weight"], r["score"]) for r in ct.read_models(docs)["categories"].collect()}
+    assert set(cells) == {(0, 0), (0, 1), (1, 0), (1, 1)} and cells[0, 0] == (0.1, 0.3)  # the others are drawn
+    assert all(0 <= x <= 1 for c in cells.values() for x in c)
+    stats = spark.createDataFrame([("d", json.dumps({"samples_per_label": {"0": 3, "many": 4}}))], "dataset_id string, content string")
+    assert ct.read_statistics(stats).first()["samples_per_label"] == {0: 3}

@@ -50,3 +50,36 @@ def test_late_rows_change_nothing(spark, tmp_path):
     st.run_to_table(st.delivery_stream(stream, "k", 2), str(tmp_path / "out"))
     got = {(r["pos"], r["delivered_at"], r["outcome"]) for r in spark.read.parquet(str(tmp_path / "out/data")).collect()}
     assert got == {(3, None, "late"), (6, 6, "notice"), (5, 6, "held")}
+
+
+def shuffled_files(spark, path, df, parts, seed):
+    """The rows dealt out at random over several files, one per micro-batch."""
+    for i in range(parts):
+        df.where(F.pmod(F.xxhash64(F.lit(seed), "k", "pos"), F.lit(parts)) == i).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_streams_in_any_order_equal_batch(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(k, i, rng.choice([0, 1, 5]), rng.random() < 0.9, 5 * k + 4, rng.choice(["connect", "disconnect", "message", "turn"])) for k in range(3) for i in range(30)]
+    df = spark.createDataFrame(rows, "k long, pos long, cost int, runnable boolean, budget long, kind string")
+    charged = st.budget_stream(shuffled_files(spark, str(tmp_path / "a"), df.drop("kind"), 5, 1), "k", "budget", first=0)
+    st.run_to_table(charged, str(tmp_path / "ledger"))
+    want = ss.budget_ledger(df.drop("kind"), ["k"], "pos", "cost", "runnable", "budget", rows=10).select("k", "pos", "outcome", "charged", "left")
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "ledger/data")).collect())) == sorted(map(tuple, want.collect()))
+    sent = st.delivery_stream(shuffled_files(spark, str(tmp_path / "b"), df.select("k", "pos", "kind"), 5, 2), "k", 2, first=0)
+    st.run_to_table(sent, str(tmp_path / "delivery"))
+    got = {(r["k"], r["pos"], r["delivered_at"], r["outcome"]) for r in spark.read.parquet(str(tmp_path / "delivery/data")).collect()}
+    batch = ss.status_delivery(df.select("k", "pos", "kind"), ["k"], "pos", "kind", 2).where("delivered_at IS NOT NULL")
+    assert got == {(r["k"], r["pos"], r["delivered_at"], r["outcome"]) for r in batch.collect()}
+
+
+def test_queries_stream_tables_in_folders(spark, sf, tmp_path):
+    from weighbridge.plans import QUERIES
+
+    for name in ("conversations", "orders", "events"):
+        spark.read.parquet(f"{sf}/{name}.parquet").repartition(3).write.parquet(str(tmp_path / f"{name}.parquet"))
+    for name in ("stream_budget_ledger", "stream_score"):
+        assert sorted(map(str, QUERIES[name](spark, str(tmp_path)).collect())) == sorted(map(str, QUERIES[name](spark, sf).collect()))
+        assert not QUERIES[name](spark, sf).isEmpty()
+    assert not QUERIES["stream_status_delivery"](spark, str(tmp_path)).isEmpty()

@@ -22,6 +22,7 @@ COMPLEXITIES = {
     5: (4, 10, 7, 3, 5, 2, 4, 2),
 }
 _PRESET = ["labels", "rules", "variables", "min_categories", "max_categories", "numerical_variables", "spans", "properties"]
+PROPERTY_LABELS = 3  # labels of each categorical output property of a preset
 INTRO_SAMPLES = 10
 
 
@@ -32,6 +33,8 @@ def complexity(configs: DataFrame) -> DataFrame:
     interactive = (F.col("level") == "files") & (F.coalesce("mode", F.lit("static")) != "static")
     return configs.join(presets, "udd_complexity", "left").withColumns({
         "error": F.when(F.col("labels").isNull(), F.concat(F.lit("Unrecognized UDD complexity level: "), F.col("udd_complexity").cast("string"))),
+        "output_properties": F.transform(F.filter(F.sequence(F.lit(0), F.col("properties")), lambda i: i > 0), lambda i: F.struct(
+            F.concat(F.lit("property_"), i.cast("string")).alias("name"), F.lit(PROPERTY_LABELS).alias("labels"))),
         "render_cap": F.when(interactive, F.lit(INTRO_SAMPLES))})
 
 

@@ -119,6 +119,19 @@ def all_output_accuracy(df: DataFrame, correct: Column, truth: Column, predicted
         "all_output_accuracy", _div(F.col("correct_cells"), F.col("cells")))
 
 
+def zero_totals(tasks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The all-zero summary row of tasks that have no classifier."""
+    whole = [F.lit(0).cast("long").alias(c) for c in ("total", "correct")]
+    real = [F.lit(0.0).alias(c) for c in ("accuracy", "macro_precision", "macro_recall", "macro_f1", "balanced_accuracy", "all_output_accuracy")]
+    return tasks.select(*keys, *whole, *real, F.lit(0).alias("full_accuracy"))
+
+
+def zero_confusion(tasks: DataFrame, labels: int, keys: Sequence[str]) -> DataFrame:
+    """The all-zero confusion cells of tasks that have no classifier."""
+    grid = tasks.select(*keys, F.explode(_known(labels)).alias("label"))
+    return grid.select(*keys, "label", F.explode(_known(labels)).alias("pred"), F.lit(0).cast("long").alias("n"))
+
+
 def zero_report(tasks: DataFrame, labels: int, keys: Sequence[str]) -> DataFrame:
     """All-zero per-label rows for tasks that have no classifier."""
     zeros = [F.lit(0.0).alias(c) for c in ("precision", "recall", "f1", "tnr")]

@@ -62,6 +62,26 @@ def tree_rules(tree, features: list[str], classes: list[str]) -> list[tuple[str,
     return rules
 
 
-def tree_to_text(rules: list[tuple[str, str]]) -> str:
-    """The leaves as one nested listing: a condition per line and what it returns."""
-    return "\n".join(f"if {condition or 'True'}: return '{cls}'" for condition, cls in rules)
+def tree_to_text(tree, features: list[str], classes: list[str]) -> str:
+    """A fitted tree as nested if/else text, four spaces per level."""
+    out = []
+    for line in tree.toDebugString.splitlines():
+        split, leaf = _SPLIT.match(line), _LEAF.match(line)
+        if split:
+            test = split.group(5).strip()
+            bound = f"{float(test):.4f}" if re.fullmatch(r"-?[0-9.eE+-]+", test) else test
+            head = "else:" if split.group(2) == "Else" else f"if {features[int(split.group(3))]} {split.group(4)} {bound}:"
+            out.append((len(split.group(1)), head))
+        elif leaf:
+            out.append((len(leaf.group(1)), f"return '{classes[int(float(leaf.group(2)))]}'"))
+    depth = {d: i for i, d in enumerate(sorted({d for d, _ in out}))}
+    return "\n".join("    " * depth[d] + t for d, t in out)
+
+
+def rule_check(rows: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+    """How many rows there are, whether each meets the condition of one leaf only, and whether that
+    leaf's class is the row's ``prediction``."""
+    met = F.array(*[F.struct(F.expr(c or "true").alias("met"), F.lit(p).alias("class")) for c, p in rules])
+    held = F.filter(met, lambda m: m["met"])
+    return rows.agg(F.count(F.lit(1)).alias("rows"), F.bool_and(F.size(held) == 1).alias("one_leaf"),
+                    F.bool_and(F.get(held, F.lit(0))["class"] == F.col("prediction")).alias("same_class"))

@@ -336,9 +336,11 @@ def _(spark, sf):
 
 
 @query("complexity_lookup", f"""WITH {CONFIGS} SELECT dataset_id, CASE WHEN udd_complexity BETWEEN 1 AND 5 THEN [2, 3, 4, 4, 4][udd_complexity] END AS labels, CASE WHEN udd_complexity BETWEEN 1 AND 5 THEN [5, 6, 8, 8, 10][udd_complexity] END AS rules,
+ CASE WHEN udd_complexity = 4 THEN 'property_1:3' WHEN udd_complexity = 5 THEN 'property_1:3,property_2:3' WHEN udd_complexity > 0 THEN '' END AS properties,
  CASE WHEN udd_complexity = 0 THEN 'Unrecognized UDD complexity level: 0' END AS error, CASE WHEN level = 'files' AND coalesce(mode, 'static') <> 'static' THEN 10 END AS render_cap FROM cg""")
 def _(spark, sf):
-    return cf.complexity(configs(spark, sf)).select("dataset_id", "labels", "rules", "error", "render_cap")
+    named = F.array_join(F.transform("output_properties", lambda p: F.concat(p["name"], F.lit(":"), p["labels"].cast("string"))), ",")
+    return cf.complexity(configs(spark, sf)).select("dataset_id", "labels", "rules", named.alias("properties"), "error", "render_cap")
 
 
 @query("json_safe_config", f"WITH {CONFIGS} SELECT dataset_id, udd_complexity, coalesce(level, 'none') AS level, 'M' AS model FROM cg")

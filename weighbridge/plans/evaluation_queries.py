@@ -154,9 +154,24 @@ def _(spark, sf):
 @query("zero_report", f"""SELECT doc_id, i AS label, CAST(0 AS BIGINT) AS support, 0::DOUBLE AS precision, 0::DOUBLE AS recall, 0::DOUBLE AS f1, 0::DOUBLE AS tnr
 FROM (SELECT doc_id, unnest(range({L}))::INTEGER AS i FROM documents ANTI JOIN labels USING (doc_id))""")
 def _(spark, sf):
-    # documents without a label row stand for tasks without a classifier
-    tasks = table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels"), "doc_id", "left_anti")
-    return mt.zero_report(tasks, L, ["doc_id"])
+    return mt.zero_report(without_classifier(spark, sf), L, ["doc_id"])
+
+
+def without_classifier(spark, sf):
+    """Documents without a label row stand for tasks without a classifier."""
+    return table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels"), "doc_id", "left_anti")
+
+
+@query("zero_report_totals", """SELECT doc_id, CAST(0 AS BIGINT) AS total, CAST(0 AS BIGINT) AS correct, 0::DOUBLE AS accuracy, 0 AS full_accuracy, 0::DOUBLE AS macro_precision, 0::DOUBLE AS macro_recall, 0::DOUBLE AS macro_f1,
+  0::DOUBLE AS balanced_accuracy, 0::DOUBLE AS all_output_accuracy FROM documents ANTI JOIN labels USING (doc_id)""")
+def _(spark, sf):
+    return mt.zero_totals(without_classifier(spark, sf), ["doc_id"])
+
+
+@query("zero_report_confusion", f"""SELECT doc_id, i AS label, unnest(range({L}))::INTEGER AS pred, CAST(0 AS BIGINT) AS n
+FROM (SELECT doc_id, unnest(range({L}))::INTEGER AS i FROM documents ANTI JOIN labels USING (doc_id))""")
+def _(spark, sf):
+    return mt.zero_confusion(without_classifier(spark, sf), L, ["doc_id"])
 
 
 @query("infer_properties", f"""{with_scores()}, p AS (SELECT DISTINCT status, unnest(CASE label WHEN 0 THEN ['tone'] WHEN 1 THEN ['amount'] ELSE ['tone', 'amount', 'note'] END) AS property FROM lab JOIN smp USING (sid))

@@ -17,7 +17,7 @@ from ..operators import search as se
 from ..operators import sessions as ss
 from ..operators import tree as tr
 from ..functions import text as tx
-from ..sources.storage import fresh_path
+from ..sources.storage import fresh_path, stored
 from ..streaming import sessions as st
 from .bridge import (MODEL, SEED, SQL_ORDERS, TONE, TONE_LABELS, VARS, cats, order_samples, sql_key, sql_model, sql_scores,
                      sql_u01, table, values, with_scores)
@@ -281,22 +281,30 @@ def _(spark, sf):
 
 
 def fitted_tree(spark, sf):
-    df = labelled(spark, sf).select("sid", *[F.col(v).cast("double").alias(v) for v in VARS], "label")
+    df = stored(labelled(spark, sf).select("sid", *[F.col(v).cast("double").alias(v) for v in VARS], "label"), "tree")  # read on every pass
     return tr.derive_tree(df, VARS, "label")
 
 
-@query("derive_tree")
+@query("derive_tree", f"""{with_scores()}, n AS (SELECT label, count(*) AS n FROM lab GROUP BY label)
+SELECT CAST(sum(n) AS BIGINT) AS sample_count, string_agg(CAST(label AS VARCHAR), ',' ORDER BY label) AS classes, TRUE AS shallow, TRUE AS beats_majority FROM n""")
 def _(spark, sf):
-    _, out, classes = fitted_tree(spark, sf)
-    return tr.training_accuracy(out, "label").withColumn("classes", F.lit(",".join(classes)))
+    tree, out, classes = fitted_tree(spark, sf)
+    majority = out.groupBy("label").agg(F.count("*").alias("n")).agg((F.max("n") / F.sum("n")).alias("share"))
+    got = tr.training_accuracy(out, "label").withColumn("share", majority.select("share").scalar())
+    return got.select("sample_count", F.lit(",".join(classes)).alias("classes"), F.lit(tree.depth <= 3).alias("shallow"), (F.col("accuracy") >= F.col("share")).alias("beats_majority"))
 
 
-@query("tree_to_rules")
+@query("tree_to_rules", f"""{with_scores()} SELECT count(*) AS "rows", TRUE AS one_leaf, TRUE AS same_class, TRUE AS few_leaves FROM lab""")
 def _(spark, sf):
     tree, out, classes = fitted_tree(spark, sf)
     rules = tr.tree_rules(tree, VARS, classes)
-    counts = out.groupBy("prediction").agg(F.count("*").alias("rows"))
-    return spark.createDataFrame([(i, c, p) for i, (c, p) in enumerate(rules)], "leaf int, condition string, prediction string").join(counts, "prediction", "left")
+    return tr.rule_check(out, rules).withColumn("few_leaves", F.lit(len(rules) <= 8))
+
+
+@query("tree_text")
+def _(spark, sf):
+    tree, out, classes = fitted_tree(spark, sf)
+    return out.agg(F.count("*").alias("sample_count")).withColumn("text", F.lit(tr.tree_to_text(tree, VARS, classes)))
 
 
 # -- deliveries and streams -------------------------------------------------------------------------------------
@@ -343,7 +351,7 @@ def _(spark, sf):
     c = stream_of(spark, sf, "conversations")
     rows = c.select("conv_id", F.col("turn").alias("pos"), ss.tool_cost(F.expr(TOOL)).alias("cost"),
                     ((F.col("role") != "system") & (F.length("text") % 13 != 0)).alias("runnable"), (F.col("conv_id") % 9).alias("budget"))
-    st.run_to_table(st.budget_stream(rows, "conv_id", "budget"), path)
+    st.run_to_table(st.budget_stream(rows, "conv_id", "budget", first=0), path)
     return spark.read.parquet(f"{path}/data")
 
 

@@ -11,7 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.numeric import clamp01
 from ..functions.parsing import is_object
+from ..functions.seeded import u01
 from ..functions.text import LEVELS, MODES, parse_level, parse_mode
 from . import schema
 
@@ -88,21 +90,29 @@ def load_all(files: DataFrame) -> DataFrame:
 
 # -- models --------------------------------------------------------------------------------------
 
-def read_models(docs: DataFrame, key: str = "dataset_id") -> dict[str, DataFrame]:
-    """Model files (key, content) to long tables: models, categories, numeric, spans, rules."""
+def read_models(docs: DataFrame, key: str = "dataset_id", seed: int = 7) -> dict[str, DataFrame]:
+    """Model files (key, content) to long tables: models, categories, numeric, spans, rules.
+
+    Categorical tables are brought to the model's labels and categories: cells that the file lacks are
+    drawn by ``seed``, and entries under other keys are left out.
+    """
     m = docs.select(key, F.from_json("content", schema.MODEL).alias("m"))
     variables = m.select(key, F.coalesce("m.num_output_labels", F.lit(2)).alias("labels"), F.explode("m.variables").alias("var", "v"))
 
     none = F.expr("CAST(map() AS MAP<STRING, MAP<STRING, DOUBLE>>)")
     plain = variables.where(F.coalesce("v.variable_type", F.lit("categorical")) == "categorical").select(
-        key, "var", "labels", F.coalesce("v.weights", none).alias("w"), F.coalesce("v.scores", none).alias("s"))
-    per_label = plain.select("*", F.explode(F.array_union(F.map_keys("w"), F.map_keys("s"))).alias("l")).where(F.col("l").try_cast("int").between(0, F.col("labels") - 1))
-    no_cells = F.expr("CAST(map() AS MAP<STRING, DOUBLE>)")
-    per_label = per_label.select(key, "var", F.col("l").try_cast("int").alias("label"), F.coalesce(F.try_element_at("w", F.col("l")), no_cells).alias("w"),
-                                 F.coalesce(F.try_element_at("s", F.col("l")), no_cells).alias("s"))
-    cells = per_label.select("*", F.explode(F.array_union(F.map_keys("w"), F.map_keys("s"))).alias("c"))
-    categories = cells.where(F.col("c").try_cast("int").isNotNull()).select(key, "var", "label", F.col("c").try_cast("int").alias("cat"), F.try_element_at("w", F.col("c")).alias("weight"),
-                              F.try_element_at("s", F.col("c")).alias("score"))
+        key, "var", "labels", F.coalesce("v.weights", none).alias("w"), F.coalesce("v.scores", none).alias("s"), F.col("v.categories").alias("n"))
+    numbered = F.transform(F.flatten(F.transform(F.concat(F.map_values("w"), F.map_values("s")), lambda m: F.map_keys(m))), lambda k: k.try_cast("int"))
+    plain = plain.withColumn("n", F.coalesce("n", F.array_max(numbered) + 1, F.lit(0))).where((F.col("n") > 0) & (F.col("labels") > 0))
+    grid = plain.select("*", F.explode(F.sequence(F.lit(0), F.col("labels") - 1)).alias("label")).select(
+        "*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("cat"))
+
+    def cell(table: str) -> Column:
+        row = F.try_element_at(F.col(table), F.col("label").cast("string"))
+        drawn = u01(f"{seed}-{table}", F.col(key), F.col("var"), F.col("label"), F.col("cat"))
+        return F.coalesce(clamp01(F.try_element_at(row, F.col("cat").cast("string"))), drawn)
+
+    categories = grid.select(key, "var", "label", "cat", cell("w").alias("weight"), cell("s").alias("score"))
     numbers = variables.where("v.variable_type = 'numerical'")
     numeric = numbers.select(key, "var", "v", F.explode(F.sequence(F.lit(0), F.col("labels") - 1)).alias("label"))
     at = lambda name: F.try_element_at(F.col(f"v.{name}"), F.col("label").cast("string"))

@@ -1,7 +1,10 @@
 """Streams: stateless scoring, budgets and message delivery with state per session.
 
-State is one small record per session. Rows of a session must not go back in position across
-micro-batches; a late row (at or below the stored position) is marked and leaves the state alone.
+State is one small record per session and the rows that wait for an earlier one. With ``first``, the
+position that every session starts at, positions are taken to have no gaps: a row that arrives
+before its predecessors waits for them, in whatever order files come. Without it, rows of a session must not
+go back in position across micro-batches. A row at or below the last position handled is
+late: it is marked and leaves the state alone.
 """
 
 from __future__ import annotations
@@ -21,15 +24,31 @@ def score_stream(stream: DataFrame, model: Model, cats, values=None) -> DataFram
     return score_wide(stream, model, cats, values)
 
 
-def budget_stream(stream: DataFrame, key: str, budget: str) -> DataFrame:
+def _in_turn(rows: pd.DataFrame, last: int, first: int | None) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """Rows to handle now, in order, and rows that wait for an earlier position."""
+    rows = rows.sort_values("pos", kind="stable").reset_index(drop=True)
+    if first is None:
+        return rows, rows.iloc[:0]
+    fresh = rows["pos"] > last
+    want = max(last, first - 1)
+    for pos in rows["pos"][fresh]:
+        if pos > want + 1:
+            break
+        want = pos
+    now = rows["pos"] <= want
+    return rows[now], rows[~now]
+
+
+def budget_stream(stream: DataFrame, key: str, budget: str, first: int | None = None) -> DataFrame:
     """Columns (key, pos, cost, runnable, budget) in; outcome, charged and left out, per session."""
 
     def charge(ids, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, left = state.get if state.exists else (-1, None)
-        started = state.exists
-        rows = pd.concat(list(batches)).sort_values("pos")
+        last, left, started, *waiting = state.get if state.exists else (-1, None, False, [], [], [], [])
+        held = pd.DataFrame(dict(zip(("pos", "cost", "runnable", budget), map(list, waiting))))
+        rows = pd.concat([x for x in (held, *batches) if len(x)])
+        now, later = _in_turn(rows, last, first)
         out = []
-        for pos, cost, runnable, limit in zip(rows["pos"], rows["cost"], rows["runnable"], rows[budget]):
+        for pos, cost, runnable, limit in zip(now["pos"], now["cost"], now["runnable"], now[budget]):
             if not started:
                 left, started = (None if pd.isna(limit) else int(limit)), True
             if pos <= last:
@@ -44,23 +63,27 @@ def budget_stream(stream: DataFrame, key: str, budget: str) -> DataFrame:
                 outcome, charged = "charged", int(cost)
                 left = None if left is None else left - charged
             out.append((ids[0], last, outcome, charged, left))
-        state.update((last, left))
-        yield pd.DataFrame(out, columns=[key, "pos", "outcome", "charged", "left"]).astype({"left": "Int64"})
+        limits = [None if pd.isna(x) else int(x) for x in later[budget]]
+        state.update((last, left, started, [int(x) for x in later["pos"]], [int(x) for x in later["cost"]], [bool(x) for x in later["runnable"]], limits))
+        yield pd.DataFrame(out, columns=[key, "pos", "outcome", "charged", "left"]).astype({key: "int64", "pos": "int64", "charged": "int64", "left": "Int64"})
 
     return stream.groupBy(key).applyInPandasWithState(
-        charge, f"{key} long, pos long, outcome string, charged long, left long", "last long, left long", "append",
+        charge, f"{key} long, pos long, outcome string, charged long, left long",
+        "last long, left long, started boolean, waiting array<long>, costs array<long>, runnable array<boolean>, limits array<long>", "append",
         GroupStateTimeout.NoTimeout)
 
 
-def delivery_stream(stream: DataFrame, key: str, grace: int) -> DataFrame:
+def delivery_stream(stream: DataFrame, key: str, grace: int, first: int | None = None) -> DataFrame:
     """Columns (key, pos, kind) in; one row per delivery out: (key, pos of the message, delivered_at, outcome)."""
 
     def deliver(ids, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, connected, remaining, held = state.get if state.exists else (-1, True, 0, [])
+        last, connected, remaining, held, waiting, kinds = state.get if state.exists else (-1, True, 0, [], [], [])
         held = list(held)
-        rows = pd.concat(list(batches)).sort_values("pos")
+        before = pd.DataFrame({"pos": list(waiting), "kind": list(kinds)})
+        rows = pd.concat([x for x in (before, *batches) if len(x)])
+        now, later = _in_turn(rows, last, first)
         out = []
-        for pos, kind in zip(rows["pos"], rows["kind"]):
+        for pos, kind in zip(now["pos"], now["kind"]):
             pos = int(pos)
             if pos <= last:
                 out.append((ids[0], pos, None, "late"))
@@ -82,11 +105,12 @@ def delivery_stream(stream: DataFrame, key: str, grace: int) -> DataFrame:
                 connected, remaining = True, 0
             elif kind == "disconnect":
                 connected, remaining = False, grace
-        state.update((last, connected, remaining, held))
-        yield pd.DataFrame(out, columns=[key, "pos", "delivered_at", "outcome"]).astype({"delivered_at": "Int64"})
+        state.update((last, connected, remaining, held, [int(x) for x in later["pos"]], [str(x) for x in later["kind"]]))
+        yield pd.DataFrame(out, columns=[key, "pos", "delivered_at", "outcome"]).astype({key: "int64", "pos": "int64", "delivered_at": "Int64"})
 
     return stream.groupBy(key).applyInPandasWithState(
-        deliver, f"{key} long, pos long, delivered_at long, outcome string", "last long, connected boolean, remaining int, held array<long>",
+        deliver, f"{key} long, pos long, delivered_at long, outcome string",
+        "last long, connected boolean, remaining int, held array<long>, waiting array<long>, kinds array<string>",
         "append", GroupStateTimeout.NoTimeout)
 
 
