@@ -7,6 +7,7 @@ is smaller by the chunk size) are added, so one group may hold any share of the
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -83,11 +84,15 @@ def number_by_position(df, keys, position: str, name: str = "rn", rows: int = CH
     return running(df, keys, [position], position_chunk(F.col(position), rows), {name: ("sum", F.lit(1).cast("long"))})
 
 
-def number_by_key(df, keys, key: str, name: str = "rn", digits: int = 4, tie: Sequence[str] = ()) -> DataFrame:
-    """row_number() per key along an md5 key column (a seeded shuffle)."""
-    return running(
-        df, keys, [key, *tie], md5_bucket(F.col(key), digits), {name: ("sum", F.lit(1).cast("long"))}
-    )
+def number_by_key(df, keys, key: str, name: str = "rn", tie: Sequence[str] = (), rows: int = CHUNK_ROWS) -> DataFrame:
+    """row_number() per key along an md5 key column (a seeded shuffle).
+
+    The input is written once; chunks are cut by as many leading digits as bring the whole table down to
+    about ``rows`` rows a chunk, so totals stay few however small the groups are.
+    """
+    kept = stored(df, "ranked")
+    digits = max(1, math.ceil(math.log(max(1.0, kept.count() / rows), 16)))
+    return running(kept, keys, [key, *tie], md5_bucket(F.col(key), digits), {name: ("sum", F.lit(1).cast("long"))})
 
 
 def chunked(df: DataFrame, order: Sequence[Column | str], rows: int = CHUNK_ROWS) -> DataFrame:

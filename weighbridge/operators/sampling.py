@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.seeded import draw_index, md5_key, u01
+from ..sources.storage import stored
 from .ordered import number_by_key, number_by_position, smallest_key
 
 
@@ -68,6 +69,7 @@ def balanced_sample(df: DataFrame, label: str, labels: int, n: int, seed, ids: S
     the draws themselves are a distributed range joined to ranks.
     """
     spark = df.sparkSession
+    df = stored(df, "pool")  # ranked, counted and picked from
     ranked = stratified_rank(df, [label], seed, ids, "__rank")
     pools = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
              .where(F.col(label).between(0, labels - 1)).collect()}

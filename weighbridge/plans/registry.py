@@ -10,19 +10,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def configure(spark: SparkSession) -> SparkSession:
-    """Let Spark split generated methods that the JVM would refuse to compile (over 8000 bytes)."""
-    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
-    return spark
-
-
 def query(name: str, sql: str | None = None):
     """Register a query (and the SQL it must agree with) under a name."""
 
     def add(fn):
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = lambda spark, sf: fn(configure(spark), sf)
+        QUERIES[name] = fn
         if sql is not None:
             ORACLE[name] = sql
         return fn
