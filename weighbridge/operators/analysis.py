@@ -28,12 +28,18 @@ def radix_index(digits: Sequence[Column], sizes: Sequence[int | Column]) -> Colu
     return index
 
 
-def explode_combinations(df: DataFrame, names: Sequence[str], sizes: Sequence[Column]) -> DataFrame:
-    """Every combination of each row's own category domains, as rows (..., aid, names...)."""
+def explode_combinations(df: DataFrame, names: Sequence[str], sizes: Sequence[Column], chunk: int = 4096) -> DataFrame:
+    """Every combination of each row's own category domains, as rows (..., aid, names...).
+
+    A row's range is exploded to starts of chunks first, so no array holds more than the greater
+    of ``chunk`` and the number of chunks.
+    """
     total = F.lit(1).cast("long")
     for n in sizes:
         total = total * n
-    rows = df.select("*", F.explode(F.sequence(F.lit(0).cast("long"), total - 1)).alias("aid"))
+    step = F.lit(chunk).cast("long")
+    cut = df.select("*", total.alias("__total")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__total") - 1, step)).alias("__start"))
+    rows = cut.select(*df.columns, F.explode(F.sequence(F.col("__start"), F.least(F.col("__start") + step, F.col("__total")) - 1)).alias("aid"))
     return rows.select("*", *[d.alias(n) for n, d in zip(names, radix_digits(F.col("aid"), sizes))])
 
 

@@ -183,9 +183,11 @@ def _(spark, sf):
     return r.select("sid", tx.example_line(block, raw).alias("line"))
 
 
-@query("experiment_history", f"{_RUN} SELECT custkey, sid, row_number() OVER (PARTITION BY custkey ORDER BY sid) AS experiment_index, CASE WHEN message IS NULL THEN lb END AS label, CASE WHEN message IS NULL AND lb IN (0, 2) THEN tn END AS tone, {_REQUEST} AS input_values FROM x")
+@query("experiment_history", f"""{_RUN} SELECT custkey, sid, row_number() OVER (PARTITION BY custkey ORDER BY sid) AS experiment_index, 'What about ' || sid || '?' AS query, CASE WHEN message IS NULL THEN 'Success' ELSE 'Error' END AS status, CASE WHEN message IS NULL THEN lb END AS label,
+ CASE WHEN message IS NULL THEN CASE lb WHEN 0 THEN 'Accept' ELSE 'Label ' || lb END END AS label_name, CASE WHEN message IS NULL AND lb IN (0, 2) THEN tn END AS tone, {_REQUEST} AS input_values FROM x""")
 def _(spark, sf):
-    r = ran(spark, sf).select("custkey", "sid", "label", "tone", F.col("request").alias("input_values"))
+    asked = F.concat(F.lit("What about "), F.col("sid").cast("string"), F.lit("?"))
+    r = ran(spark, sf).select("custkey", "sid", asked.alias("query"), "status", "label", "label_name", "tone", F.col("request").alias("input_values"))
     return ss.experiment_index(r, ["custkey"], "sid")
 
 

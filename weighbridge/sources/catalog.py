@@ -38,18 +38,24 @@ def file_stem(path: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(path, "([^/]*)$", 1), r"\.[^.]*$", "")
 
 
-def ancestors(path: Column, include_self: bool = True) -> Column:
-    """Every leading folder of a path, so prefix questions become equality joins."""
+def depths(df: DataFrame, path: str) -> list[int]:
+    """How many parts the paths of a column have: as many numbers as folders are ever nested."""
+    return sorted(r["d"] for r in df.select(F.size(F.split(path, "/")).alias("d")).distinct().collect())
+
+
+def ancestors(path: Column, at: Sequence[int], include_self: bool = True) -> Column:
+    """The leading folders of a path that have one of the given depths, so prefix questions become
+    equality joins. Folders above all that is looked for, which many files share, are left out."""
     parts = F.split(path, "/")
     depth = F.size(parts) if include_self else F.size(parts) - 1
-    return F.when(depth >= 2, F.transform(F.sequence(F.lit(2), F.greatest(depth, F.lit(2))), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).otherwise(
-        F.expr("CAST(array() AS ARRAY<STRING>)"))
+    wanted = F.array(*[F.lit(d) for d in at]).cast("array<int>")
+    return F.transform(F.filter(wanted, lambda d: d <= depth), lambda d: F.array_join(F.slice(parts, F.lit(1), d), "/"))
 
 
 def dataset_roots(files: DataFrame) -> DataFrame:
     """Folders that hold a model file and lie below no other such folder."""
     hits = files.where(F.col("path").endswith(f"/{ROOT_FILE}")).select(parent(F.col("path")).alias("root")).distinct()
-    above = hits.select("root", F.explode(ancestors(F.col("root"), include_self=False)).alias("up"))
+    above = hits.select("root", F.explode(ancestors(F.col("root"), depths(hits, "root"), include_self=False)).alias("up"))
     nested = above.join(hits.withColumnRenamed("root", "up"), "up", "left_semi").select("root")
     return hits.join(nested.distinct(), "root", "left_anti")
 
@@ -58,13 +64,13 @@ def resolve_paths(requests: DataFrame, roots: DataFrame) -> DataFrame:
     """Requested paths (pos, path) expanded to the roots at or below them, each root once, with
     the position of the first request that found it."""
     first = requests.groupBy(F.col("path").alias("up")).agg(F.min("pos").alias("pos"))
-    reach = roots.select("root", F.explode(ancestors(F.col("root"))).alias("up"))
+    reach = roots.select("root", F.explode(ancestors(F.col("root"), depths(first, "up"))).alias("up"))
     return reach.join(first, "up").groupBy("root").agg(F.min("pos").alias("first_pos"))
 
 
 def with_dataset(files: DataFrame, roots: DataFrame) -> DataFrame:
     """Add the dataset root a file belongs to; files outside all roots drop out."""
-    up = files.select("*", F.explode(ancestors(F.col("path"), include_self=False)).alias("__up"))
+    up = files.select("*", F.explode(ancestors(F.col("path"), depths(roots, "root"), include_self=False)).alias("__up"))
     return up.join(roots.select(F.col("root").alias("__up")), "__up").withColumnRenamed("__up", "dataset_id")
 
 
@@ -85,7 +91,7 @@ def file_kind(path: Column) -> Column:
 def load_all(files: DataFrame) -> DataFrame:
     """(dataset_id, kind, path, content) of every known file of every dataset."""
     known = files.withColumn("kind", file_kind(F.col("path"))).where("kind IS NOT NULL")
-    return with_dataset(known, dataset_roots(files)).select("dataset_id", "kind", "path", "content")
+    return with_dataset(known, dataset_roots(files.select("path"))).select("dataset_id", "kind", "path", "content")
 
 
 # -- models --------------------------------------------------------------------------------------
