@@ -37,7 +37,7 @@ def names():
 
 
 def labelled(spark, sf):
-    return sc.score_wide(order_samples(spark, sf), MODEL, cats(), values()).select("sid", "custkey", "status", *VARS, "label", "score")
+    return sc.score_wide(order_samples(spark, sf), MODEL, cats(), values()).select("sid", "custkey", "status", *VARS, "x4", "label", "score")
 
 
 def docs(spark, sf):
@@ -100,12 +100,16 @@ def prop_labels():
 SQL_BLOCK = "{head} || ', ' || 'area=' || V0 || CASE WHEN label <> 1 THEN ', tone=' || CASE V1 WHEN 0 THEN 'calm' ELSE CAST(V1 AS VARCHAR) END ELSE '' END"
 
 
-@query("label_text", f"{with_scores()} SELECT sid, {SQL_LABEL} AS label_text, CASE WHEN label <> 1 THEN CASE V1 WHEN 0 THEN 'calm' ELSE CAST(V1 AS VARCHAR) END END AS tone, {SQL_BLOCK.format(head=SQL_LABEL)} AS block FROM lab JOIN smp USING (sid)")
+@query("label_text", f"""{with_scores()} SELECT sid, {SQL_LABEL} AS label_text, CASE WHEN label <> 1 THEN CASE V1 WHEN 0 THEN 'calm' ELSE CAST(V1 AS VARCHAR) END END AS tone,
+ CASE WHEN V0 = 2 THEN CASE V2 WHEN 4 THEN NULL ELSE V2 || ' kg (load)' END ELSE {_NUM.format(x='x4 * 30')} || ' kg (load)' END AS mass, {SQL_BLOCK.format(head=SQL_LABEL)} AS block FROM lab JOIN smp USING (sid)""")
 def _(spark, sf):
     texts = tx.phrase_map(PROPS)
-    tone = F.when(F.col("label") != 1, F.coalesce(tx.phrase_of(texts, F.lit("tone"), F.col("V1")), F.col("V1").cast("string")))
+    none, calm = F.expr("CAST(map() AS MAP<INT, STRING>)"), F.create_map(F.lit(0), F.lit("calm"))
+    tone = tx.property_text(F.lit(None).cast("string"), F.when(F.col("label") != 1, F.col("V1")), F.lit(None).cast("double"), calm, F.lit(None).cast("string"), F.lit(None).cast("string"))
+    # a numerical property shows its score, else its label
+    mass = tx.property_text(F.lit("numerical"), F.when(F.col("V2") != 4, F.col("V2")), F.when(F.col("V0") != 2, F.col("x4") * 30), none, F.lit("kg"), F.lit("load"))
     name = tx.label_name(names(), F.col("label"))
-    return labelled(spark, sf).select("sid", name.alias("label_text"), tone.alias("tone"), tx.label_block(name, prop_labels(), texts, False).alias("block"))
+    return labelled(spark, sf).select("sid", name.alias("label_text"), tone.alias("tone"), mass.alias("mass"), tx.label_block(name, prop_labels(), texts, False).alias("block"))
 
 
 @query("label_names", f"{with_scores()} SELECT status, label, {SQL_LABEL} AS name, count(*) AS n FROM lab JOIN smp USING (sid) GROUP BY status, label")
@@ -143,12 +147,13 @@ def _(spark, sf):
 
 
 @query("examples_block", f"""{with_scores()}, f AS (SELECT *, row_number() OVER (PARTITION BY custkey ORDER BY sid) AS r FROM lab JOIN smp USING (sid))
-SELECT custkey, 'Labeled examples:' || chr(10) || string_agg('Labels: ' || {SQL_BLOCK.format(head=SQL_LABEL)} || ' | ' || {SQL_TEXT}, chr(10) ORDER BY sid) AS block FROM f WHERE r <= 3 GROUP BY custkey""")
+SELECT custkey, CASE WHEN custkey % 5 = 0 OR custkey % 5 = 1 AND custkey % 3 = 0 THEN '{tx.FILES_NOTE}' WHEN custkey % 7 = 0 THEN '' ELSE 'Labeled examples:' || chr(10) || string_agg('Labels: ' || {SQL_BLOCK.format(head=SQL_LABEL)} || ' | ' || {SQL_TEXT}, chr(10) ORDER BY sid) END AS block FROM f WHERE r <= 3 GROUP BY custkey""")
 def _(spark, sf):
     first = bl.first_n(labelled(spark, sf), ["custkey"], ["sid"], 3)
     text = tx.render_template(F.lit(TEMPLATE), assignment(), tx.phrase_map(PHRASES))
+    level = F.when(F.col("custkey") % 5 == 0, "files").when(F.col("custkey") % 5 == 1, "free_text").otherwise("raw")
     line = tx.example_line(tx.label_block(tx.label_name(names(), F.col("label")), prop_labels(), tx.phrase_map(PROPS), False), text)
-    return bl.join_lines(first, ["custkey"], "sid", line, "lines").select("custkey", F.concat(F.lit("Labeled examples:\n"), F.col("lines")).alias("block"))
+    return bl.join_lines(first, ["custkey"], "sid", line, "lines").select("custkey", tx.examples_block(level, F.col("custkey") % 3 == 0, F.when(F.col("custkey") % 7 != 0, F.col("lines"))).alias("block"))
 
 
 @query("reference_lines", f"{with_scores()} SELECT sid, sid || '. Label: ' || {SQL_LABEL} || ' | Assignment: ' || {SQL_RAW} AS line, sid || '. Labels: ' || {SQL_BLOCK.format(head=SQL_LABEL)} || ' | ' || {SQL_TEXT} AS text_line FROM lab JOIN smp USING (sid)")
