@@ -43,3 +43,32 @@ def fill_phrases(expected: DataFrame, given: DataFrame, keys: Sequence[str]) ->
     base = F.when(F.length("role") > 0, F.col("role")).otherwise(F.col("var"))
     default = F.when(F.col("kind") == "numerical", F.lit("")).otherwise(F.concat(base, F.lit(" category "), F.col("cat").cast("string")))
     return j.select(*keys, "var", "cat", F.coalesce("phrase", default).alias("phrase"), F.col("phrase").isNull().alias("filled"))
+
+
+def fill_label_names(tasks: DataFrame, labels: Column, given: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Names of every output label of a task, given as (keys..., label, name); a missing one is ``Label i``."""
+    every = tasks.where(labels > 0).select(*keys, F.explode(F.sequence(F.lit(0), labels - 1)).alias("label"))
+    j = every.join(given, [*keys, "label"], "left")
+    return j.select(*keys, "label", F.coalesce("name", F.concat(F.lit("Label "), F.col("label").cast("string"))).alias("name"), F.col("name").isNull().alias("filled"))
+
+
+def fill_property_labels(expected: DataFrame, given: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Texts of every label of categorical properties (keys..., property, type, num_output_labels);
+    given: (keys..., property, label, text). A missing one is named after property and label."""
+    plain = expected.where((F.lower(F.coalesce("type", F.lit("categorical"))) != "numerical") & (F.col("num_output_labels") > 0))
+    every = plain.select(*keys, "property", F.explode(F.sequence(F.lit(0), F.col("num_output_labels") - 1)).alias("label"))
+    j = every.join(given, [*keys, "property", "label"], "left")
+    default = F.concat("property", F.lit(" label "), F.col("label").cast("string"))
+    return j.select(*keys, "property", "label", F.coalesce("text", default).alias("text"), F.col("text").isNull().alias("filled"))
+
+
+def fill_property_ranges(expected: DataFrame, given: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Range, unit and description of numerical properties (keys..., property, type, min_value,
+    max_value, unit, description); given: (keys..., property, low, high, range_unit, note). The mapping's
+    range comes first, then the property's own, then 0 to 1."""
+    numbers = expected.where(F.lower("type") == "numerical").join(given, [*keys, "property"], "left")
+    mapped, own = F.col("low").isNotNull() & F.col("high").isNotNull(), F.col("min_value").isNotNull() & F.col("max_value").isNotNull()
+    pick = lambda a, b, default: F.when(mapped, F.col(a)).when(own, F.col(b)).otherwise(default)
+    return numbers.select(*keys, "property", pick("low", "min_value", F.lit(0.0)).alias("low"), pick("high", "max_value", F.lit(1.0)).alias("high"),
+                          F.when(mapped, F.col("range_unit")).when(own, F.col("unit")).alias("unit"),
+                          F.coalesce("note", "description", F.concat("property", F.lit(" value"))).alias("description"))

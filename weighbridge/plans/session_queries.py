@@ -249,6 +249,39 @@ def _(spark, sf):
     return al.fill_phrases(expected, given, ["p_partkey"])
 
 
+@query("validate_label_names", """SELECT p_partkey, i AS label, CASE WHEN i = 0 THEN p_brand ELSE 'Label ' || i END AS name, i <> 0 AS filled FROM (SELECT p_partkey, p_brand, unnest(range(p_size % 4 + 1))::INTEGER AS i FROM part)""")
+def _(spark, sf):
+    p = table(spark, sf, "part")
+    given = p.select("p_partkey", F.lit(0).alias("label"), F.col("p_brand").alias("name"))
+    return al.fill_label_names(p, F.col("p_size") % 4 + 1, given, ["p_partkey"])
+
+
+def part_properties(spark, sf):
+    """Property "tone" with labels, "mass" with a range for every second part."""
+    p = table(spark, sf, "part")
+    text, real = F.lit(None).cast("string"), F.lit(None).cast("double")
+    even = F.col("p_partkey") % 2 == 0
+    tone = F.struct(F.lit("tone").alias("property"), text.alias("type"), (F.col("p_size") % 3 + 1).alias("num_output_labels"), real.alias("min_value"), real.alias("max_value"), text.alias("unit"), text.alias("description"))
+    mass = F.struct(F.lit("mass").alias("property"), F.lit("Numerical").alias("type"), F.lit(None).cast("int").alias("num_output_labels"), F.when(even, F.lit(1.0)).alias("min_value"),
+                    F.when(even, F.col("p_retailprice")).alias("max_value"), F.when(even, "kg").alias("unit"), F.when(F.col("p_size") > 25, "load").alias("description"))
+    return p, p.select("p_partkey", F.explode(F.array(tone, mass)).alias("x")).select("p_partkey", "x.*")
+
+
+@query("validate_property_labels", """SELECT p_partkey, 'tone' AS property, i AS label, CASE WHEN i = 0 THEN p_brand ELSE 'tone label ' || i END AS text, i <> 0 AS filled FROM (SELECT p_partkey, p_brand, unnest(range(p_size % 3 + 1))::INTEGER AS i FROM part)""")
+def _(spark, sf):
+    p, expected = part_properties(spark, sf)
+    given = p.select("p_partkey", F.lit("tone").alias("property"), F.lit(0).alias("label"), F.col("p_brand").alias("text"))
+    return al.fill_property_labels(expected, given, ["p_partkey"])
+
+
+@query("validate_property_ranges", """SELECT p_partkey, 'mass' AS property, CASE WHEN p_partkey % 5 = 0 THEN 2 WHEN p_partkey % 2 = 0 THEN 1 ELSE 0 END::DOUBLE AS low, CASE WHEN p_partkey % 5 = 0 THEN 9 WHEN p_partkey % 2 = 0 THEN p_retailprice ELSE 1 END::DOUBLE AS high,
+ CASE WHEN p_partkey % 5 = 0 THEN 't' WHEN p_partkey % 2 = 0 THEN 'kg' END AS unit, CASE WHEN p_size > 25 THEN 'load' ELSE 'mass value' END AS description FROM part""")
+def _(spark, sf):
+    p, expected = part_properties(spark, sf)
+    given = p.where("p_partkey % 5 = 0").select("p_partkey", F.lit("mass").alias("property"), F.lit(2.0).alias("low"), F.lit(9.0).alias("high"), F.lit("t").alias("range_unit"), F.lit(None).cast("string").alias("note"))
+    return al.fill_property_ranges(expected, given, ["p_partkey"])
+
+
 # -- density-scaled error ---------------------------------------------------------------------------------
 
 _SIGMA = """WITH q AS (SELECT DISTINCT round(o_totalprice / 400, 0) AS x FROM orders), t AS (SELECT p_retailprice AS v FROM part),
