@@ -151,13 +151,13 @@ def vector_rows(vectors: dict[str, np.ndarray], rows: int = 64) -> Iterator[pa.R
             if piece.any():
                 pending.append((name, at // CHUNK_SLOTS, piece.astype(np.int32).tobytes()))  # of one task
                 if len(pending) == rows:
-                    yield _vector_batch(pending)
+                    yield vector_batch(pending)
                     pending = []
     if pending:
-        yield _vector_batch(pending)
+        yield vector_batch(pending)
 
 
-def _vector_batch(rows: list[tuple[str, int, bytes]]) -> pa.RecordBatch:
+def vector_batch(rows: list[tuple[str, int, bytes]]) -> pa.RecordBatch:
     part, chunk, counts = zip(*rows)
     return pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array(chunk, pa.int32()), pa.array(counts, pa.binary())],
                                       names=["part", "chunk", "counts"])
@@ -178,7 +178,7 @@ def summed(rows: DataFrame, finish: Callable[[np.ndarray], np.ndarray] = lambda
                 else:
                     total[part, chunk] = piece.astype(np.int64)
         if total:
-            yield _vector_batch([(*k, finish(v).tobytes()) for k, v in total.items()])
+            yield vector_batch([(*k, finish(v).tobytes()) for k, v in total.items()])
 
     return rows.repartition("part", "chunk").mapInArrow(run, VECTOR)
 
