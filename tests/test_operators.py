@@ -437,3 +437,11 @@ def test_sampling_takes_the_smallest_keys(spark):
     rows = spark.createDataFrame([(i, i % 3, i % 2) for i in range(60)], "i int, a int, b int")
     assert {r["a"] for r in sp.unseen(rows, seen, ["a", "b"], 7, 1, "i").collect()} == {2}
     assert sp.unseen(rows, seen, ["a", "b"], 7, 1, "i").count() == 7
+
+
+def test_numbered_titles_avoid_original_ones(spark):
+    rows = [(1, i, t) for i, t in enumerate(["a", "a_3", "a", "a", "a_2", "a", "b", "b", "x" * 40, "x" * 29 + "_2", "x" * 35])] + [(2, 0, "a"), (2, 1, "a")]
+    df = spark.createDataFrame(rows, "k int, pos long, title string")
+    got = {(r["k"], r["pos"]): r["unique_title"] for r in bl.unique_titles(df, ["k"], "title", "pos").collect()}
+    assert [got[1, i] for i in range(11)] == ["a", "a_3", "a_4", "a_5", "a_2", "a_6", "b", "b_2", "x" * 31, "x" * 29 + "_2", "x" * 29 + "_3"]
+    assert [got[2, i] for i in range(2)] == ["a", "a_2"]

@@ -79,12 +79,24 @@ def label_summary(df: DataFrame, label: str, keys: Sequence[str] = ()) -> DataFr
 
 
 def unique_titles(df: DataFrame, keys: Sequence[str], title: str, position: str, width: int = 31) -> DataFrame:
-    """Repeated titles of a key get ``_2``, ``_3``, ... within the title width."""
+    """Repeated titles of a key get ``_2``, ``_3``, ... within the title width; numbers that would make
+    another original title of the key are skipped."""
     base = F.substring(F.when(F.trim(F.coalesce(F.col(title), F.lit(""))) == "", "Sheet").otherwise(F.trim(F.col(title))), 1, width)
     rows = number_by_position(df.withColumn("__base", base), [*keys, "__base"], position, "__nth")
-    suffix = F.concat(F.lit("_"), F.col("__nth").cast("string"))
-    cut = F.concat(F.substring(F.col("__base"), F.lit(1), F.lit(width) - F.length(suffix)), suffix)
-    return rows.withColumn("unique_title", F.when(F.col("__nth") == 1, F.col("__base")).otherwise(cut)).drop("__base", "__nth")
+    suffix = lambda n: F.concat(F.lit("_"), n.cast("string"))
+    cut = lambda end: F.substring(F.col("__base"), F.lit(1), F.lit(width) - end)
+    # an original title that ends in a number is taken from every title it could be made of
+    number = F.regexp_extract("__base", "_([1-9][0-9]{0,8})$", 1)
+    made = rows.where(F.col("__nth") == 1).select(*keys, "__base", number.alias("__k")).where("__k <> ''")
+    made = made.select(*keys, (F.length("__k") + 1).alias("__len"), F.col("__k").cast("long").alias("__k"),
+                       F.substring(F.col("__base"), F.lit(1), F.length("__base") - F.length("__k") - 1).alias("__stem"))
+    again = rows.where(F.col("__nth") == 2).select(*keys, "__base", F.explode(F.sequence(F.lit(2), F.lit(10))).alias("__len"))
+    again = again.withColumn("__stem", cut(F.col("__len")))
+    taken = again.join(made, [*keys, "__stem", "__len"]).groupBy(*keys, "__base").agg(F.sort_array(F.collect_list("__k")).alias("__taken"))
+    j = rows.join(taken, [*keys, "__base"], "left")
+    free = F.coalesce(F.aggregate("__taken", F.col("__nth"), lambda n, t: F.when((t <= n) & (t > 1), n + 1).otherwise(n)), F.col("__nth"))
+    named = F.concat(cut(F.length(suffix(free))), suffix(free))
+    return j.select(*df.columns, F.when(F.col("__nth") == 1, F.col("__base")).otherwise(named).alias("unique_title"))
 
 
 def even_odd_split(df: DataFrame, position: str) -> DataFrame:
