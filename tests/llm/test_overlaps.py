@@ -108,14 +108,14 @@ def brute_join(rows, t=0.8):
 
     for i in range(n):
         for j in range(i + 1, n):
-            if sets[i] and len(sets[i] & sets[j]) >= t * len(sets[i] | sets[j]):
+            if len(sets[i] & sets[j]) >= t * len(sets[i] | sets[j]) and bool(sets[i]) == bool(sets[j]):
                 links[i] += 1
                 links[j] += 1
                 root[find(i)] = find(j)
     least = defaultdict(list)
     for i in range(n):
         least[find(i)].append(rows[i][0])
-    return sorted((rows[i][0], min(least[find(i)]), sum(s == sets[i] for s in sets) if sets[i] else 1, links[i]) for i in range(n))
+    return sorted((rows[i][0], min(least[find(i)]), sum(s == sets[i] for s in sets), links[i]) for i in range(n))
 
 
 def near_rows():
@@ -266,6 +266,17 @@ def test_passages(spark):
     assert passages.shared(frame.limit(0)).count() == 0
 
 
+def test_seeds_are_least_in_a_window():
+    rng = np.random.default_rng(7)
+    for n in (0, 3, 5, 6, 9, 20, 21, 22, 90):
+        h = rng.integers(0, 50, n)
+        k = passages.c.windows(h, passages.SEED)
+        size = min(passages.WINDOW, len(k))
+        want = {j for i in range(len(k) - size + 1) for j in range(i, i + size) if k[j] == k[i:i + size].min()} if len(k) else set()
+        at, keys = passages.seed_places(h)
+        assert set(at.tolist()) == want and keys.view(np.uint64).tolist() == [k[j] for j in sorted(want)]
+
+
 def test_chaining_is_optimal():
     r = random.Random(8)
     for _ in range(200):

@@ -11,8 +11,8 @@ member's number of links and a spanning forest of them come out.
 
 A band is missed by a pair at the threshold with probability (1 - 0.8**4)**32 < 1e-7.
 
-Cases: a text with 1 to 4 words is one shingle; null and empty texts have none and are linked to
-nothing. Words are lower-cased (A-Z) runs without white space. Repeated rows of an id are
+Cases: a text with 1 to 4 words is one shingle; null texts and texts without words are copies of
+each other and like no other. Words are lower-cased (A-Z) runs without white space. Repeated rows of an id are
 copies of each other if their texts agree. Rows without an id come back with no class. Classes are
 named by 64 bits of a hash. An empty table gives an empty result.
 """
@@ -92,14 +92,14 @@ def surviving(x: np.ndarray, y: np.ndarray, sigs: np.ndarray, least: dict[int, i
 
 
 def describe(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc_id, class, sig): each row's class and signature, null without words."""
+    """(doc_id, class, sig): each row's class, and its signature, null without words."""
     hashes = c.WordHash()
 
     def answer(batch: pa.RecordBatch) -> list:
         ids, sigs = [], []
         for x in c.raw(batch, "text"):
             s = shingles(hashes.of(x.lower().split()))
-            ids.append(class_id(s) if len(s) else None)
+            ids.append(class_id(s))
             sigs.append(signature(s) if len(s) else None)
         return [pa.array(ids, pa.int64()), pa.array(sigs, pa.binary())]
 
@@ -150,7 +150,7 @@ def block_pairs(own: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarr
 
 def candidates(sigs: DataFrame, least: dict[int, int]) -> DataFrame:
     """(a, b): edges that connect classes whose signatures collide in a band and survive pruning."""
-    one = sigs.where(F.col("class").isNotNull()).groupBy("class").agg(F.first("sig").alias("sig"))
+    one = sigs.where(F.col("sig").isNotNull()).groupBy("class").agg(F.first("sig").alias("sig"))
     one = stored(one, "signatures")
     bands = one.select("class", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.substring("sig", b * (2 * BAND) + 1, 2 * BAND))).alias("band", "__part"))
     bands = bands.select("class", "band", F.xxhash64("band", "__part").alias("bucket"))
@@ -269,7 +269,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: fl
     rows = stored(describe(docs, key, text), "classes")
     edges = candidates(rows, least_matches(threshold, tolerance))
     groups = components(edges).select(F.col("id").alias("class"), F.col("root").alias("group"))
-    classes = (rows.where(F.col("class").isNotNull() & F.col("doc_id").isNotNull()).groupBy("class")
+    classes = (rows.where(F.col("doc_id").isNotNull()).groupBy("class")
                .agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id")))
     grouped = stored(groups.join(classes, "class"), "groups")
     sizes = grouped.groupBy("group").agg(F.count("*").alias("size")).where("size > 1")
