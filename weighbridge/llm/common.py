@@ -105,13 +105,14 @@ def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 class WordHash(dict):
     """63-bit hashes of words; forgets them all when it holds too many."""
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes | str) -> int:
         if len(self) >= CACHED_WORDS:
             self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word) >> 1
+        data = word.encode("utf-8", "surrogatepass") if isinstance(word, str) else word
+        value = self[word] = xxhash.xxh3_64_intdigest(data) >> 1
         return value
 
-    def of(self, words: list[bytes]) -> np.ndarray:
+    def of(self, words: list[bytes] | list[str]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 

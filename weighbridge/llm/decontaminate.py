@@ -37,8 +37,8 @@ FILTER_BITS = 22
 WORD = re.compile(r"\w+")
 
 
-def words(text: str) -> list[bytes]:
-    return [w.encode("utf-8", "surrogatepass") for w in WORD.findall(text.lower())]
+def words(text: str) -> list[str]:
+    return WORD.findall(text.lower())
 
 
 def seeds(h: np.ndarray, mask: str) -> np.ndarray:
