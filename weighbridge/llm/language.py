@@ -123,7 +123,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", penalty:
     return c.add_columns(docs, f"{names[0]} string, {names[1]} double", answer)
 
 
-def accepted(docs: DataFrame, model: Model | None, text: str = "text", least: float = 0.5) -> DataFrame:
+def accepted(docs: DataFrame, model: Model | None, text: str = "text", least: float = 0.25) -> DataFrame:
     """Documents with a recognised language that makes up at least ``least`` of the text."""
     out = identify(docs, model, text, names=("__lang", "__share"))
     return out.where((F.col("__lang") != UNKNOWN) & (F.col("__share") >= least)).drop("__lang", "__share")
