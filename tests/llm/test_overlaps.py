@@ -293,6 +293,33 @@ def test_chaining_is_optimal():
         assert passages.SEED * len(c) - passages.GAP * gaps == pytest.approx(max(best.values()))
 
 
+def test_a_far_passage_does_not_hide_nearer_seeds(spark):
+    for first in (80, 200, 400):  # a first passage, and a second one 300 words later with a word put in
+        x = [*range(0, first, 9), *range(first + 300, first + 380, 9)]
+        a, b = np.array(x), np.array([p + (p >= first + 340) for p in x])
+        late = [c.tolist() for c in passages.chains(a, b) if a[c[-1]] >= first + 300]
+        assert len(late) == 1 and (a[late[0]] >= first + 300).sum() == len(range(first + 300, first + 380, 9))
+    one, two = prose(400, 80), prose(401, 80).split(" ")
+    docs = [(1, " ".join([one, prose(402, 300), *two])), (2, " ".join([one, prose(403, 300), *two[:40], "more", *two[40:]]))]
+    got = [(r["other_start"], r["other_words"], r["n_words"]) for r in passages.shared(spark.createDataFrame(docs, "doc_id long, text string")).collect()]
+    assert sorted(got) == [(0, 80, 80), (380, 80, 81)]
+
+
+def test_chains_reach_as_brute_force():
+    r = random.Random(12)
+    for _ in range(60):
+        n = r.randint(2, 40)
+        a, b = np.array([r.randint(0, 900) for _ in range(n)]), np.array([r.randint(0, 900) for _ in range(n)])
+        b = np.where(np.arange(n) % 3, a + r.randint(0, 3), b)
+        best = {}
+        for i in sorted(range(n), key=lambda i: (a[i], b[i])):
+            near = [j for j in best if 0 < a[i] - a[j] <= 4 * passages.REACH and 0 < b[i] - b[j] <= 4 * passages.REACH]
+            best[i] = passages.SEED + max([0, *(best[j] - passages.GAP * (a[i] - a[j] + b[i] - b[j]) for j in near)])
+        c = passages.chains(a, b)[0]
+        gaps = sum((a[y] - a[x]) + (b[y] - b[x]) for x, y in zip(c, c[1:]))
+        assert passages.SEED * len(c) - passages.GAP * gaps == pytest.approx(max(best.values()))
+
+
 def test_edit_matches():
     r = random.Random(9)
     for _ in range(200):
