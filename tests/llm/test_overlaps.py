@@ -293,6 +293,45 @@ def test_chaining_is_optimal():
         assert passages.SEED * len(c) - passages.GAP * gaps == pytest.approx(max(best.values()))
 
 
+def fuzzy_pairs(n):
+    """Pairs of texts (1000 i, 1000 i + 1) that share 50 words but for one in 5 to 12, or 10 to 20 in a hundred at random."""
+    r, out = random.Random(13), []
+    for i in range(n):
+        words = prose(2000 + i, 50).split(" ")
+        kind = i % 11
+        if kind < 8:
+            gone = r.choice([g for g in (range(off, 50, 5 + kind) for off in range(1, 5 + kind)) if 49 not in g])
+        else:
+            gone = r.sample(range(1, 49), (5, 7, 10)[kind - 8])
+        copy = [f"y{r.randrange(10 ** 9)}" if j in gone else w for j, w in enumerate(words)]
+        out += [(1000 * i, " ".join([prose(5000 + i, 30), *words, prose(6000 + i, 30)])), (1000 * i + 1, " ".join([prose(7000 + i, 40), *copy, prose(8000 + i, 20)]))]
+    return out
+
+
+def test_fuzzy_passages_are_found(spark):
+    docs = fuzzy_pairs(220)
+    got = passages.shared(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {(r["other_id"], r["doc_id"]) for r in got} == {(1000 * i, 1000 * i + 1) for i in range(220)}
+    texts = {i: t.lower().split() for i, t in docs}
+    for r in got:
+        a, b = (texts[r[k]][r[s]:r[s] + r[n]] for k, s, n in (("doc_id", "start", "n_words"), ("other_id", "other_start", "other_words")))
+        assert min(len(a), len(b)) >= 50 and r["n_matched"] >= 0.8 * max(len(a), len(b))
+        assert len(a) != len(b) or sum(x == y for x, y in zip(a, b)) == r["n_matched"]
+
+
+def test_thinned_runs_keep_their_ends():
+    r = random.Random(14)
+    for _ in range(100):
+        pairs = [(x + i, y + i) for x, y, n in [(r.randrange(60), r.randrange(60), r.randint(1, 30)) for _ in range(4)] for i in range(n)] * 2
+        r.shuffle(pairs)
+        a, b = passages.thinned(*(np.array(v) for v in zip(*pairs)))
+        kept, whole = list(zip(a.tolist(), b.tolist())), set(pairs)
+        assert len(kept) == len(set(kept)) and set(kept) <= whole
+        assert {p for p in whole if (p[0] - 1, p[1] - 1) not in whole or (p[0] + 1, p[1] + 1) not in whole} <= set(kept)
+        for x, y in whole:
+            assert any((x - i, y - i) in kept for i in range(passages.SEED))
+
+
 def test_a_far_passage_does_not_hide_nearer_seeds(spark):
     for first in (80, 200, 400):  # a first passage, and a second one 300 words later with a word put in
         x = [*range(0, first, 9), *range(first + 300, first + 380, 9)]
