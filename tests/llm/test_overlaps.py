@@ -319,6 +319,44 @@ def test_fuzzy_passages_are_found(spark):
         assert len(a) != len(b) or sum(x == y for x, y in zip(a, b)) == r["n_matched"]
 
 
+def test_neighbours_of_seeds_meet(spark):
+    """Every seed of the passage of 10 and 20 has other first and last holders, none with 50 words."""
+    words = prose(500, 60).split(" ")
+    parts = {1: words[:40], 99: words[:40], 2: words[20:], 98: words[20:], 10: words, 20: words}
+    docs = [(i, " ".join([prose(600 + i, 30), *part, prose(700 + i, 30)])) for i, part in parts.items()]
+    got = {(r["other_id"], r["doc_id"], r["n_words"]) for r in passages.shared(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {(10, 20, 60)}
+
+
+def test_documents_with_a_window_in_common_are_connected(spark):
+    r = random.Random(15)
+    pool = [prose(900 + i, 400).split(" ") for i in range(4)]
+    docs = []
+    for i in range(160):  # overlapping stretches of few texts, and a long one that changes its neighbours
+        source, at = r.choice(pool), r.randrange(340)
+        docs.append((i, " ".join([prose(1000 + i, r.randint(0, 20)), *source[at:at + r.choice([30, 45, 50, 55, 70, 400])], prose(1200 + i, 15)])))
+    docs += [(200, " ".join(["the"] * 90)), (201, " ".join(["the"] * 60)), (202, " ".join(["the"] * 70)), (203, " ".join(["the"] * 30))]
+    docs += [(i, " ".join([prose(1500, 5), *(w for w in prose(1501, 8).split(" ") for _ in range(45)), prose(1502, 7)])) for i in (204, 205)]
+    holders, places = defaultdict(set), defaultdict(set)
+    for i, t in docs:
+        w = t.lower().split()
+        for p in range(len(w) - 49):
+            holders[tuple(w[p:p + 50])].add(i)
+            places[tuple(w[p:p + 50]), i].add(p)
+    met = defaultdict(set)
+    for x in passages.shared(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        met[x["doc_id"]].add((x["start"], x["start"] + x["n_words"], x["other_id"], x["other_start"], x["other_words"]))
+    for window, ids in holders.items():
+        reached, more = {min(ids)}, True
+        while more:
+            more = {d for d in ids - reached for s, e, o, os, on in met[d] if o in reached
+                    and any(s <= p and p + 50 <= e for p in places[window, d]) and any(os <= q and q + 50 <= os + on for q in places[window, o])}
+            more |= {o for d in ids & reached for s, e, o, os, on in met[d] if o in ids - reached
+                     and any(s <= p and p + 50 <= e for p in places[window, d]) and any(os <= q and q + 50 <= os + on for q in places[window, o])}
+            reached |= more
+        assert reached == ids
+
+
 def test_thinned_runs_keep_their_ends():
     r = random.Random(14)
     for _ in range(100):
