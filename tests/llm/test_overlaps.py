@@ -140,6 +140,17 @@ def test_jaccard_join(spark, monkeypatch):
     assert sorted(map(str, (tuple(r)[:2] for r in jaccard.join(odd).collect()))) == ["(1, 1)", "(1, 1)", "(None, None)"]
 
 
+def test_one_of_each_with_repeated_ids(spark):
+    near = lambda i, k: swap(prose(i, 60), 61 - k, k)
+    rows = [(1, prose(1, 60)), (5, near(1, 3)), (5, prose(2, 60)), (7, prose(3, 60)), (7, prose(3, 60)), (7, prose(3, 60).upper()),
+            (8, prose(4, 60)), (8, near(4, 5)), (9, near(2, 4)), (10, prose(5, 60)), (10, prose(6, 60)), (11, near(5, 3)), (None, prose(1, 60)), (None, prose(1, 60)), (12, None), (12, "")]
+    got = sorted(((r["doc_id"], r["text"]) for r in jaccard.one_of_each(spark.createDataFrame([(i, t, 5) for i, t in rows], "doc_id long, text string, class int")).collect()), key=str)
+    eight = [x for x in got if x[0] == 8]
+    assert len(eight) == 1 and eight[0] in rows
+    want = [(1, rows[0][1]), (5, rows[2][1]), (7, rows[5][1]), *eight, (10, rows[9][1]), (10, rows[10][1]), rows[12], rows[13], (12, None)]
+    assert got == sorted(want, key=str)
+
+
 def test_large_group_of_near_copies(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 16)
     monkeypatch.setattr(jaccard, "BULK", 64)

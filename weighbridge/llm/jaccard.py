@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.storage import stored
@@ -266,6 +266,11 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: fl
     """One row per row of ``docs``: doc_id, class_id (the least id that links lead to, itself
     without links), copies (documents with the same shingles) and n_links (documents with a similarity of at
     least ``threshold``, copies included)."""
+    return _joined(docs, key, text, threshold, tolerance).drop("class", "root")
+
+
+def _joined(docs: DataFrame, key: str, text: str, threshold: float, tolerance: float = 1e-6) -> DataFrame:
+    """As ``join``, with each row's class and the class that its links lead to."""
     rows = stored(describe(docs, key, text), "classes")
     edges = candidates(rows, least_matches(threshold, tolerance))
     groups = components(edges).select(F.col("id").alias("class"), F.col("root").alias("group"))
@@ -278,17 +283,30 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: fl
     many = links.groupBy("class").agg(F.sum("links").alias("links"))
     inside = stored(many.join(roots, "class").join(classes, "class"), "linked")
     first = stored(inside.groupBy("root").agg(F.min("doc_id").alias("class_id")), "first")
-    linked = inside.join(first, "root").select("class", "links", "class_id", "copies")
-    copied = classes.where("copies > 1").join(inside.select("class"), "class", "left_anti")
-    special = stored(linked.unionByName(copied.select("class", F.lit(0).cast("long").alias("links"), F.col("doc_id").alias("class_id"), "copies")), "special")
+    linked = inside.join(first, "root").select("class", "root", "links", "class_id", "copies")
+    copied = classes.where("copies > 1").join(inside.select("class"), "class", "left_anti").withColumn("root", F.col("class"))
+    special = stored(linked.unionByName(copied.select("class", "root", F.lit(0).cast("long").alias("links"), F.col("doc_id").alias("class_id"), "copies")), "special")
     one = F.lit(1).cast("long")
     return rows.select("doc_id", "class").join(special, "class", "left").select(
-        "doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"), F.coalesce("copies", one).alias("copies"),
+        "doc_id", "class", F.coalesce("root", "class").alias("root"), F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"), F.coalesce("copies", one).alias("copies"),
         (F.coalesce("links", F.lit(0)) + F.coalesce("copies", one) - 1).alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
-    """The document with the least id of each group of linked documents, once."""
-    found = join(docs, key, text, threshold)
-    gone = found.where(F.col("class_id") != F.col("doc_id")).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col(key) == F.col("__gone"), "left_anti")
+    """The document with the least id of each group of linked documents, once. Of an id with several rows each text
+    is a document of its own: only rows of the same group leave one, that of the least text. Rows without an id stay."""
+    found = stored(_joined(docs, key, text, threshold).where("doc_id is not null").select("doc_id", "class", "root", "class_id"), "joined")
+    many = stored(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id")), "many")
+    gone = found.where(F.col("class_id") != F.col("doc_id")).select(F.col("doc_id").alias("__id")).unionByName(many)
+    plain = docs.join(gone, F.col(key) == F.col("__id"), "left_anti")
+    first = (found.where(F.col("class_id") == F.col("doc_id")).join(many, F.col("doc_id") == F.col("__id"), "left_semi")
+             .groupBy("doc_id", "root").agg(F.min("class").alias("__first")).select(F.col("doc_id").alias("__id"), "__first"))
+    hashes = c.WordHash()
+
+    def classes(batch: pa.RecordBatch) -> list:
+        return [pa.array([class_id(shingles(hashes.of(x.lower().split()))) for x in c.raw(batch, text)], pa.int64())]
+
+    rows = c.add_columns(docs.join(many, F.col(key) == F.col("__id"), "left_semi"), "__class long", classes)
+    rows = rows.join(first, (F.col(key) == F.col("__id")) & (F.col("__class") == F.col("__first")))
+    nth = F.row_number().over(Window.partitionBy(key, "__class").orderBy(text))
+    return plain.unionByName(rows.withColumn("__nth", nth).where("__nth = 1").select(*docs.columns))
