@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, grams, jaccard, language, mixing, passages, pieces, quality, resample
+from . import chat, decontaminate, grams, jaccard, language, mixing, passages, periodic, pieces, quality, resample
 from .common import remainder, table
 from .lines import LineStore
 
@@ -93,8 +94,29 @@ def op10_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return passages.shared(table(spark, sf, "documents"))
 
 
+def repeated_tail(h: int | None, n: int) -> np.ndarray | None:
+    """Of every tenth document (by the hash of its id), the words from place a on repeat their first p."""
+    if h is None or h % 10 or not n:
+        return None
+    g, at = h // 10, np.arange(n)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return np.where(at < a, at, a + (at - a) % p)
+
+
+def op11_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h"))
+    found = periodic.collapse(docs, rearrange=("h", repeated_tail), leave_out=("text", "h"))
+    best = F.try_element_at("runs", F.col("strongest") + 1)
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    return (found.withColumn("best", best)
+            .select("doc_id", F.size("runs").cast("long").alias("n_runs"), *[F.col(f"best.{x}").alias(x) for x in ("start", "length", "period")],
+                    F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+                    F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")))
+
+
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_sentencepiece, op4_lm_scoring, op5_benchmark_decontamination, op6_line_dedup,
-                                   op7_chat_formatting, op8_ngram_jaccard, op9_quality_resampling, op10_substring_dedup)}
+                                   op7_chat_formatting, op8_ngram_jaccard, op9_quality_resampling, op10_substring_dedup, op11_periodic_runs)}
 
 _ESCAPED = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 
@@ -114,4 +136,24 @@ d AS (SELECT *, CASE WHEN role = 'assistant' THEN text ELSE '' END AS learned,
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(sum(length(learned)) AS BIGINT) AS loss_chars, sha256(string_agg(learned, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256,
   CAST(sum(length(formatted)) AS BIGINT) AS formatted_chars FROM d GROUP BY conv_id""",
+    "op11_periodic_runs": r"""
+WITH hashed AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, xor(4294967295::BIGINT,
+    list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda s, b:
+      list_reduce(list_prepend(xor(s, b), list_value(0::BIGINT, 0, 0, 0, 0, 0, 0, 0)), lambda v, _: xor(v >> 1, 3988292384::BIGINT * (v & 1))))) AS h FROM documents),
+placed AS (SELECT *, (h // 10) % greatest(len(w), 1) AS a FROM hashed),
+dealt AS (SELECT doc_id, CASE WHEN h % 10 = 0 THEN list_transform(range(len(w)), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (len(w) - a) // (3 + (h // 10) % 8)) END])
+    ELSE w END AS w FROM placed),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i, len(w) AS n FROM dealt),
+alike AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND y.i - x.i <= x.n // 4),
+ranked AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM alike),
+stretch AS (SELECT doc_id, q, min(i) AS s, max(i) + 1 + q AS e FROM ranked GROUP BY doc_id, q, island HAVING count(*) >= greatest(3 * q, 6 - q)),
+run AS (SELECT * FROM stretch r WHERE NOT EXISTS (SELECT 1 FROM stretch o WHERE o.doc_id = r.doc_id AND o.q < r.q AND o.s <= r.s AND o.e >= r.e)),
+summary AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || (e - s) || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM run GROUP BY doc_id),
+best AS (SELECT doc_id, s AS start, e - s AS length, q AS period FROM run r WHERE NOT EXISTS (SELECT 1 FROM run o WHERE o.doc_id = r.doc_id
+    AND ((o.e - o.s) * r.q > (r.e - r.s) * o.q OR ((o.e - o.s) * r.q = (r.e - r.s) * o.q AND (o.s < r.s OR (o.s = r.s AND o.q < r.q)))))),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM words w
+    WHERE NOT EXISTS (SELECT 1 FROM run r WHERE r.doc_id = w.doc_id AND w.i >= r.s + r.q AND w.i < r.e) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM documents d LEFT JOIN summary ON d.doc_id = summary.doc_id LEFT JOIN best ON d.doc_id = best.doc_id LEFT JOIN kept ON d.doc_id = kept.doc_id""",
 }
