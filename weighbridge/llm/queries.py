@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, grams, jaccard, language, mixing, passages, periodic, pieces, quality, resample
+from . import chat, decontaminate, divergence, grams, jaccard, language, mixing, passages, periodic, pieces, quality, resample
 from .common import remainder, table
 from .lines import LineStore
 
@@ -115,8 +115,13 @@ def op11_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
                     F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")))
 
 
+def op13_source_divergence(spark: SparkSession, sf: str) -> DataFrame:
+    return divergence.audit(table(spark, sf, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_sentencepiece, op4_lm_scoring, op5_benchmark_decontamination, op6_line_dedup,
-                                   op7_chat_formatting, op8_ngram_jaccard, op9_quality_resampling, op10_substring_dedup, op11_periodic_runs)}
+                                   op7_chat_formatting, op8_ngram_jaccard, op9_quality_resampling, op10_substring_dedup, op11_periodic_runs,
+                                   op13_source_divergence)}
 
 _ESCAPED = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 
@@ -156,4 +161,21 @@ kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM words w
 SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
   sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
 FROM documents d LEFT JOIN summary ON d.doc_id = summary.doc_id LEFT JOIN best ON d.doc_id = best.doc_id LEFT JOIN kept ON d.doc_id = kept.doc_id""",
+    "op13_source_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+t AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+used AS (SELECT t.lang, t.source, t.term, count(*) AS c FROM t JOIN kept k ON t.lang = k.lang AND t.term = k.term GROUP BY ALL),
+vocab AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+groups AS (SELECT g.lang, g.source, coalesce(sum(u.c), 0) AS n FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN used u ON u.lang = g.lang AND u.source = g.source GROUP BY ALL),
+prices AS (SELECT g.lang, g.source, k.term, coalesce(u.c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(u.c, 0) + 5)) // (g.n + 5 * v.v) AS p
+  FROM groups g JOIN vocab v ON v.lang = g.lang JOIN kept k ON k.lang = g.lang LEFT JOIN used u ON u.lang = g.lang AND u.source = g.source AND u.term = k.term),
+whole AS (SELECT k.lang, k.term, 1 + (1000000000::HUGEINT * (sum(u.c) + 5)) // (any_value(n.n) + 5 * any_value(v.v)) AS q
+  FROM kept k JOIN used u ON u.lang = k.lang AND u.term = k.term JOIN vocab v ON v.lang = k.lang JOIN (SELECT lang, sum(n) AS n FROM groups GROUP BY lang) n ON n.lang = k.lang GROUP BY ALL),
+apart AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS f FROM prices a JOIN prices b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+terms AS (SELECT p.lang, p.source, 'term' AS part, p.term AS item, p.p - w.q AS value FROM prices p JOIN whole w ON w.lang = p.lang AND w.term = p.term WHERE p.c > 0 AND p.p > w.q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 50""",
 }
