@@ -88,7 +88,7 @@ def test_empty_and_single(spark):
 
 def test_joint_tables():
     rng = np.random.default_rng(1)
-    counts = rng.zipf(1.4, (500, 4)).clip(0, 10 ** 6) - 1
+    counts = np.concatenate((rng.zipf(1.4, (500, 4)).clip(0, 10 ** 6) - 1, rng.integers(0, 400, (900, 4))))
     total, blocks = defaultdict(int), 0
     for levels, begins, joint in divergence.products(counts):
         blocks += 1
