@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, divergence, grams, jaccard, language, mixing, passages, periodic, pieces, quality, resample
+from . import chat, decontaminate, divergence, grams, jaccard, language, mixing, passages, periodic, pieces, quality, resample, toxicity
 from .common import remainder, table
 from .lines import LineStore
 
@@ -115,12 +115,20 @@ def op11_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
                     F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")))
 
 
+def op12_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    model = toxicity.learn(docs, labels, remainder(F.col("doc_id"), 5) != 0)
+    held = F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False))
+    scored = toxicity.score(docs.select("doc_id", held.alias("held_out"), "text"), model, leave_out=("text",))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op13_source_divergence(spark: SparkSession, sf: str) -> DataFrame:
     return divergence.audit(table(spark, sf, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_sentencepiece, op4_lm_scoring, op5_benchmark_decontamination, op6_line_dedup,
-                                   op7_chat_formatting, op8_ngram_jaccard, op9_quality_resampling, op10_substring_dedup, op11_periodic_runs,
+                                   op7_chat_formatting, op8_ngram_jaccard, op9_quality_resampling, op10_substring_dedup, op11_periodic_runs, op12_toxicity,
                                    op13_source_divergence)}
 
 _ESCAPED = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
