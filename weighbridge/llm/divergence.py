@@ -39,7 +39,7 @@ from . import common as c
 
 UNIT, PRIOR = 1_000_000_000, 5
 COLUMNS = 512        # indicator columns of a product, or twice the groups if they are more
-CELLS = 1 << 21      # counts (terms times sources) of a block
+CELLS = 1 << 15      # counts (terms times sources) of a block
 SOURCES = 256        # sources of a range
 ROWS = 1 << 16       # rows of a batch of counts
 
