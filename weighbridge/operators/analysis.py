@@ -17,7 +17,7 @@ def radix_digits(index: Column, sizes: Sequence[int | Column]) -> list[Column]:
     for n in reversed(sizes):
         n = n.cast("long") if isinstance(n, Column) else F.lit(n).cast("long")
         digits.append((rest % n).cast("int"))
-        rest = F.floor((rest - rest % n) / n).cast("long")
+        rest = F.call_function("div", rest, n)
     return digits[::-1]
 
 
@@ -28,18 +28,29 @@ def radix_index(digits: Sequence[Column], sizes: Sequence[int | Column]) -> Colu
     return index
 
 
-def explode_combinations(df: DataFrame, names: Sequence[str], sizes: Sequence[Column], chunk: int = 4096) -> DataFrame:
-    """Every combination of each row's own category domains, as rows (..., aid, names...).
+def combinations(sizes: Sequence[int | Column]) -> Column:
+    """How many combinations the domains have."""
+    total = F.lit(1).cast("long")
+    for n in sizes:
+        total = total * n
+    return total
+
+
+def explode_range(df: DataFrame, total: Column, name: str, chunk: int = 4096) -> DataFrame:
+    """Each row once for every number below its ``total``.
 
     A row's range is exploded to starts of chunks first, so no array holds more than the greater
     of ``chunk`` and the number of chunks.
     """
-    total = F.lit(1).cast("long")
-    for n in sizes:
-        total = total * n
     step = F.lit(chunk).cast("long")
-    cut = df.select("*", total.alias("__total")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__total") - 1, step)).alias("__start"))
-    rows = cut.select(*df.columns, F.explode(F.sequence(F.col("__start"), F.least(F.col("__start") + step, F.col("__total")) - 1)).alias("aid"))
+    cut = df.select("*", total.alias("__total")).where(F.col("__total") > 0)
+    cut = cut.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__total") - 1, step)).alias("__start"))
+    return cut.select(*df.columns, F.explode(F.sequence(F.col("__start"), F.least(F.col("__start") + step, F.col("__total")) - 1)).alias(name))
+
+
+def explode_combinations(df: DataFrame, names: Sequence[str], sizes: Sequence[Column], chunk: int = 4096) -> DataFrame:
+    """Every combination of each row's own category domains, as rows (..., aid, names...)."""
+    rows = explode_range(df, combinations(sizes), "aid", chunk)
     return rows.select("*", *[d.alias(n) for n, d in zip(names, radix_digits(F.col("aid"), sizes))])
 
 

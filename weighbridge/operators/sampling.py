@@ -11,9 +11,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.permuted import permute
 from ..functions.seeded import draw_index, md5_key, u01
 from ..sources.storage import stored
-from .ordered import number_by_key, number_by_position, smallest_key
+from .analysis import combinations, explode_range, radix_digits, radix_index
+from .ordered import chunked, number_by_key, number_by_position, running, smallest_key
 
 
 def stratified_rank(df: DataFrame, by: Sequence[str], seed, ids: Sequence[str], name: str = "rank") -> DataFrame:
@@ -99,6 +101,59 @@ def unseen(all_rows: DataFrame, seen: DataFrame, variables: Sequence[str], cap:
     return rest if cap is None else sample_rows(rest, cap, seed, [id_])
 
 
+def sample_configurations(df: DataFrame, names: Sequence[str], sizes: Sequence[int | Column], k: int | None, seed, keys: Sequence[str]) -> DataFrame:
+    """For each row, k distinct combinations of its category domains (all of them, in order, if there are no
+    more than k or k is None), as rows (..., draw, aid, names...).
+
+    The draws are images under a seeded permutation of the combinations' numbers, so only those drawn are
+    ever made, without a shuffle. ``keys`` make rows draw on their own.
+    """
+    total = combinations(sizes)
+    rows = explode_range(df, total if k is None else F.least(total, F.lit(max(k, 0)).cast("long")), "draw")
+    drawn = F.col("draw") if k is None else F.when(total <= k, F.col("draw")).otherwise(permute(F.col("draw"), total, seed, *[F.col(x) for x in keys]))
+    rows = rows.select("*", drawn.alias("aid"))
+    return rows.select("*", *[d.alias(n) for n, d in zip(names, radix_digits(F.col("aid"), sizes))])
+
+
+def unseen_draws(domains: DataFrame, seen: DataFrame, keys: Sequence[str], names: Sequence[str], sizes: Sequence[int | Column],
+                 cap: int | None, seed, rows: int = 1_000_000) -> DataFrame:
+    """Combinations that do not occur in ``seen`` (keys..., names...), at most ``cap`` distinct random ones for each
+    row of ``domains`` (one row per key; all, in order, if there are no more or ``cap`` is None), as rows
+    (domains' columns, aid, names...).
+
+    The product is never made: of N combinations and m seen ones, draws are numbers below N - m, and the j-th
+    unseen combination is j + t, where t counts the seen ones with at most j unseen ones before them. Sorted seen
+    numbers and draws meet in one running count, cut by ranges, so neither a key's seen rows nor its draws need
+    to fit a task. Seen rows with a null or a category outside its domain are no combinations.
+    """
+    if not names:
+        raise ValueError("no variables")
+    group = list(keys) or ["__all"]
+    domains, seen = (df if keys else df.withColumn("__all", F.lit(0)) for df in (domains, seen))
+    sized = domains.select(*domains.columns, *[(n if isinstance(n, Column) else F.lit(n)).cast("long").alias(f"__n{i}") for i, n in enumerate(sizes)])
+    size = [F.col(f"__n{i}") for i in range(len(names))]
+    inside = F.lit(True)
+    for n, s in zip(names, size):
+        inside = inside & F.col(f"__s_{n}").between(0, s - 1)
+    known = (seen.select(*group, *[F.col(n).alias(f"__s_{n}") for n in names]).join(sized.select(*group, *[f"__n{i}" for i in range(len(names))]), group)
+             .where(inside).select(*group, radix_index([F.col(f"__s_{n}") for n in names], size).alias("__seen")).distinct())
+    known = stored(known, "seen")
+    many = known.groupBy(*group).agg(F.count("*").alias("__m"))
+    left = combinations(size) - F.coalesce("__m", F.lit(0))
+    free = sized.join(many, group, "left").withColumn("__left", left).drop("__m")
+    draws = explode_range(free, F.col("__left") if cap is None else F.least(F.col("__left"), F.lit(max(cap, 0)).cast("long")), "__draw")
+    at = F.col("__draw") if cap is None else F.when(F.col("__left") <= cap, F.col("__draw")).otherwise(permute(F.col("__draw"), F.col("__left"), seed, *[F.col(x) for x in keys]))
+    order = [*group, "__seen"]
+    ranked = running(chunked(known, order, rows), group, ["__seen"], F.col("__part"), {"__rank": ("sum", F.lit(1).cast("long"))})
+    gaps = ranked.select(*group, (F.col("__seen") - F.col("__rank") + 1).alias("__at"), F.lit(0).alias("__kind"), F.col("__seen").alias("__tie"))
+    wanted = draws.select(*domains.columns, *[f"__n{i}" for i in range(len(names))], at.alias("__at"), F.lit(1).alias("__kind"), F.col("__draw").alias("__tie"))
+    both = wanted.unionByName(gaps, allowMissingColumns=True)
+    place = ["__at", "__kind", "__tie"]
+    counted = running(chunked(both, [*group, *place], rows), group, place, F.col("__part"), {"__before": ("sum", F.when(F.col("__kind") == 0, 1).otherwise(0).cast("long"))})
+    found = counted.where("__kind = 1").withColumn("aid", F.col("__at") + F.col("__before"))
+    return found.select(*[c for c in domains.columns if c != "__all"], "aid", *[d.alias(n) for n, d in zip(names, radix_digits(F.col("aid"), size))])
+
+
 def subset_rows(df: DataFrame, label: str, k: int, seed, ids: Sequence[str], balance: bool = True) -> DataFrame:
     """k uniform rows, or half per label 0 and 1 capped by the smaller class."""
     total, n0, n1 = df.agg(F.count(F.lit(1)), F.count_if(F.col(label) == 0), F.count_if(F.col(label) == 1)).first()

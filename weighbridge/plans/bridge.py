@@ -190,3 +190,16 @@ def sql_u01(*parts: str) -> str:
 
 def sql_key(*parts: str) -> str:
     return f"md5(concat_ws('|', {', '.join(parts)}))"
+
+
+def sql_permute(x: str, n: str, seed: str, *parts: str, rounds: int = 6) -> str:
+    """DuckDB form of functions.permuted.permute; the arguments are SQL expressions."""
+    b = f"greatest(CAST(ceil(sqrt(CAST({n} AS DOUBLE))) AS BIGINT), 1)"
+    a = f"(({n} + {b} - 1) // {b})"
+    key = " || '|' || ".join([seed, *(f"CAST({p} AS VARCHAR)" for p in parts), "k[1]", "p[2]"])
+    size = "CASE WHEN k[1] % 2 = 0 THEN p[3] ELSE p[4] END"
+    draw = f"CAST('0x' || substr(md5({key}), 1, 15) AS BIGINT)"
+    step = f"lambda p, k: [p[2], (p[1] + {draw} % {size}) % {size}, p[3], p[4]]"
+    numbered = f"list_transform(range({rounds}), lambda i: [i, 0, 0, 0])"
+    once = f"list_transform([list_reduce(list_prepend([v // {b}, v % {b}, {a}, {b}], {numbered}), {step})], lambda q: q[1] * {b} + q[2])[1]"
+    return f"list_reduce(list_prepend(CAST({x} AS BIGINT), range(0, least({a} * {b} - {n}, CASE WHEN {b} < 64 THEN 64 ELSE 12 END) + 1)), lambda v, j: CASE WHEN j = 0 OR v >= {n} THEN {once} ELSE v END)"

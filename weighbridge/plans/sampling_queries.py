@@ -9,7 +9,7 @@ from ..operators import analysis as an
 from ..operators import sampling as sp
 from ..operators import scoring as sc
 from ..operators import search as se
-from .bridge import (MODEL, SEED, SIZES, SQL_ORDERS, VARS, cats, order_samples, sql_key, sql_model, sql_scores, sql_u01, table,
+from .bridge import (MODEL, SEED, SIZES, SQL_ORDERS, VARS, cats, order_samples, sql_key, sql_model, sql_permute, sql_scores, sql_u01, table,
                      values, with_scores)
 from .registry import query
 
@@ -47,9 +47,20 @@ def combos(spark, sf):
     return an.explode_combinations(table(spark, sf, "customer").select("c_custkey"), ["V0", "V1", "V2"], [F.lit(n) for n in SIZES[:3]])
 
 
-@query("sample_configurations", f"WITH {_COMBOS} SELECT c_custkey, aid FROM cb ORDER BY {sql_key(S, 'c_custkey', 'aid')} LIMIT 2000")
+_WIDE = [f"W{i}" for i in range(12)]
+
+
+def _digit(i: int) -> str:
+    return f"CAST(aid // {'1' if i == 11 else ' // '.join(['n'] * (11 - i))} % n AS INTEGER) AS W{i}"
+
+
+@query("sample_configurations", f"""WITH c AS (SELECT c_custkey, CAST(10 + c_custkey % 5 AS BIGINT) AS n, CAST(pow(10 + c_custkey % 5, 12) AS BIGINT) AS total, unnest(range(3)) AS draw FROM customer),
+d AS (SELECT c_custkey, n, draw, {sql_permute('draw', 'total', S, 'c_custkey')} AS aid FROM c)
+SELECT c_custkey, draw, aid, {', '.join(_digit(i) for i in range(12))} FROM d""")
 def _(spark, sf):
-    return sp.sample_rows(combos(spark, sf).select("c_custkey", "aid"), 2000, SEED, ["c_custkey", "aid"])
+    # 12 variables of 10 to 14 categories: three of up to 5.7e13 combinations per customer
+    n = F.col("c_custkey") % 5 + 10
+    return sp.sample_configurations(table(spark, sf, "customer").select("c_custkey"), _WIDE, [n] * 12, 3, SEED, ["c_custkey"])
 
 
 _UNSEEN = f"WITH {SQL_ORDERS}, {_COMBOS}, un AS (SELECT cb.* FROM cb ANTI JOIN smp ON custkey = c_custkey AND cb.V0 = smp.V0 AND cb.V1 = smp.V1 AND cb.V2 = smp.V2)"
@@ -65,12 +76,15 @@ def _(spark, sf):
     return unseen_combos(spark, sf).select("c_custkey", "aid", "V0", "V1", "V2")
 
 
-@query("unseen_samples", f"""{_UNSEEN}, pk AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY {sql_key(S, 'c_custkey', 'aid')}) AS rk FROM un),
+@query("unseen_samples", f"""{_UNSEEN}, nu AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY aid) - 1 AS j, count(*) OVER (PARTITION BY c_custkey) AS u FROM un),
+dr AS (SELECT c_custkey, CASE WHEN u <= 5 THEN draw ELSE {sql_permute('draw', 'u', S, 'c_custkey')} END AS j FROM (SELECT DISTINCT c_custkey, u, unnest(range(least(u, 5))) AS draw FROM nu)),
+pk AS (SELECT nu.* FROM nu JOIN dr USING (c_custkey, j)),
 smpu AS (SELECT c_custkey * 30 + aid AS sid, c_custkey, V0, V1, V2, v3 AS V3, v4 AS V4, v3 / 4::DOUBLE + {sql_u01(S, "'x3'", 'c_custkey', 'aid')} * 0.25 AS x3, v4 / 4::DOUBLE + {sql_u01(S, "'x4'", 'c_custkey', 'aid')} * 0.25 AS x4
-  FROM (SELECT *, CAST(aid % 4 AS INTEGER) AS v3, CAST((aid + 1) % 4 AS INTEGER) AS v4 FROM pk WHERE rk <= 5)),
+  FROM (SELECT *, CAST(aid % 4 AS INTEGER) AS v3, CAST((aid + 1) % 4 AS INTEGER) AS v4 FROM pk)),
 {sql_model(MODEL)}, {sql_scores(smp='smpu')} SELECT c_custkey, V0, V1, V2, V3, V4, round(x3, 6) AS x3, label, round(score, 6) AS score FROM smpu JOIN lab USING (sid)""")
 def _(spark, sf):
-    rest = sp.stratified_rank(unseen_combos(spark, sf), ["c_custkey"], SEED, ["c_custkey", "aid"]).where("rank <= 5")
+    seen = order_samples(spark, sf).withColumnRenamed("custkey", "c_custkey")
+    rest = sp.unseen_draws(table(spark, sf, "customer").select("c_custkey"), seen, ["c_custkey"], VARS[:3], SIZES[:3], 5, SEED)
     at = (F.col("c_custkey"), F.col("aid"))
     df = rest.select("c_custkey", "aid", "V0", "V1", "V2", (F.col("aid") % 4).cast("int").alias("V3"), ((F.col("aid") + 1) % 4).cast("int").alias("V4"))
     df = df.withColumns({"x3": sp.sample_in_span(F.col("V3") / 4, F.col("V3") / 4 + 0.25, SEED, F.lit("x3"), *at),
