@@ -445,3 +445,40 @@ def test_numbered_titles_avoid_original_ones(spark):
     got = {(r["k"], r["pos"]): r["unique_title"] for r in bl.unique_titles(df, ["k"], "title", "pos").collect()}
     assert [got[1, i] for i in range(11)] == ["a", "a_3", "a_4", "a_5", "a_2", "a_6", "b", "b_2", "x" * 31, "x" * 29 + "_2", "x" * 29 + "_3"]
     assert [got[2, i] for i in range(2)] == ["a", "a_2"]
+
+
+def test_budget_of_many_costs_and_long_sessions(spark):
+    """50 distinct costs, sessions over three levels of stretches, large, null and negative budgets, gaps, null keys."""
+    rng = random.Random(50)
+    budgets = {None: 40, 1: 10 ** 12, 2: None, 3: -5, 4: 0, 5: 700, 6: 4321}
+    rows = [(k, 7 + p * rng.choice([1, 1, 3]) + 3000 * (p > 200), rng.randrange(-1, 50), rng.random() < 0.9) for k in budgets for p in range(0, 400, 3 if k else 1)]
+    rows = [(k, p, c, ok) for (k, p), (c, ok) in {(k, p): (c, ok) for k, p, c, ok in rows}.items()]
+    df = spark.createDataFrame([(k, p, c, ok, budgets[k], f"x{p}") for k, p, c, ok in rows], "k int, pos long, cost int, runnable boolean, budget long, row string")
+    want = sequential_ledger(rows, budgets)
+    for size in (8, 64):
+        got = ss.budget_ledger(df, ["k"], "pos", "cost", "runnable", "budget", rows=size)
+        assert got.columns == [*df.columns, "outcome", "charged", "left"]
+        assert {(r["k"], r["pos"]): (r["outcome"], r["charged"], r["left"]) for r in got.collect()} == want
+    assert ss.budget_ledger(df.limit(0), ["k"], "pos", "cost", "runnable", "budget").count() == 0
+
+
+def test_budget_maps_against_every_budget(spark):
+    """Maps of random calls, composed, against charging each budget call by call."""
+    rng = random.Random(51)
+    for costs in ([1] * 30, [1, 5] * 8, [3, 7, 2, 2, 9, 1, 30], [64, 32, 16, 8, 4, 2, 1, 100], []):
+        rng.shuffle(costs)
+        cut = len(costs) // 2
+        whole = F.array(ss._piece(F.lit(0).cast("long"), F.lit(200).cast("long"), F.lit(0).cast("long"), F.lit(1)))
+        one, two = whole, whole
+        df = spark.range(1).select(F.array(*[F.lit(c).cast("long") for c in costs[:cut]]).cast("array<bigint>").alias("a"), F.array(*[F.lit(c).cast("long") for c in costs[cut:]]).cast("array<bigint>").alias("b"))
+        df = df.select(ss._merged(F.aggregate("a", one, ss._after_call)).alias("m"), ss._merged(F.aggregate("b", two, ss._after_call)).alias("n"))
+        df = df.select(ss._followed(F.col("m"), F.col("n")).alias("m"))
+        got = df.select("m", F.transform(F.sequence(F.lit(0).cast("long"), F.lit(199).cast("long")), lambda b: ss._left_after(F.col("m"), b)).alias("left")).first()
+        want = []
+        for left in range(200):
+            for c in costs:
+                left -= c if c <= left else 0
+            want.append(left)
+        assert list(got["left"]) == want
+        if set(costs) == {1}:
+            assert len(got["m"]) == 2  # used up, or all paid

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.storage import cut_lineage
+from ..sources.storage import cut_lineage, stored
 from .ordered import position_chunk, running
 
 
@@ -31,52 +31,127 @@ def tool_cost(name: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in TOOL_COSTS.items() for x in kv]), name), F.lit(1))
 
 
+def _piece(lo: Column, hi: Column, v: Column, k: Column) -> Column:
+    """Budgets lo <= b < hi of a budget map, which leaves v + k * (b - lo) of them (k is 0 or 1)."""
+    return F.struct(lo.alias("lo"), hi.alias("hi"), v.alias("v"), k.alias("k"))
+
+
+def _merged(pieces: Column) -> Column:
+    """Neighbours that leave the same constant as one piece; a single budget is a constant."""
+    flat = F.transform(pieces, lambda p: F.when(p["hi"] - p["lo"] == 1, _piece(p["lo"], p["hi"], p["v"], F.lit(0))).otherwise(p))
+
+    def add(done: Column, p: Column) -> Column:
+        last = F.element_at(done, -1)
+        same = (F.size(done) > 0) & (p["k"] == 0) & (F.try_element_at(done, F.lit(-1))["k"] == 0) & (F.try_element_at(done, F.lit(-1))["v"] == p["v"])
+        return F.when(same, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(_piece(last["lo"], p["hi"], p["v"], F.lit(0))))).otherwise(F.concat(done, F.array(p)))
+
+    return F.aggregate(flat, F.slice(flat, 1, 0), add)
+
+
+def _after_call(pieces: Column, cost: Column) -> Column:
+    """A budget map followed by one call: who has as much as the cost pays it."""
+    def part(p: Column) -> Column:
+        turn = p["lo"] + cost - p["v"]  # the first budget that can pay
+        pays = _piece(p["lo"], p["hi"], p["v"] - cost, p["k"])
+        split = F.array(_piece(p["lo"], turn, p["v"], p["k"]), _piece(turn, p["hi"], F.lit(0).cast("long"), p["k"]))
+        return F.when(p["v"] >= cost, F.array(pays)).when((p["k"] == 0) | (turn >= p["hi"]), F.array(p)).otherwise(split)
+
+    return F.flatten(F.transform(pieces, part))
+
+
+def _followed(first: Column, then: Column) -> Column:
+    """One budget map after the other."""
+    def part(p: Column) -> Column:
+        end = p["v"] + F.when(p["k"] == 0, 1).otherwise(p["hi"] - p["lo"])  # what it leaves lies in [v, end)
+        meet = F.filter(then, lambda q: (q["lo"] < end) & (q["hi"] > p["v"]))
+        begin = lambda q: F.greatest(q["lo"], p["v"])
+        return F.transform(meet, lambda q: _piece(
+            p["lo"] + begin(q) - p["v"], F.when(p["k"] == 0, p["hi"]).otherwise(p["lo"] + F.least(q["hi"], end) - p["v"]),
+            q["v"] + q["k"] * (begin(q) - q["lo"]), p["k"] * q["k"]))
+
+    return _merged(F.flatten(F.transform(first, part)))
+
+
+def _left_after(pieces: Column, budget: Column) -> Column:
+    """What a map leaves of a budget; none is unlimited, and a negative one pays nothing."""
+    mine = F.filter(pieces, lambda p: (p["lo"] <= budget) & (budget < p["hi"]))
+    return F.coalesce(F.get(F.transform(mine, lambda p: p["v"] + p["k"] * (budget - p["lo"])), F.lit(0)), budget)
+
+
 def budget_ledger(calls: DataFrame, keys: Sequence[str], pos: str, cost: str, runnable: str, budget: str,
-                  costs: Sequence[int] | None = None, rows: int = 100_000) -> DataFrame:
+                  costs: Sequence[int] | None = None, rows: int = 64) -> DataFrame:
     """Charge calls in order against a budget per session; add ``outcome``, ``charged`` and ``left``.
 
     A call that is not runnable is free; one dearer than what is left is rejected and costs
-    nothing; a null budget is unlimited. ``costs`` lists the positive costs that occur (read from
-    the table when left out); a call with another cost ends the job with an error.
-
-    The sequential rule is split by cost: as long as nothing was rejected, accepted costs are a
-    running sum; the first rejection rules out the dearest cost for good, so the next stage
-    repeats the sum over the cheaper calls that follow, against what was left. There are as
-    many running sums as distinct costs, whatever the length of a session.
+    nothing; a null budget is unlimited. Positions are whole numbers, each once in a session. If
+    ``costs`` is given, a positive cost of a runnable call that it does not list ends the job with an error.
+
+    The rule is no prefix sum, but what a stretch of calls does is a map from the budget before to the budget
+    after, and maps compose. ``rows`` positions make a stretch, ``rows`` stretches a longer one, and so on up to the
+    whole session: maps are composed on the way up, and on the way down each stretch learns what it begins with,
+    until the calls of the shortest are charged. So any costs, any budgets and sessions of any length need
+    two passes over stretches (one, without maps, if all positions fit into one), and nothing holds more
+    than ``rows`` calls or maps. A map is a list of ranges of budgets that fare alike, never more than budget + 1.
     """
-    if costs is None:
-        costs = [r[0] for r in calls.where(F.col(runnable) & (F.col(cost) > 0)).select(cost).distinct().collect()] or [1]
-    dear_first = sorted(set(costs), reverse=True)
-    listed = F.col(cost).isin(*dear_first) | (F.col(cost) <= 0) | ~F.col(runnable)
-    calls = calls.withColumn(cost, F.when(F.coalesce(listed, F.lit(True)), F.col(cost)).otherwise(
-        F.raise_error(F.concat(F.lit("a cost that is not listed: "), F.col(cost).cast("string"))).cast(calls.schema[cost].dataType)))
-    chunk = position_chunk(F.col(pos), rows)
-    df = calls.withColumns({"__left_0": F.col(budget).cast("long"), "__open_0": F.col(runnable) & (F.col(cost) > 0)})
-    for k, limit in enumerate(dear_first):
-        if k > 1:  # each running sum reads its input twice
-            df = cut_lineage(df)
-        member = F.col(f"__open_{k}") & (F.col(cost) <= limit)
-        aggs = {f"__cum_{k}": ("sum", F.when(member, F.col(cost)).otherwise(0).cast("long"))}
-        if k:
-            aggs[f"__used_{k}"] = ("max", F.when(F.col(f"__ok_{k - 1}"), F.col(f"__cum_{k - 1}")).otherwise(0).cast("long"))
-        df = running(df, keys, [pos], chunk, aggs)
-        if k:
-            df = df.withColumn(f"__left_{k}", F.col(f"__left_{k - 1}") - F.col(f"__used_{k}"))
-        within = F.col(f"__left_{k}").isNull() | (F.col(f"__cum_{k}") <= F.col(f"__left_{k}"))
-        df = df.withColumns({f"__within_{k}": within, f"__ok_{k}": member & within, f"__open_{k + 1}": F.col(f"__open_{k}") & ~within})
-    last = len(dear_first) - 1
-    if dear_first[-1] == 1:
-        after = F.lit(0).cast("long")  # a rejected call of cost 1 means nothing is left
+    keys = list(keys)
+    pays = F.coalesce(F.col(runnable) & (F.col(cost) > 0), F.lit(False))
+    price = F.when(pays, F.col(cost).cast("long"))
+    if costs is not None:
+        price = F.when(pays & ~F.col(cost).isin(*costs), F.raise_error(F.concat(F.lit("a cost that is not listed: "), F.col(cost).cast("string"))).cast("long")).otherwise(price)
+    low, high = calls.agg(F.min(pos), F.max(pos)).first()
+    levels, reach = 1, rows
+    while low is not None and high - low >= reach:
+        levels, reach = levels + 1, reach * rows
+    up = lambda at: F.call_function("div", at, F.lit(rows).cast("long"))
+    place = F.col(pos).cast("long") - F.lit(low or 0).cast("long")
+    in_order = lambda items: F.array_sort(items, lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0))
+    call = F.struct(place.alias("at"), price.alias("c"), F.struct(*[F.col(x) for x in calls.columns]).alias("row"))
+    leaves = (calls.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], up(place).alias("__node"), call.alias("__call"), F.col(budget).cast("long").alias("__budget"))
+              .groupBy(*[f"__k{i}" for i in range(len(keys))], "__node").agg(in_order(F.collect_list("__call")).alias("__calls"), F.max("__budget").alias("__budget")))
+    owner = [f"__k{i}" for i in range(len(keys))]
+    if levels == 1:
+        started = leaves.withColumn("__start", F.col("__budget"))
     else:
-        df = running(df, keys, [pos], chunk, {"__end": ("max", F.when(F.col(f"__ok_{last}"), F.col(f"__cum_{last}")).otherwise(0).cast("long"))})
-        after = F.col(f"__left_{last}") - F.col("__end")
-    left, taken = after, F.lit(False)
-    for k in range(last, -1, -1):
-        left = F.when(F.col(f"__within_{k}"), F.col(f"__left_{k}") - F.col(f"__cum_{k}")).otherwise(left)
-        taken = taken | F.col(f"__ok_{k}")
-    free = ~F.col(runnable) | (F.col(cost) <= 0)
-    return df.select(*calls.columns, F.when(free, "free").when(taken, "charged").otherwise("rejected").alias("outcome"),
-                     F.when(taken, F.col(cost)).otherwise(0).cast("long").alias("charged"), left.alias("left"))
+        leaves = stored(leaves, "calls")
+        whole = F.array(_piece(F.lit(0).cast("long"), F.col("__budget") + 1, F.lit(0).cast("long"), F.lit(1)))
+        fold = F.aggregate("__calls", whole, lambda m, x: F.when(x["c"].isNull(), m).otherwise(_after_call(m, x["c"])))
+        maps = leaves.where("__budget >= 0").withColumn("__map", fold).select(*owner, "__node", "__budget", _merged(F.col("__map")).alias("__map"))
+        steps = []  # per level: (owner, parent, children in order with their maps)
+        for level in range(1, levels):
+            parent = (maps.select(*owner, up(F.col("__node")).alias("__parent"), F.struct(F.col("__node").alias("at"), F.col("__map").alias("m")).alias("__child"), "__budget")
+                      .groupBy(*owner, "__parent").agg(in_order(F.collect_list("__child")).alias("__children"), F.max("__budget").alias("__budget")))
+            steps.append(stored(parent, "stretches"))
+            if level < levels - 1:
+                joined = F.aggregate(F.slice("__children", F.lit(2), F.size("__children")), F.col("__children")[0]["m"], lambda m, x: _followed(m, x["m"]))
+                maps = steps[-1].select(*owner, F.col("__parent").alias("__node"), "__budget", joined.alias("__map"))
+        start = None
+        for level in reversed(steps):  # what each stretch begins with, from the whole session down
+            known = level.withColumn("__start", F.col("__budget")) if start is None else _same(level, start, owner, "__parent")
+            empty = F.struct(F.col("__start").alias("b"), F.array().cast("array<struct<at:bigint,b:bigint>>").alias("out"))
+            begins = F.aggregate("__children", empty, lambda s, x: F.struct(_left_after(x["m"], s["b"]).alias("b"), F.concat(
+                s["out"], F.array(F.struct(x["at"].alias("at"), s["b"].alias("b")))).alias("out")), lambda s: s["out"])
+            start = known.select(*owner, F.explode(begins).alias("__s")).select(*owner, F.col("__s.at").alias("__parent"), F.col("__s.b").alias("__start"))
+        # unlimited and negative budgets have no maps: they stay as they are
+        started = _same(leaves, start, owner, "__node", "left").withColumn("__start", F.when(F.col("__budget") >= 0, F.col("__start")).otherwise(F.col("__budget")))
+    dear = lambda s, x: F.coalesce(x["c"] > s["b"], F.lit(False))
+    entry = lambda s, x: F.struct(
+        x["row"].alias("row"), F.when(x["c"].isNull(), "free").when(dear(s, x), "rejected").otherwise("charged").alias("outcome"),
+        F.when(x["c"].isNull() | dear(s, x), 0).otherwise(x["c"]).cast("long").alias("charged"))
+    paid = lambda s, x: s["b"] - entry(s, x)["charged"]
+    line = lambda s, x: F.struct(entry(s, x)["row"].alias("row"), entry(s, x)["outcome"].alias("outcome"), entry(s, x)["charged"].alias("charged"), paid(s, x).alias("left"))
+    none = F.slice(F.transform("__calls", lambda x: F.struct(x["row"].alias("row"), F.lit("").alias("outcome"), F.lit(0).cast("long").alias("charged"), F.col("__start").alias("left"))), 1, 0)
+    done = F.aggregate("__calls", F.struct(F.col("__start").alias("b"), none.alias("out")),
+                       lambda s, x: F.struct(paid(s, x).alias("b"), F.concat(s["out"], F.array(line(s, x))).alias("out")), lambda s: s["out"])
+    return started.select(F.explode(done).alias("__d")).select("__d.row.*", "__d.outcome", "__d.charged", "__d.left")
+
+
+def _same(nodes: DataFrame, starts: DataFrame, owner: Sequence[str], node: str, how: str = "inner") -> DataFrame:
+    """Nodes with what they begin with; null keys match."""
+    left, right = nodes.alias("__l"), starts.alias("__r")
+    cond = F.col(f"__l.{node}") == F.col("__r.__parent")
+    for k in owner:
+        cond = cond & F.col(f"__l.{k}").eqNullSafe(F.col(f"__r.{k}"))
+    return left.join(right, cond, how).select("__l.*", F.col("__r.__start").alias("__start"))
 
 
 def experiment_index(experiments: DataFrame, keys: Sequence[str], pos: str) -> DataFrame:
