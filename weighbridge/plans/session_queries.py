@@ -355,6 +355,7 @@ dv AS (SELECT user_id, pos, CASE WHEN kind = 'message' THEN CASE WHEN NOT off TH
 
 
 FILES_PER_TRIGGER = 1000
+ANY_ORDER = 1 << 40  # positions that a row may come too late: files of a table have no order
 
 
 def connection_log(df):
@@ -376,7 +377,11 @@ def stream_of(spark, sf, name):
 @query("stream_status_delivery", f"WITH {DELIVERY} SELECT user_id, pos, outcome, delivered_at FROM dv WHERE delivered_at IS NOT NULL")
 def _(spark, sf):
     path = fresh_path(spark, "delivery")
-    st.run_to_table(st.delivery_stream(connection_log(stream_of(spark, sf, "events")), "user_id", 2), path)
+    log = connection_log(stream_of(spark, sf, "events"))
+    sent = st.delivery_stream(st.ending(log, f"{path}/end"), "user_id", 2, disorder=ANY_ORDER)
+    st.run_to_table(sent, path)
+    st.close_log(spark, log.schema, f"{path}/end")
+    st.run_to_table(sent, path)
     return spark.read.parquet(f"{path}/data")
 
 
