@@ -20,7 +20,7 @@ def swap(text, every, seed):
     return " ".join(f"x{r.randrange(10 ** 6)}" if i % every == every - 1 else w for i, w in enumerate(text.split(" ")))
 
 
-ODD = [None, "", " ", "\n\n", "...", "a", "word", "é ß\tx\n", "日本語 テキスト 🙂", "the " * 300, "x" * 5000, "\x00 nul", "A\nA\n a \nB", "12 34"]
+ODD = [None, "", " ", "\n\n", "...", "a", "word", "é ß\tx\n", "日本語 テキスト 🙂", "the " * 300, "x" * 5000, "\x00 nul", "A\nA\n a \nB", "12 34", "½ ² ① Ⅷ"]
 
 
 def documents(spark, rows, columns="doc_id long, text string, lang string, source string, n_chars long"):

@@ -252,6 +252,17 @@ def test_leaks(spark, monkeypatch):
 
 # -- passages ---------------------------------------------------------------------------------
 
+def test_clean_goes_by_row(spark):
+    leak = prose(1, 40)
+    rows = [(None, leak, "en"), (None, prose(5, 40), "en"), (5, leak, "en"), (6, prose(2, 60), "en"), (6, "x " + leak, "en"), (7, None, None), (7, "", None)]
+    docs = documents(spark, rows).withColumn("__gone", F.lit(1)).withColumn("item_id", F.lit("clash"))
+    items = spark.createDataFrame([(1, leak), (2, prose(9, 30))], "item_id long, text string")
+    for limit in (500_000, 35):  # one block, several
+        got = decontaminate.clean(docs, items, limit=limit)
+        assert got.columns == docs.columns
+        assert sorted((str(r["doc_id"]), str(r["text"])) for r in got.collect()) == sorted((str(i), str(t)) for i, t, _ in rows if leak not in (t or ""))
+
+
 def test_passages(spark):
     common = prose(70, 70)
     docs = [(i, prose(i, 200)) for i in range(30)]

@@ -13,7 +13,8 @@ over the documents, so no text is shuffled and no item or passage is a hot key.
 Cases: null and empty texts match nothing. Items under SHORTEST words are left out, as they would match
 by chance; items shorter than a mask are found by all their words. Repeated items are reported each;
 repeated rows too. A document and an item give one row, with the longest overlap, the first among equals.
-Rows of the result carry nulls where the id was null. Empty tables give an empty result.
+Rows of the result carry nulls where the id was null. ``clean`` judges rows, not ids: of an id with two texts
+only the contaminated row goes, and so does a contaminated row without an id. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -175,7 +176,20 @@ def _search(held, least: int):
     return run
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Documents without an overlap with the benchmark."""
-    gone = contaminated(docs, benchmark, key, text).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(key) == F.col("__gone"), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
+          least: int = 13, limit: int = 500_000) -> DataFrame:
+    """Rows without an overlap with the benchmark. Each row is judged by its own text, whatever its key or that of others."""
+    for block in blocks(benchmark, item, item_text, limit):
+        held = docs.sparkSession.sparkContext.broadcast(Index.of(block))  # at most ``limit`` words
+        docs = docs.mapInArrow(_without(held, text, least), docs.schema)
+    return docs
+
+
+def _without(held, text: str, least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, hashes = held.value, c.WordHash()
+        for batch in batches:
+            free = [not t or not overlaps(index, c.mix(hashes.of(words(t))), least) for t in batch.column(text).to_pylist()]
+            yield batch.filter(pa.array(free, pa.bool_()))
+
+    return run

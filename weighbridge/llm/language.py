@@ -13,6 +13,7 @@ are replaced.
 from __future__ import annotations
 
 import re
+import sys
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 from . import common as c
 
 GRAM, BITS = 3, 16
-LETTERS = re.compile(r"[^\W\d_]+")
+# word characters but decimal digits, the underscore and number signs such as ½ or ①: what str.isalpha() takes
+LETTERS = re.compile(r"[^\W\d_%s]+" % re.escape("".join(x for x in map(chr, range(sys.maxunicode + 1)) if x.isalnum() and not x.isalpha() and not x.isdecimal())))
 UNKNOWN = "und"
 
 
