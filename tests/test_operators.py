@@ -482,3 +482,25 @@ def test_budget_maps_against_every_budget(spark):
         assert list(got["left"]) == want
         if set(costs) == {1}:
             assert len(got["m"]) == 2  # used up, or all paid
+
+
+@pytest.mark.parametrize("rows", [4, 1_000_000])
+def test_bottom_rows_and_balanced_draws_equal_full_ranking(spark, monkeypatch, rows):
+    """Few rows a bucket (more digits are counted) or one pass: the same rows as ranking everything."""
+    monkeypatch.setattr(sp.key_buckets, "__defaults__", (rows,))
+    df = spark.range(700).select("id", F.when(F.col("id") % 50 == 0, 2).when(F.col("id") % 3 == 0, 1).when(F.col("id") % 101 == 7, None).otherwise(0).alias("label"))
+    ranked = sp.stratified_rank(df, ["label"], 9, ["id"], "r").where("label IS NOT NULL").collect()
+    for k in (1, 20, 10 ** 6):
+        assert {r["id"] for r in sp.bottom_rows(df, ["label"], k, 9, ["id"]).collect()} == {r["id"] for r in ranked if r["r"] <= k}
+    place = {(r["label"], r["r"]): r["id"] for r in ranked}
+    got = sp.balanced_sample(df, "label", 4, 205, 9, ["id"]).collect()
+    assert len(got) == 205 and sorted(r["position"] for r in got) == list(range(205))
+    by = {}
+    for r in got:
+        by.setdefault(r["label"], []).append(r["id"])
+    base = 205 // 4
+    assert set(by[1]) == {place[1, i + 1] for i in range(base)} and len(by[1]) == base
+    assert {place[0, i + 1] for i in range(base)} <= set(by[0]) and len(by[0]) == 205 - 2 * base  # label 3 has no rows: 0 is the largest pool
+    assert set(by[2]) == {i for (label, _), i in place.items() if label == 2} and len(by[2]) == base
+    twice = spark.createDataFrame([(1, 0)] * 5 + [(2, 0), (3, 1)], "id long, label int")
+    assert sp.bottom_rows(twice, ["label"], 3, 9, ["id"]).groupBy("label").count().orderBy("label").collect()[0]["count"] == 3

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import stored
+
 INVALID = -1
 
 
@@ -47,8 +49,10 @@ def confusion_matrix(counts: DataFrame, labels: int = 0, keys: Sequence[str] = (
     """Dense (keys, label, pred, n) over the label universe.
 
     The labels of a key are one list; its cells are made by exploding that list twice, so no row
-    ever holds labels squared.
+    ever holds labels squared. The counts are needed twice, for the labels and the cells, and
+    written in between, so what led to them runs once.
     """
+    counts = stored(counts, "confusion")
     seen = label_universe(counts, labels, keys)
     grid = seen.select(*keys, "labels", F.explode("labels").alias("label")).select(*keys, "label", F.explode("labels").alias("pred"))
     zeros = grid.select(*keys, "label", "pred", F.lit(0).cast("long").alias("n"))

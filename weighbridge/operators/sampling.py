@@ -1,18 +1,20 @@
 """Seeded sampling: stratified, balanced, unseen, subsets, buckets.
 
-All draws come from md5 keys of row ids, so they do not depend on partitioning, and every
-rank is a chunked running count, so one label may hold any share of the rows.
+All draws come from md5 keys of row ids, so they do not depend on partitioning. Ranks of all rows are
+chunked running counts, and k first rows are found from counts of keys by their leading
+digits, so one label may hold any share of the rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.permuted import permute
-from ..functions.seeded import draw_index, md5_key, u01
+from ..functions.seeded import draw_index, md5_bucket, md5_key, u01
 from ..sources.storage import stored
 from .analysis import combinations, explode_range, radix_digits, radix_index
 from .ordered import chunked, number_by_key, number_by_position, running, smallest_key
@@ -63,18 +65,54 @@ def label_from_scores(scores: Column, draw: Column | None = None) -> Column:
     )
 
 
+BUCKET_ROWS = 1_000_000
+
+
+def key_buckets(df: DataFrame, by: Sequence[str], key: Column, rows: int = BUCKET_ROWS) -> tuple[DataFrame, int]:
+    """How many rows of each stratum have an md5 key with the same leading digits, and how many lie before them, as
+    a written table (by..., __bucket, __count, __before), and the number of digits: enough for
+    at most about ``rows`` rows a bucket."""
+    digits = 3
+    while True:
+        counts = stored(df.select(*by, md5_bucket(key, digits).alias("__bucket")).groupBy(*by, "__bucket").agg(F.count("*").alias("__count")), "buckets")
+        most = counts.agg(F.max("__count")).first()[0] or 0
+        if most <= rows or digits >= 7:
+            break
+        digits = min(7, digits + max(1, math.ceil(math.log(most / rows, 16))))
+    before = F.coalesce(F.sum("__count").over(Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return counts.withColumn("__before", before), digits
+
+
+def _in_buckets(df: DataFrame, by: Sequence[str], key: Column, ids: Sequence[str], wanted: DataFrame, digits: int) -> DataFrame:
+    """The rows of the wanted buckets (by..., __bucket, __before) with ``__rank`` in their stratum."""
+    keyed = df.select(*df.columns, key.alias("__key"), md5_bucket(key, digits).alias("__bucket"))
+    here = Window.partitionBy(*by, "__bucket").orderBy("__key", *ids)
+    found = keyed.join(wanted.select(*by, "__bucket", "__before"), [*by, "__bucket"])
+    return found.withColumn("__rank", F.row_number().over(here) + F.col("__before")).select(*df.columns, "__rank")
+
+
+def bottom_rows(df: DataFrame, by: Sequence[str], k: int, seed, ids: Sequence[str]) -> DataFrame:
+    """The k rows of each stratum that come first in a seeded shuffle (all of a smaller one).
+
+    One pass counts keys by their leading digits; a second one takes only the rows of buckets that begin
+    before the k-th row, so a pool of any size is neither sorted nor shuffled. Strata with a null are left out."""
+    key = md5_key(seed, *[F.col(i) for i in ids])
+    buckets, digits = key_buckets(df, by, key)
+    return _in_buckets(df, by, key, ids, buckets.where(F.col("__before") < k), digits).where(F.col("__rank") <= k).drop("__rank")
+
+
 def balanced_sample(df: DataFrame, label: str, labels: int, n: int, seed, ids: Sequence[str]) -> DataFrame:
     """n draws: n // labels per label without replacement, a short pool topped up with
     replacement, what is left drawn with replacement from the largest pool, then shuffled.
 
-    The per-label pool sizes (one small row per label) go into the draw table as literals;
-    the draws themselves are a distributed range joined to ranks.
+    A draw is a rank in the seeded shuffle of its label's pool. Counts of keys by their leading digits tell
+    which bucket holds a rank, so ``df`` is read twice but only rows of buckets with a draw are shuffled; pool
+    sizes (one number per label) go into the draw table as literals.
     """
     spark = df.sparkSession
-    df = stored(df, "pool")  # ranked, counted and picked from
-    ranked = stratified_rank(df, [label], seed, ids, "__rank")
-    pools = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-             .where(F.col(label).between(0, labels - 1)).collect()}
+    key = md5_key(seed, *[F.col(i) for i in ids])
+    buckets, digits = key_buckets(df.where(F.col(label).between(0, labels - 1)), [label], key)
+    pools = {r[label]: r["n"] for r in buckets.groupBy(label).agg(F.sum("__count").alias("n")).collect()}
     base = n // labels
     sizes = [pools.get(i, 0) for i in range(labels)]
     largest = max(range(labels), key=lambda i: (sizes[i], -i))
@@ -89,9 +127,18 @@ def balanced_sample(df: DataFrame, label: str, labels: int, n: int, seed, ids: S
     draws = spark.range(n).withColumnRenamed("id", "draw").select("draw", lbl.alias("__label"), nth.alias("__nth"))
     pool = F.get(F.array(*[F.lit(s).cast("long") for s in sizes]), F.col("__label"))
     again = draw_index(pool, seed, F.lit("again"), F.col("draw")) + 1
-    draws = draws.withColumn("__rank", F.when(F.col("__nth") < pool, F.col("__nth") + 1).otherwise(again))
-    rows = draws.join(ranked, (F.col("__label") == F.col(label)) & (draws["__rank"] == ranked["__rank"])).select(
-        *df.columns, "draw")
+    draws = draws.withColumn("__wanted", F.when(F.col("__nth") < pool, F.col("__nth") + 1).otherwise(again))
+    # ranks and buckets meet by stretches of ranks of about a bucket's size
+    size = F.greatest(F.call_function("div", F.get(F.array(*[F.lit(s).cast("long") for s in sizes]), F.col(label)), F.lit(16 ** digits).cast("long")), F.lit(1).cast("long"))
+    stretch = lambda rank, width: F.call_function("div", rank - 1, width)
+    cut = buckets.select(F.col(label).alias("__l"), "__bucket", "__before", "__count", F.explode(F.sequence(
+        stretch(F.col("__before") + 1, size), stretch(F.col("__before") + F.col("__count"), size))).alias("__stretch"))
+    width = F.greatest(F.call_function("div", pool, F.lit(16 ** digits).cast("long")), F.lit(1).cast("long"))
+    placed = draws.join(cut, (F.col("__label") == F.col("__l")) & (stretch(F.col("__wanted"), width) == F.col("__stretch"))
+                        & (F.col("__wanted") > F.col("__before")) & (F.col("__wanted") <= F.col("__before") + F.col("__count")))
+    wanted = placed.select(F.col("__label").alias(label), "__bucket", "__before").distinct()
+    ranked = _in_buckets(df, [label], key, ids, wanted, digits)
+    rows = draws.join(ranked, (F.col("__label") == F.col(label)) & (F.col("__wanted") == F.col("__rank"))).select(*df.columns, "draw")
     return seeded_shuffle(rows, f"{seed}-order", ["draw"])
 
 
@@ -165,7 +212,7 @@ def subset_rows(df: DataFrame, label: str, k: int, seed, ids: Sequence[str], bal
     if cap == 0:
         raise ValueError(f"no balanced subset of size {k}: class0={n0}, class1={n1}")
     binary = df.where(F.col(label).isin(0, 1))
-    return stratified_rank(binary, [label], seed, ids, "__rank").where(F.col("__rank") <= cap).drop("__rank")
+    return bottom_rows(binary, [label], cap, seed, ids)
 
 
 def bucketize(df: DataFrame, buckets: int, seed, ids: Sequence[str]) -> DataFrame:

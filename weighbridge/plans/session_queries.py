@@ -310,7 +310,7 @@ def _(spark, sf):
 def _(spark, sf):
     m = F.create_map(F.lit("10"), F.when(F.col("event_type") == "click", F.col("value")), F.lit("2"), F.col("user_id").cast("double"), F.lit("score"), F.lit(1.0))
     e = table(spark, sf, "events").select("event_id", "event_type", m.alias("m"))
-    keys = [r for r in e.select(tr.digit_keys(F.col("m")).alias("k")).first()["k"]]
+    keys = e.orderBy("event_id").select(tr.digit_keys(F.col("m")).alias("k")).first()["k"]  # those of the first sample
     v = tr.feature_vector(F.col("m"), keys)
     return e.select("event_id", *[v[i].alias(f"x{k}") for i, k in enumerate(keys)], F.col("event_type").alias("label"))
 
