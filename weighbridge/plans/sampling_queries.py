@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.seeded import u01
 from ..operators import analysis as an
+from ..operators import ragged as rg
 from ..operators import sampling as sp
 from ..operators import scoring as sc
 from ..operators import search as se
@@ -225,6 +226,76 @@ def _(spark, sf):
         F.size(F.filter("falling", lambda x: x)).cast("long").alias("falling"), r6(F.col("rw")[0] + F.col("rs")[1]).alias("rules"))
 
 
+# -- candidates with structures of their own ---------------------------------------------------
+
+RANGES = rg.Ranges(variables=(2, 4), numerical=(0, 1), categories=(2, 4), spans=(2, 3), rules=(0, 2))
+
+
+def structures(spark, sf):
+    return rg.random_structures(table(spark, sf, "supplier"), RANGES, SEED, "s_suppkey")
+
+
+def _int(tag: str, size: str, *more: str) -> str:
+    return f"CAST(floor({sql_u01(S, 'cand', repr(tag), *more)} * {size}) AS INTEGER)"
+
+
+def _draws(tag: str, i: str = "i") -> str:
+    return sql_u01(S, "cand", repr(tag), i)
+
+
+STRUCTURES = f"""RECURSIVE st0 AS (SELECT s_suppkey AS cand, {_int('n', '3').replace('cand', 's_suppkey')} + 2 AS n, {_int('k', '2').replace('cand', 's_suppkey')} AS k, {_int('r', '3').replace('cand', 's_suppkey')} AS r FROM supplier),
+st1 AS (SELECT *, list_transform(list_sort(list_transform(range(n), lambda v: {{'u': {_draws('type', 'v')}, 'v': v}}))[1:k], lambda x: x.v) AS chosen FROM st0),
+st2 AS (SELECT *, list_transform(range(n), lambda v: list_contains(chosen, v)) AS numerical FROM st1),
+st3 AS (SELECT *, list_transform(range(n), lambda v: CASE WHEN numerical[v + 1] THEN {_int('size', '2', 'v')} + 2 ELSE {_int('size', '3', 'v')} + 2 END) AS sizes FROM st2),
+st4 AS (SELECT *, list_transform(range(n + 1), lambda i: coalesce(CAST(list_sum(sizes[1:i]) AS BIGINT), 0)) AS starts FROM st3),
+tries(cand, n, sizes, r, i, kept, txt) AS (SELECT cand, n, sizes, r, -1, []::INTEGER[], '' FROM st4
+  UNION ALL SELECT cand, n, sizes, r, i, CASE WHEN ok THEN kept || [a, ca, b, cb] ELSE kept END, CASE WHEN ok THEN txt || a || '.' || ca || '-' || b || '.' || cb || ' ' ELSE txt END
+  FROM (SELECT *, NOT list_contains(list_transform(range(len(kept) // 2), lambda x: kept[2 * x + 1] * 100 + kept[2 * x + 2]), a * 100 + ca)
+      AND NOT list_contains(list_transform(range(len(kept) // 2), lambda x: kept[2 * x + 1] * 100 + kept[2 * x + 2]), b * 100 + cb) AS ok
+    FROM (SELECT *, {_int('ca', 'sizes[a + 1]', 'i')} AS ca, {_int('cb', 'sizes[b + 1]', 'i')} AS cb
+      FROM (SELECT *, CASE WHEN o >= a THEN o + 1 ELSE o END AS b
+        FROM (SELECT *, {_int('a', 'n', 'i')} AS a, {_int('b', '(n - 1)', 'i')} AS o
+          FROM (SELECT cand, n, sizes, r, i + 1 AS i, kept, txt FROM tries WHERE len(kept) < 4 * r AND i < 999)))))),
+pairs AS (SELECT cand, arg_max(kept, i) AS kept, rtrim(arg_max(txt, i)) AS rules FROM tries GROUP BY cand),
+st AS (SELECT *, list_transform(list_filter(range(n), lambda v: numerical[v + 1]), lambda v: starts[v + 1]) AS lows, starts[n + 1] AS cells,
+  list_transform(range(len(kept) // 4), lambda i: {_draws('rw')}) AS rw, list_transform(range(len(kept) // 4), lambda i: {_draws('rs')}) AS rs FROM st4 JOIN pairs USING (cand)),
+par AS (SELECT *, list_transform(range(2 * cells), lambda i: CASE WHEN list_contains(lows, i % cells) THEN least({_draws('w')}, {_draws('w', 'i + 1')})
+    WHEN i > 0 AND list_contains(lows, (i - 1) % cells) THEN greatest({_draws('w', 'i - 1')}, {_draws('w')}) ELSE {_draws('w')} END) AS w,
+  list_transform(range(2 * cells), lambda i: {_draws('s')}) AS s, list_transform(range(2 * n), lambda i: {_draws('d')} < 0.5) AS falling FROM st)"""
+
+
+@query("generate_structures", f"""WITH {STRUCTURES} SELECT cand, array_to_string(list_transform(numerical, lambda x: CASE WHEN x THEN 'n' ELSE 'c' END), '') AS types,
+  array_to_string(sizes, ',') AS sizes, array_to_string(starts, ',') AS starts, rules, round(list_sum(w), 6) AS w, round(list_sum(s), 6) AS s,
+  CAST(len(list_filter(falling, lambda x: x)) AS BIGINT) AS falling, round(coalesce(list_sum(rw), 0), 6) AS rw, round(coalesce(list_sum(rs), 0), 6) AS rs FROM par""")
+def _(spark, sf):
+    total = lambda c: r6(F.aggregate(c, F.lit(0.0), lambda a, x: a + x))
+    pair = lambda x: F.concat_ws("", x["var_a"], F.lit("."), x["val_a"], F.lit("-"), x["var_b"], F.lit("."), x["val_b"])
+    return structures(spark, sf).select(
+        "cand", F.array_join(F.transform("numerical", lambda x: F.when(x, "n").otherwise("c")), "").alias("types"), F.array_join("sizes", ",").alias("sizes"),
+        F.array_join("starts", ",").alias("starts"), F.array_join(F.transform("rules", pair), " ").alias("rules"), total("w").alias("w"), total("s").alias("s"),
+        F.size(F.filter("falling", lambda x: x)).cast("long").alias("falling"), total(F.transform("rules", lambda x: x["w"])).alias("rw"),
+        total(F.transform("rules", lambda x: x["s"])).alias("rs"))
+
+
+@query("score_structures", f"""WITH {STRUCTURES},
+ex AS (SELECT *, list_transform(range(n), lambda v: aid // CAST(list_product(sizes[v + 2:] || [1]) AS BIGINT) % sizes[v + 1]) AS cat
+  FROM (SELECT *, unnest(range(CAST(list_product(sizes) AS BIGINT))) AS aid FROM par)),
+el AS (SELECT e.*, l, list_transform(range(n), lambda v: {{'v': v, 'f': l * cells + starts[v + 1] + 1, 'd': cat[v + 1], 't': CASE WHEN falling[l * n + v + 1] THEN 1 - (cat[v + 1] + 0.5) / sizes[v + 1] ELSE (cat[v + 1] + 0.5) / sizes[v + 1] END}}) AS vs,
+  list_filter(range(len(rw)), lambda i: cat[kept[4 * i + 1] + 1] = kept[4 * i + 2] AND cat[kept[4 * i + 3] + 1] = kept[4 * i + 4]) AS hits FROM ex e, range(2) q(l)),
+en AS (SELECT *, list_transform(vs, lambda x: CASE WHEN numerical[x.v + 1] THEN greatest(0, least(1, w[x.f] + x.t * (w[x.f + 1] - w[x.f]))) ELSE w[x.f + x.d] END) AS ew,
+  list_transform(vs, lambda x: CASE WHEN numerical[x.v + 1] THEN s[x.f] ELSE s[x.f + x.d] END) AS es FROM el),
+sc AS (SELECT cand, aid, l, (list_sum(list_transform(range(n), lambda i: ew[i + 1] * es[i + 1])) + coalesce(list_sum(list_transform(hits, lambda i: rw[i + 1] * rs[i + 1])), 0))
+  / (list_sum(ew) + coalesce(list_sum(list_transform(hits, lambda i: rw[i + 1])), 0)) AS score FROM en),
+lb AS (SELECT cand, aid, arg_max(l, score) AS label, max(score) AS score, max(score) - min(score) AS dec FROM sc GROUP BY cand, aid),
+an AS (SELECT cand, count(*) AS total, count(*) FILTER (label = 0) AS n0, avg(dec) AS ad, abs(n0 / total - 0.5) AS gap, coalesce(arg_min(dec, aid) FILTER (dec < 0.02::DOUBLE), min(dec)) AS md FROM lb GROUP BY cand)
+SELECT cand, total, n0, round(ad, 6) AS avg_decisiveness, round(gap, 6) AS max_gap, round(md, 6) AS early_min, round(greatest(0, 0.02::DOUBLE - md) + gap, 6) AS penalty,
+  gap <= 0.3 AND md >= 0.02::DOUBLE AS passes FROM an""")
+def _(spark, sf):
+    s = rg.score_structures(structures(spark, sf), RANGES.labels, 0.3, 0.02, chunk=16)
+    return s.select("cand", "total", F.col("label_counts")[0].alias("n0"), r6("avg_decisiveness").alias("avg_decisiveness"), r6("max_gap").alias("max_gap"),
+                    r6("min_decisiveness").alias("early_min"), r6("penalty").alias("penalty"), "passes")
+
+
 _PROP_STEP = "((p.a = k.a AND p.ca = k.ca) OR (p.a = k.b AND p.ca = k.cb) OR (p.b = k.a AND p.cb = k.ca) OR (p.b = k.b AND p.cb = k.cb))"
 
 
