@@ -284,12 +284,12 @@ def _(spark, sf):
 
 # -- density-scaled error ---------------------------------------------------------------------------------
 
-_SIGMA = """WITH q AS (SELECT DISTINCT round(o_totalprice / 400, 0) AS x FROM orders), t AS (SELECT p_retailprice AS v FROM part),
-g AS (SELECT x, (SELECT avg(d) FROM (SELECT abs(v - x) AS d FROM t ORDER BY d LIMIT 5)) AS sigma FROM q)"""
+_SIGMA = """WITH q AS (SELECT DISTINCT CAST(o_totalprice AS DOUBLE) / 400 AS x FROM orders), t AS (SELECT list(CAST(p_retailprice AS DOUBLE)) AS vs FROM part),
+g AS (SELECT x, list_avg(list_sort(list_transform(vs, lambda v: abs(v - x)))[1:5]) AS sigma FROM q, t)"""
 
 
 def lsee_rows(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderkey", F.round(F.col("o_totalprice") / 400, 0).alias("truth"))
+    o = table(spark, sf, "orders").select("o_orderkey", (F.col("o_totalprice").cast("double") / 400).alias("truth"))
     return o.withColumn("guess", F.col("truth") + F.col("o_orderkey") % 7 * 0.01)
 
 
@@ -299,7 +299,7 @@ def _(spark, sf):
     return s.select("x", r6("sigma").alias("sigma"))
 
 
-@query("lsee_score", f"{_SIGMA} SELECT o_orderkey, round(1 - exp(-(abs(x - (x + o_orderkey % 7 * 0.01::DOUBLE)) * 3) / greatest(sigma, 1e-6)), 6) AS lsee FROM orders JOIN g ON g.x = round(o_totalprice / 400, 0)")
+@query("lsee_score", f"{_SIGMA} SELECT o_orderkey, round(1 - exp(-(abs(x - (x + o_orderkey % 7 * 0.01::DOUBLE)) * 3) / greatest(sigma, 1e-6)), 6) AS lsee FROM orders JOIN g ON g.x = CAST(o_totalprice AS DOUBLE) / 400")
 def _(spark, sf):
     return ls.lsee_score(table(spark, sf, "part"), "p_retailprice", lsee_rows(spark, sf), "truth", "guess").select("o_orderkey", r6("lsee").alias("lsee"))
 
