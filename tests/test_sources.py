@@ -121,3 +121,56 @@ def test_bad_keys_do_not_end_a_scan(spark):
     assert all(0 <= x <= 1 for c in cells.values() for x in c)
     stats = spark.createDataFrame([("d", json.dumps({"samples_per_label": {"0": 3, "many": 4}}))], "dataset_id string, content string")
     assert ct.read_statistics(stats).first()["samples_per_label"] == {0: 3}
+
+
+def files_below(path):
+    return {p: p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
+
+
+def test_clustered_datasets(spark, tmp_path):
+    """Many datasets in few files; a save replaces its datasets in all tables and leaves other buckets alone."""
+    path = str(tmp_path / "all")
+    rows = spark.range(6000).select((F.col("id") % 3000).cast("string").alias("dataset_id"), F.col("id").alias("x"))
+    sk.save_datasets({"samples": rows, "notes": rows.where("x < 40")}, path, buckets=16)
+    before = files_below(tmp_path / "all/samples")
+    assert len(before) <= 3 * 16 and sk.read_datasets(spark, path, "samples").count() == 6000
+    new = spark.createDataFrame([("7", 1), ("new", 2)], rows.schema)
+    sk.save_datasets({"samples": new, "notes": new.where("x = 2")}, path, buckets=16)
+    after = files_below(tmp_path / "all/samples")
+    assert len(set(before) & set(after)) >= 14 and all(before[p] == after[p] for p in set(before) & set(after))
+    got = sk.read_datasets(spark, path, "samples").groupBy("dataset_id").agg(F.sort_array(F.collect_list("x")).alias("xs")).collect()
+    assert {r["dataset_id"]: r["xs"] for r in got} == {**{str(i): [i, i + 3000] for i in range(3000)}, "7": [1], "new": [2]}
+    assert {r["dataset_id"] for r in sk.read_datasets(spark, path, "notes").collect()} == {str(i) for i in range(40)} - {"7"} | {"new"}  # 7 has no notes any more
+    some = sk.read_datasets(spark, path, "samples", only=["7", "11"], buckets=16)
+    assert sorted((r["dataset_id"], r["x"]) for r in some.collect()) == [("11", 11), ("11", 3011), ("7", 1)]
+    assert "PartitionFilters: [isnotnull(__bucket" in some._jdf.queryExecution().toString() or "__bucket" in some._jdf.queryExecution().executedPlan().toString()
+    sk.save_datasets({"samples": spark.createDataFrame([("7", 5)], rows.schema), "notes": spark.createDataFrame([("7", 6)], rows.schema)}, path, buckets=16)
+    assert [r["x"] for r in sk.read_datasets(spark, path, "notes", only=["7"], buckets=16).collect()] == [6]
+
+
+def test_runs_of_replayed_batches_and_two_writers(spark, tmp_path):
+    import shutil
+
+    path, schema = str(tmp_path / "runs"), "run_id string, model string, value int"
+    feeds = {"a": [[("r1", "m", 1), ("r2", "m", 2)], [("r3", "m", 3), ("r1", "m", 9)]], "b": [[("r2", "m", 7), ("r4", "m", 4)], [("r3", "m", 8)]]}
+
+    def run(writer):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / f"in-{writer}"))
+        sk.ingest_runs(stream, path, str(tmp_path / f"progress-{writer}"), writer)
+
+    for n in range(2):  # the writers take turns
+        for writer, batches in feeds.items():
+            spark.createDataFrame(batches[n], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / f"in-{writer}"))
+            run(writer)
+    want = [("r1", "m", 1), ("r2", "m", 2), ("r3", "m", 3), ("r4", "m", 4)]
+    assert sorted(map(tuple, sk.read_runs(spark, path).collect())) == want
+    commits = sorted((tmp_path / "progress-a/commits").glob("[0-9]*"))
+    (tmp_path / "kept").mkdir()
+    shutil.copy(commits[-1], tmp_path / "kept")
+    commits[-1].unlink()  # as if the last batch had failed behind its write: it runs again
+    crc = commits[-1].with_name(f".{commits[-1].name}.crc")
+    if crc.exists():
+        crc.unlink()
+    rows = spark.read.parquet(path).count()
+    run("a")
+    assert spark.read.parquet(path).count() == rows and sorted(map(tuple, sk.read_runs(spark, path).collect())) == want

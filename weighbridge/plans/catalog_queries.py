@@ -280,6 +280,16 @@ def _(spark, sf):
     return spark.read.parquet(path).groupBy("model", "mode", "level").agg(F.count("*").alias("runs"))
 
 
+@query("ingest_eval_runs", f"WITH {RUNS} SELECT model, mode, level, count(*) AS runs FROM rn GROUP BY ALL")
+def _(spark, sf):
+    path = fresh_path(spark, "runs")
+    runs = ct.read_eval_runs(run_files(spark, sf)).select("run_id", "dataset_id", "model", "mode", "level", "instance")
+    runs.write.parquet(f"{path}/log")
+    for writer in ("one", "two"):  # two writers of the same runs
+        sk.ingest_runs(spark.readStream.schema(runs.schema).parquet(f"{path}/log"), f"{path}/catalogue", f"{path}/progress-{writer}", writer)
+    return sk.read_runs(spark, f"{path}/catalogue").groupBy("model", "mode", "level").agg(F.count("*").alias("runs"))
+
+
 CONFIGS = """cg AS (SELECT o_orderkey, '/data/o' || o_orderkey AS dataset_id, CAST(o_custkey % 6 AS INTEGER) AS udd_complexity, CAST(10 + o_custkey % 4 * 10 AS INTEGER) AS num_samples,
  CASE o_orderstatus WHEN 'F' THEN 'raw' WHEN 'O' THEN 'files' END AS level, CASE o_orderpriority WHEN '1-URGENT' THEN 'static' WHEN '5-LOW' THEN NULL ELSE 'direct_experiment' END AS mode FROM orders WHERE o_orderpriority <> '2-HIGH')"""
 
@@ -397,6 +407,15 @@ def _(spark, sf):
     return spark.read.parquet(f"{path}/samples").groupBy("dataset_id", "level", "instance").agg(F.count("*").alias("samples"), F.sum("label").alias("ones"))
 
 
+@query("write_dataset_clustered", "SELECT o_orderpriority AS dataset_id, o_orderstatus AS instance, count(*) AS samples FROM orders WHERE o_orderpriority <> '1-URGENT' OR o_orderstatus = 'F' GROUP BY ALL")
+def _(spark, sf):
+    path = fresh_path(spark, "clustered")
+    samples = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("dataset_id"), F.col("o_orderstatus").alias("instance"), "o_orderkey")
+    sk.save_datasets({"samples": samples}, path)
+    sk.save_datasets({"samples": samples.where("dataset_id = '1-URGENT' AND instance = 'F'")}, path)  # a new version of one dataset
+    return sk.read_datasets(spark, path, "samples").groupBy("dataset_id", "instance").agg(F.count("*").alias("samples"))
+
+
 @query("upsert_instance", "SELECT o_orderstatus AS level, o_orderpriority AS instance, CASE WHEN o_orderstatus = 'F' AND o_orderpriority = '5-LOW' THEN 'new' ELSE 'old' END AS state, count(*) AS samples FROM orders GROUP BY ALL")
 def _(spark, sf):
     path = fresh_path(spark, "instances")

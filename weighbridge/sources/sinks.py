@@ -31,6 +31,50 @@ def write_dataset(tables: dict[str, DataFrame], path: str, key: str = "dataset_i
         write_partitioned(df, f"{path}/{name}", [key], "overwrite")
 
 
+BUCKETS = 256  # folders of a clustered table; a few hundred files hold any number of small datasets
+
+
+def _bucket(key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key.cast("string")), F.lit(buckets)).cast("int")
+
+
+def save_datasets(tables: dict[str, DataFrame], path: str, key: str = "dataset_id", buckets: int = BUCKETS) -> None:
+    """Every table of some datasets below one folder, clustered: datasets share hash buckets, inside which rows
+    are sorted by dataset, so neither 100,000 small datasets nor one with most of the rows make bad files.
+
+    Saving replaces the datasets that have a row in any of the tables, in all of them; buckets of the new datasets
+    are rewritten with their other datasets' rows, the rest is left alone. A dataset whose new version has no rows in a
+    table gets a row there that says so (``__gone``), as a bucket left without rows would keep its old file. One writer at a time.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    ids = None
+    for df in tables.values():
+        mine = df.select(F.col(key).alias("__id"))
+        ids = mine if ids is None else ids.unionByName(mine)
+    ids = stored(ids.where("__id IS NOT NULL").distinct(), "saved")
+    touched = ids.select(_bucket(F.col("__id"), buckets).alias("__bucket")).distinct()
+    for name, df in tables.items():
+        new = df.where(F.col(key).isNotNull()).select("*", F.lit(False).alias("__gone"), _bucket(F.col(key), buckets).alias("__bucket"))
+        old = _read(spark, f"{path}/{name}")
+        if old is not None:
+            near = old.join(touched, "__bucket", "left_semi")
+            replaced = near.join(ids, F.col(key) == F.col("__id"), "left_semi").select(key, "__bucket").distinct()
+            empty = replaced.join(new.select(key).distinct(), key, "left_anti").withColumn("__gone", F.lit(True))
+            others = near.join(ids, F.col(key) == F.col("__id"), "left_anti")
+            new = stored(new.unionByName(others).unionByName(empty, allowMissingColumns=True), "datasets")  # read before its buckets are replaced
+        rows = new.hint("rebalance", F.col("__bucket")).sortWithinPartitions("__bucket", key)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("__bucket").parquet(f"{path}/{name}")
+
+
+def read_datasets(spark: SparkSession, path: str, name: str, key: str = "dataset_id", only: Sequence | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """A clustered table; with ``only``, the rows of those datasets, read from their buckets alone."""
+    rows = spark.read.parquet(f"{path}/{name}").where(~F.col("__gone"))
+    if only is not None:
+        wanted = [r[0] for r in spark.range(1).select(F.explode(F.array(*[_bucket(F.lit(x), buckets) for x in only]))).distinct().collect()] if only else []
+        rows = rows.where(F.col("__bucket").isin(wanted) & F.col(key).isin(list(only)))
+    return rows.drop("__gone", "__bucket")
+
+
 def _read(spark: SparkSession, path: str) -> DataFrame | None:
     """The table at a path, None if nothing is there yet."""
     try:
@@ -69,6 +113,26 @@ def append_runs(spark: SparkSession, runs: DataFrame, path: str) -> None:
     write_partitioned(one_each, path, [c for c in ("model", "mode", "level", "instance") if c in runs.columns])
 
 
+def ingest_runs(stream: DataFrame, path: str, checkpoint: str, writer: str = "main") -> None:
+    """Add a stream of runs to a catalogue, up to what there is now. A micro-batch overwrites its own folder
+    (writer, batch), so one that is replayed after a failure changes nothing, and writers of different names never touch
+    each other's files. Which row stands for a run id is decided when the catalogue is read (``read_runs``)."""
+    def add(batch: DataFrame, number: int) -> None:
+        whole = F.struct(*batch.columns)
+        one_each = batch.groupBy("run_id").agg(F.min_by(whole, F.to_json(whole)).alias("r")).select("r.*")
+        rows = one_each.select("*", F.lit(writer).alias("__writer"), F.lit(number).cast("long").alias("__batch"))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("__writer", "__batch").parquet(path)
+
+    stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """One row per run id: of the lowest batch number, then the first writer by name, whatever the order of writing."""
+    rows = spark.read.parquet(path).withColumns({"__writer": F.col("__writer").cast("string"), "__batch": F.col("__batch").cast("long")})
+    columns = [c for c in rows.columns if c not in ("__writer", "__batch")]
+    return rows.groupBy("run_id").agg(F.min_by(F.struct(*columns), F.struct("__batch", "__writer")).alias("r")).select("r.*")
+
+
 def write_theories(theories: DataFrame, path: str) -> None:
     """Add valid theories; one of the same dataset and name replaces the stored one.
 
