@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from . import common as c
 
 GRAM, BITS = 3, 16
-# word characters but decimal digits, the underscore and number signs such as ½ or ①: what str.isalpha() takes
-LETTERS = re.compile(r"[^\W\d_%s]+" % re.escape("".join(x for x in map(chr, range(sys.maxunicode + 1)) if x.isalnum() and not x.isalpha() and not x.isdecimal())))
+LETTERS = re.compile(r"[^\W\d_]+")
+# number signs such as ½ or ①, which are word characters but no letters: what str.isalpha() refuses
+SIGNS = re.compile("[%s]" % "".join(x for x in map(chr, range(sys.maxunicode + 1)) if x.isalnum() and not x.isalpha() and not x.isdecimal()))
 UNKNOWN = "und"
 
 
@@ -38,7 +39,8 @@ class Model:
 
 def letters(text: str) -> bytes:
     """Lower-cased letter runs, each between single spaces; empty without letters."""
-    found = LETTERS.findall(text.lower())
+    low = text.lower()
+    found = LETTERS.findall(low if low.isascii() else SIGNS.sub(" ", low))
     return f" {' '.join(found)} ".encode("utf-8", "surrogatepass") if found else b""
 
 
