@@ -13,7 +13,6 @@ are replaced.
 from __future__ import annotations
 
 import re
-import sys
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,8 +24,6 @@ from . import common as c
 
 GRAM, BITS = 3, 16
 LETTERS = re.compile(r"[^\W\d_]+")
-# number signs such as ½ or ①, which are word characters but no letters: what str.isalpha() refuses
-SIGNS = re.compile("[%s]" % "".join(x for x in map(chr, range(sys.maxunicode + 1)) if x.isalnum() and not x.isalpha() and not x.isdecimal()))
 UNKNOWN = "und"
 
 
@@ -39,8 +36,9 @@ class Model:
 
 def letters(text: str) -> bytes:
     """Lower-cased letter runs, each between single spaces; empty without letters."""
-    low = text.lower()
-    found = LETTERS.findall(low if low.isascii() else SIGNS.sub(" ", low))
+    found = LETTERS.findall(text.lower())
+    if not all(map(str.isalpha, found)):  # number signs such as ½ or ① are word characters, but no letters
+        found = [x for w in found for x in "".join(ch if ch.isalpha() else " " for ch in w).split()]
     return f" {' '.join(found)} ".encode("utf-8", "surrogatepass") if found else b""
 
 
