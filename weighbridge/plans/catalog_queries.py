@@ -394,6 +394,19 @@ def _(spark, sf):
     return ct.legacy_parent_path(c.select("c_custkey", "root", F.lit("My name").alias("name"), F.lit("raw").alias("level")), files, ["c_custkey"])
 
 
+@query("scan_tree", "SELECT CAST(c_nationkey AS INTEGER) AS nation, count(*) AS customers, CAST(sum(c_custkey) AS BIGINT) AS keys, count(DISTINCT c_nationkey) AS folders FROM customer GROUP BY c_nationkey")
+def _(spark, sf):
+    # a tree of JSON files, a folder per nation, written and found again
+    path = fresh_path(spark, "tree")
+    c = table(spark, sf, "customer").select(F.col("c_nationkey").alias("nation"), F.to_json(F.struct("c_custkey")).alias("value"))
+    c.write.partitionBy("nation").text(path)
+    files = ct.scan(spark, [path], "*.txt")
+    lines = files.select("path", F.explode(F.split("content", "\n")).alias("line")).where("line <> ''")
+    nation = F.regexp_extract("path", "/nation=([0-9]+)/[^/]*$", 1).cast("int")
+    return lines.groupBy(nation.alias("nation")).agg(
+        F.count("*").alias("customers"), F.sum(F.get_json_object("line", "$.c_custkey").cast("long")).alias("keys"), F.count_distinct(ct.parent(F.col("path"))).alias("folders"))
+
+
 # -- sinks -------------------------------------------------------------------------------------------
 
 @query("write_dataset", "SELECT o_orderpriority AS dataset_id, 'raw' AS level, o_orderstatus AS instance, count(*) AS samples, CAST(sum(o_custkey % 2) AS BIGINT) AS ones FROM orders GROUP BY ALL")
