@@ -106,10 +106,11 @@ def balanced_sample(df: DataFrame, label: str, labels: int, n: int, seed, ids: S
     replacement, what is left drawn with replacement from the largest pool, then shuffled.
 
     A draw is a rank in the seeded shuffle of its label's pool. Counts of keys by their leading digits tell
-    which bucket holds a rank, so ``df`` is read twice but only rows of buckets with a draw are shuffled; pool
-    sizes (one number per label) go into the draw table as literals.
+    which bucket holds a rank, so only rows of buckets with a draw are shuffled; pool sizes (one number
+    per label) go into the draw table as literals. ``df`` is written once, as it is counted and picked from.
     """
     spark = df.sparkSession
+    df = stored(df, "pool")
     key = md5_key(seed, *[F.col(i) for i in ids])
     buckets, digits = key_buckets(df.where(F.col(label).between(0, labels - 1)), [label], key)
     pools = {r[label]: r["n"] for r in buckets.groupBy(label).agg(F.sum("__count").alias("n")).collect()}
@@ -128,15 +129,15 @@ def balanced_sample(df: DataFrame, label: str, labels: int, n: int, seed, ids: S
     pool = F.get(F.array(*[F.lit(s).cast("long") for s in sizes]), F.col("__label"))
     again = draw_index(pool, seed, F.lit("again"), F.col("draw")) + 1
     draws = draws.withColumn("__wanted", F.when(F.col("__nth") < pool, F.col("__nth") + 1).otherwise(again))
-    # ranks and buckets meet by stretches of ranks of about a bucket's size
-    size = F.greatest(F.call_function("div", F.get(F.array(*[F.lit(s).cast("long") for s in sizes]), F.col(label)), F.lit(16 ** digits).cast("long")), F.lit(1).cast("long"))
-    stretch = lambda rank, width: F.call_function("div", rank - 1, width)
-    cut = buckets.select(F.col(label).alias("__l"), "__bucket", "__before", "__count", F.explode(F.sequence(
-        stretch(F.col("__before") + 1, size), stretch(F.col("__before") + F.col("__count"), size))).alias("__stretch"))
-    width = F.greatest(F.call_function("div", pool, F.lit(16 ** digits).cast("long")), F.lit(1).cast("long"))
-    placed = draws.join(cut, (F.col("__label") == F.col("__l")) & (stretch(F.col("__wanted"), width) == F.col("__stretch"))
-                        & (F.col("__wanted") > F.col("__before")) & (F.col("__wanted") <= F.col("__before") + F.col("__count")))
-    wanted = placed.select(F.col("__label").alias(label), "__bucket", "__before").distinct()
+    wanted = buckets.where(F.col("__before") < base).select(label, "__bucket", "__before")  # all of a short pool
+    if n > regular:  # ranks anywhere in the largest pool; they meet buckets by stretches of ranks of about a bucket's size
+        width = F.lit(max(sizes[largest] // 16 ** digits, 1)).cast("long")
+        stretch = lambda rank: F.call_function("div", rank - 1, width)
+        cut = buckets.where(F.col(label) == largest).select(label, "__bucket", "__before", "__count", F.explode(F.sequence(
+            stretch(F.col("__before") + 1), stretch(F.col("__before") + F.col("__count")))).alias("__stretch"))
+        rest = draws.where(F.col("draw") >= regular).select("__wanted", stretch(F.col("__wanted")).alias("__stretch")).join(cut, "__stretch")
+        hit = rest.where((F.col("__wanted") > F.col("__before")) & (F.col("__wanted") <= F.col("__before") + F.col("__count")))
+        wanted = wanted.unionByName(hit.select(label, "__bucket", "__before")).distinct()
     ranked = _in_buckets(df, [label], key, ids, wanted, digits)
     rows = draws.join(ranked, (F.col("__label") == F.col(label)) & (F.col("__wanted") == F.col("__rank"))).select(*df.columns, "draw")
     return seeded_shuffle(rows, f"{seed}-order", ["draw"])
