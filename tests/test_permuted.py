@@ -81,3 +81,12 @@ def test_unseen_of_a_huge_product_without_keys(spark):
     before = {r["aid"] for r in drawn.collect()}
     assert len({r["aid"] for r in fresh}) == 500 and not before & {r["aid"] for r in fresh}
     assert fresh[0].asDict().keys() == {"id", "aid", *names}
+
+
+def test_draws_of_a_small_file_are_many_tasks_work(spark, tmp_path):
+    from weighbridge.plans import QUERIES
+
+    spark.range(400).select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    drawn = QUERIES["sample_configurations"](spark, str(tmp_path))
+    rows = drawn.select("c_custkey", "draw", "aid", F.spark_partition_id().alias("task")).collect()
+    assert len({r["task"] for r in rows}) > 1 and len({(r["c_custkey"], r["aid"]) for r in rows}) == len(rows) == 1200

@@ -34,7 +34,13 @@ def permute(x: int | Column, n: int | Column, seed, *parts) -> Column:
     are unrelated."""
     x, n = _long(x), _long(n)
     a, b = halves(n)
+    # bound once: written out, the sizes would be worked out anew in every round
+    sizes = F.array(F.struct(n.alias("n"), a.alias("a"), b.alias("b")))
+    image = F.get(F.transform(sizes, lambda s: _image(x, s["n"], s["a"], s["b"], seed, parts)), F.lit(0))
+    return F.when((x >= 0) & (x < n), image)
+
 
+def _image(x: Column, n: Column, a: Column, b: Column, seed, parts) -> Column:
     def step(pair: Column, i: Column) -> Column:
         draw = F.conv(F.substring(md5_key(seed, *parts, i, pair["r"]), 1, 15), 16, 10).cast("long")
         # even rounds move the left half (below a), odd ones the right half (below b): they change places
@@ -47,5 +53,4 @@ def permute(x: int | Column, n: int | Column, seed, *parts) -> Column:
         return F.aggregate(F.array(end), F.lit(0).cast("long"), lambda _, p: p["l"] * b + p["r"])
 
     walk = F.sequence(F.lit(0).cast("long"), F.least(a * b - n, F.when(b < WALK, WALK).otherwise(12).cast("long")))
-    image = F.aggregate(walk, x, lambda value, i: F.when((i == 0) | (value >= n), once(value)).otherwise(value))
-    return F.when((x >= 0) & (x < n), image)
+    return F.aggregate(walk, x, lambda value, i: F.when((i == 0) | (value >= n), once(value)).otherwise(value))

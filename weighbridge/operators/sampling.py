@@ -156,10 +156,10 @@ def sample_configurations(df: DataFrame, names: Sequence[str], sizes: Sequence[i
     The draws are images under a seeded permutation of the combinations' numbers, so only those drawn are
     ever made, without a shuffle. ``keys`` make rows draw on their own.
     """
-    total = combinations(sizes)
-    rows = explode_range(df, total if k is None else F.least(total, F.lit(max(k, 0)).cast("long")), "draw")
+    total = F.col("__combinations")
+    rows = explode_range(df.withColumn("__combinations", combinations(sizes)), total if k is None else F.least(total, F.lit(max(k, 0)).cast("long")), "draw")
     drawn = F.col("draw") if k is None else F.when(total <= k, F.col("draw")).otherwise(permute(F.col("draw"), total, seed, *[F.col(x) for x in keys]))
-    rows = rows.select("*", drawn.alias("aid"))
+    rows = rows.select(*df.columns, "draw", drawn.alias("aid"))
     return rows.select("*", *[d.alias(n) for n, d in zip(names, radix_digits(F.col("aid"), sizes))])
 
 

@@ -64,6 +64,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 DEAL = int(os.environ.get("WEIGHBRIDGE_DEAL", "0"))
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows dealt to as many tasks as a shuffle has: a small file whose rows mean much work would be one task's."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(DEAL, key) if DEAL else df
 

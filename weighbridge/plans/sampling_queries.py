@@ -10,7 +10,7 @@ from ..operators import ragged as rg
 from ..operators import sampling as sp
 from ..operators import scoring as sc
 from ..operators import search as se
-from .bridge import (MODEL, SEED, SIZES, SQL_ORDERS, VARS, cats, order_samples, sql_key, sql_model, sql_permute, sql_scores, sql_u01, table,
+from .bridge import (MODEL, SEED, SIZES, SQL_ORDERS, VARS, cats, dealt, order_samples, sql_key, sql_model, sql_permute, sql_scores, sql_u01, table,
                      values, with_scores)
 from .registry import query
 
@@ -61,7 +61,7 @@ SELECT c_custkey, draw, aid, {', '.join(_digit(i) for i in range(12))} FROM d"""
 def _(spark, sf):
     # 12 variables of 10 to 14 categories: three of up to 5.7e13 combinations per customer
     n = F.col("c_custkey") % 5 + 10
-    return sp.sample_configurations(table(spark, sf, "customer").select("c_custkey"), _WIDE, [n] * 12, 3, SEED, ["c_custkey"])
+    return sp.sample_configurations(dealt(table(spark, sf, "customer").select("c_custkey")), _WIDE, [n] * 12, 3, SEED, ["c_custkey"])
 
 
 _UNSEEN = f"WITH {SQL_ORDERS}, {_COMBOS}, un AS (SELECT cb.* FROM cb ANTI JOIN smp ON custkey = c_custkey AND cb.V0 = smp.V0 AND cb.V1 = smp.V1 AND cb.V2 = smp.V2)"
