@@ -174,3 +174,17 @@ def test_runs_of_replayed_batches_and_two_writers(spark, tmp_path):
     rows = spark.read.parquet(path).count()
     run("a")
     assert spark.read.parquet(path).count() == rows and sorted(map(tuple, sk.read_runs(spark, path).collect())) == want
+
+
+def test_theories_of_many_datasets_share_folders(spark, tmp_path):
+    path = str(tmp_path / "theories")
+    fields = "dataset_id long, name string, missing array<string>, accuracy double"
+    sk.write_theories(spark.createDataFrame([(i, "a", [], 0.1) for i in range(600)] + [(None, "a", [], 0.1), (None, "b", [], 0.1), (7, None, [], 0.1)], fields), path)
+    folders = [p for p in (tmp_path / "theories").iterdir() if p.is_dir()]
+    assert len(folders) <= sk.BUCKETS
+    sk.write_theories(spark.createDataFrame([(1, "a", [], 0.2), (1, "b", [], 0.2), (2, "a", ["llm"], 0.2)], fields), path)
+    rows = {(r["dataset_id"], r["name"]): r["accuracy"] for r in spark.read.parquet(path).collect()}
+    assert len(rows) == 604 and rows[1, "a"] == rows[1, "b"] == 0.2 and rows[2, "a"] == rows[None, "a"] == rows[7, None] == 0.1
+    sk.write_theories(spark.createDataFrame([(None, "c", [], 0.3)], fields), path)
+    names = [r["name"] for r in spark.read.parquet(path).where("dataset_id IS NULL").collect()]
+    assert names == ["c"] and spark.read.parquet(path).count() == 603

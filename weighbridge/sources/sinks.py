@@ -136,18 +136,24 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
 def write_theories(theories: DataFrame, path: str) -> None:
     """Add valid theories; one of the same dataset and name replaces the stored one.
 
-    Of equal names among the new ones the row whose JSON text comes last is taken. Only the
-    datasets of the new theories are written.
+    Of equal names among the new ones the row whose JSON text comes last is taken. Datasets share hash buckets
+    (``__bucket``), so many small ones make no more folders and files; only the buckets of the new theories are
+    written. Theories without a dataset are replaced together.
     """
     new = theories.where(F.size("missing") == 0).drop("missing")
     whole, keys = F.struct(*new.columns), ["dataset_id", "name"]
     new = new.groupBy(*keys).agg(F.max_by(whole, F.to_json(whole)).alias("t")).select("t.*")
+    new = new.withColumn("__bucket", _bucket(F.col("dataset_id"), BUCKETS))
     old = _read(theories.sparkSession, path)
     if old is not None:
-        old = old.withColumn("dataset_id", F.col("dataset_id").cast(new.schema["dataset_id"].dataType))
-        kept = old.join(new.select("dataset_id").distinct(), "dataset_id", "left_semi").join(new.select(*keys), keys, "left_anti")
-        new = stored(new.unionByName(kept), "theories")  # read before its partitions are replaced
-    write_partitioned(new, path, ["dataset_id"], "overwrite")
+        new = stored(new, "new-theories")
+        nowhere = F.col("dataset_id").isNull()
+        same = ["__nowhere", "__dataset", "__name"]
+        ident = [nowhere.alias(same[0]), F.when(nowhere, "").otherwise(F.col("dataset_id").cast("string")).alias(same[1]), F.when(nowhere, "").otherwise(F.col("name")).alias(same[2])]
+        near = old.join(F.broadcast(new.select("__bucket").distinct()), "__bucket", "left_semi")
+        kept = near.select("*", *ident).join(new.select(*ident), same, "left_anti").select(*new.columns)
+        new = stored(new.unionByName(kept), "theories")  # read before its buckets are replaced
+    write_partitioned(new, path, ["__bucket"], "overwrite")
 
 
 def write_failures(failures: DataFrame, path: str) -> None:
