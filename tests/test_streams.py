@@ -131,3 +131,50 @@ def test_time_to_live_leaves_results_alone(spark, tmp_path):
     st.run_to_table(st.budget_stream(shuffled_files(spark, str(tmp_path / "a"), df, 3, 5), "k", "budget", first=0, keep=3600), str(tmp_path / "out"), clock=True)
     want = ss.budget_ledger(df, ["k"], "pos", "cost", "runnable", "budget").select("k", "pos", "outcome", "charged", "left")
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out/data")).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_held_messages_cost_one_call_of_the_store(monkeypatch):
+    """However many messages and reconnects a session has, its held messages are read and written once."""
+    calls = []
+
+    class Store:
+        def __init__(self):
+            self.rows = None
+
+        def exists(self):
+            return self.rows is not None
+
+        def get(self):
+            calls.append("get")
+            return self.rows if isinstance(self.rows, tuple) else iter(self.rows)
+
+        def update(self, row):
+            self.rows = row
+
+        def clear(self):
+            calls.append("clear")
+            self.rows = None
+
+        def appendValue(self, row):
+            self.appendList([row])
+
+        def appendList(self, rows):
+            calls.append("append")
+            self.rows = [*(self.rows or []), *rows]
+
+        def put(self, rows):
+            calls.append("put")
+            self.rows = list(rows)
+
+    class Handle:
+        getValueState = getListState = lambda *_: Store()
+
+    d = st.Deliveries(3, ["k", "pos", "delivered_at", "outcome"], None, None, None)
+    d.init(Handle())
+    kinds = ["disconnect", *["message"] * 30, "connect", *["disconnect", "message", "connect"] * 20, "disconnect", "message", "message"]
+    got = [tuple(r) for r in d.handle_rows((1,), [(i, k) for i, k in enumerate(kinds)])]
+    assert len([r for r in got if r[3] == "held"]) == 50 and len(calls) <= 2
+    calls.clear()
+    got = [tuple(r) for r in d.handle_rows((1,), [(1000, "message"), (1001, "turn"), (1002, "connect"), (1003, "message")])]
+    assert got == [(1, 1002, 1002, "notice"), (1, len(kinds) - 2, 1002, "held"), (1, len(kinds) - 1, 1002, "held"), (1, 1000, 1002, "held"), (1, 1003, 1003, "delivered")]
+    assert len(calls) <= 4 and d.held.rows is None
