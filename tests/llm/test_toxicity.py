@@ -156,3 +156,21 @@ def test_held_out_of_the_tables(spark):
     assert len(got) == 1000
     held = [(r["predicted"], toxic[r["doc_id"]]) for r in got if r["held_out"] and r["doc_id"] in toxic]
     assert sum(p == y for p, y in held) >= 0.93 * len(held)  # a trained share of 40 toxic rows in four languages
+
+
+def test_all_labelled_rows_teach(spark, monkeypatch):
+    """However many rows there are, and in several tasks."""
+    for name, value in (("TOXIC", 5), ("CLEAN", 9), ("WORDS", 5000)):  # limits of a sample once
+        monkeypatch.setattr(toxicity, name, value, raising=False)
+    rows = tables(7, 600)
+    docs = documents(spark, [(i, t, lang) for i, t, lang, _ in rows])
+    labels = spark.createDataFrame([(i, y) for i, _, _, y in rows], "doc_id long, toxic int")
+    allowed = F.col("doc_id") % 5 != 0
+    found, totals = toxicity.labelled(docs, labels, allowed, "doc_id", "text", "lang", "toxic")
+    assert found.count() == sum(totals.values()) == 480
+    words = {r["place"]: len(r["words"]) for r in found.collect()}
+    assert sum(words.values()) > 4 * 3 * 5000  # several tasks' work
+    model = toxicity.learn(docs, labels, allowed)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    held = [(got[i] >= 0.5, y == 1) for i, _, _, y in rows if i % 5 == 0]
+    assert sum(a == b for a, b in held) >= 0.9 * len(held)
