@@ -188,3 +188,13 @@ def test_theories_of_many_datasets_share_folders(spark, tmp_path):
     sk.write_theories(spark.createDataFrame([(None, "c", [], 0.3)], fields), path)
     names = [r["name"] for r in spark.read.parquet(path).where("dataset_id IS NULL").collect()]
     assert names == ["c"] and spark.read.parquet(path).count() == 603
+
+
+def test_appended_runs_are_compared_in_many_tasks(spark, tmp_path, monkeypatch):
+    written = []
+    monkeypatch.setattr(sk, "RUN_ROWS", 10, raising=False)
+    monkeypatch.setattr(sk, "write_partitioned", lambda df, *_: written.append(df))
+    runs = spark.range(1000).selectExpr("'r' || (id % 400) AS run_id", "'m' || id AS model", "'STATIC' AS mode", "'raw' AS level")
+    sk.append_runs(spark, runs, str(tmp_path / "runs"))
+    assert written[0].rdd.getNumPartitions() >= 100 and written[0].count() == 400
+    assert {r["model"] for r in written[0].where("run_id = 'r7'").collect()} == {"m407"}

@@ -99,6 +99,9 @@ def upsert_instances(spark: SparkSession, new: DataFrame, path: str, by: Sequenc
     new.hint("rebalance", *[F.col(c) for c in by]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
+RUN_ROWS = 100_000  # runs compared in one task, about
+
+
 def append_runs(spark: SparkSession, runs: DataFrame, path: str) -> None:
     """Append runs whose id is not stored yet; appending twice changes nothing.
 
@@ -106,7 +109,9 @@ def append_runs(spark: SparkSession, runs: DataFrame, path: str) -> None:
     look before either has written may both store an id.
     """
     whole = F.struct(*runs.columns)
-    one_each = runs.groupBy("run_id").agg(F.min_by(whole, F.to_json(whole)).alias("r")).select("r.*")
+    runs = stored(runs, "new-runs")  # read and counted once; so many rows a task that its sorts stay small
+    tasks = max(runs.sparkSession.sparkContext.defaultParallelism, -(-runs.count() // RUN_ROWS))
+    one_each = runs.repartition(tasks, "run_id").groupBy("run_id").agg(F.min_by(whole, F.to_json(whole)).alias("r")).select("r.*")
     stored_runs = _read(spark, path)
     if stored_runs is not None:
         one_each = one_each.join(stored_runs.select("run_id"), "run_id", "left_anti")
