@@ -7,6 +7,9 @@ Logistic mixing combines the predictions. Two gates choose the weights: the plac
 byte's code, and whether the word so far is known; the weights are refined while a
 document is read, a block of bits at a time. The bits' probabilities multiply to that of the text.
 
+All words of the training texts teach the word so far (``word_paths``): the odds of the most frequent ones travel to
+the tasks, those of the others reach the texts that hold them by a join.
+
 Beside it stands a word model: add-one log probabilities of the words and one end token.
 
 Cases: a null text is empty (its end mark alone is scored). Rows with a null key teach nothing and
@@ -21,28 +24,28 @@ import heapq
 import math
 from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.storage import stored
 from . import common as c
+from .word_paths import DOUBT, SCALE, STEP, UNKNOWN, Layout, word_paths
 
 SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 END = 0xFF                    # never a byte of UTF-8
 ORDERS = (3, 5)               # bytes of context, beside the word so far
 SLOT_BITS = 22                # counters per context of bytes
-WORD_BITS = 24                # counters of the word context
-STEP = 4                      # bits served by one cell of counters
+WORD_BITS = 24                # counters of the word context in a table of a few words
 LEAD = max(ORDERS)
 SEGMENT = 4096                # bytes after which weights start afresh
 BLOCK = 64                    # bits between updates of the weights
 RATE = 0.01
 START = (0.25, 0.65, -0.15, -0.1, 0.45)  # weights of the orders, what known words add to them, of the word
-SCALE = 16.0                  # steps per unit of a stored log odds
-DOUBT = 0.4                   # added to the counts behind a word so far
 WORK = 1 << 18                # bytes handled at once
 
 
@@ -109,8 +112,8 @@ def lay_out(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data, places, counts
 
 
-def contexts(data: np.ndarray) -> list[np.ndarray]:
-    """Hash of each context at each byte, from the bytes before it only."""
+def contexts(data: np.ndarray, word: bool = True) -> list[np.ndarray]:
+    """Hash of each context at each byte, from the bytes before it only; with or without the word's."""
     wide = data.astype(np.uint32)
     out = []
     for k, order in enumerate(ORDERS):
@@ -120,7 +123,8 @@ def contexts(data: np.ndarray) -> list[np.ndarray]:
             h *= np.uint32(0x9E3779B1)
             h ^= h >> np.uint32(15)
         out.append(h)
-    out.append(word_context(data))
+    if word:
+        out.append(word_context(data))
     return out
 
 
@@ -176,7 +180,7 @@ def deeper(code: Code, symbols: np.ndarray, hashes: list[np.ndarray], begin: int
 def tally(parts: list[bytes], code: Code, totals: list[np.ndarray]) -> None:
     """Add the bits of some training texts to the counters (zeros and ones side by side)."""
     data, places, _ = lay_out(parts)
-    hashes, symbols = [h[places] for h in contexts(data)[:len(ORDERS)]], data[places].astype(np.int64)
+    hashes, symbols = [h[places] for h in contexts(data, word=False)], data[places].astype(np.int64)
     place, bit, _ = code.first()
     step = ((place << 1) + bit).T.take(symbols, axis=0)  # a byte's bits stay together, as their counters do
     one = np.int32(1)
@@ -229,8 +233,20 @@ def odds(counts: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(SCALE * np.log((pair[:, 1] + 0.3) / (pair[:, 0] + 0.3))), -127, 127).astype(np.int8)
 
 
-def score(parts: list[bytes], code: Code, tables: list[np.ndarray]) -> np.ndarray:
-    """Log10 probability of each text (with its end mark).
+@dataclass
+class Paths:
+    """Odds of the words of some texts: the path of each one, in order, begins at ``starts`` in ``odds``; that of the
+    empty word at ``empty``. Behind the last path there is room for a code."""
+
+    layout: Layout
+    odds: np.ndarray
+    starts: np.ndarray
+    empty: int
+
+
+def score(parts: list[bytes], code: Code, tables: list[np.ndarray], paths: Paths | None = None) -> np.ndarray:
+    """Log10 probability of each text (with its end mark). What is known of a word so far stands in ``paths`` or,
+    for the words of one table, behind the other tables.
 
     Segments are rows of BLOCK symbols; a segment and a gate make a lane with weights of its own.
     Each of the first STEP bits is a gate, laid out alike for all symbols; the few deeper bits are one.
@@ -247,7 +263,7 @@ def score(parts: list[bytes], code: Code, tables: list[np.ndarray]) -> np.ndarra
     spread = np.full(rows * BLOCK, -1, np.int64)
     spread[room] = places
     there = spread >= 0
-    symbols, hashes = data.take(spread).astype(np.int64), [h.take(spread) for h in contexts(data)]
+    symbols, hashes = data.take(spread).astype(np.int64), [h.take(spread) for h in contexts(data, word=not paths)]
     root = code.entry[:1, 0]
     place, _, signs = code.first()
     near = place.take(symbols, axis=1) + np.arange(0, 16 * len(symbols), 16)
@@ -261,6 +277,13 @@ def score(parts: list[bytes], code: Code, tables: list[np.ndarray]) -> np.ndarra
         if word:
             known = (found[::16] == marks(h, root)).astype(np.float32)
             inputs[-1] *= known
+    if paths:
+        begin = np.zeros(len(spread), np.int64)
+        begin[room] = paths.layout.places(data[places], paths.starts, paths.empty)
+        found = paths.odds.take(begin + np.arange(STEP)[:, None])
+        known = (found[0] != UNKNOWN).astype(np.float32)
+        inputs.append(found * known)
+        begin = begin.take(room)
     depth = len(sign)
     out = mix_lanes([x.reshape(-1, BLOCK) for x in inputs], known.reshape(-1, BLOCK), sign.reshape(-1, BLOCK), np.tile(blocks, depth))
     total = out.reshape(depth, -1).sum(axis=0)
@@ -270,15 +293,19 @@ def score(parts: list[bytes], code: Code, tables: list[np.ndarray]) -> np.ndarra
     blocks = -(-rest // BLOCK)
     free = (np.cumsum(blocks) - blocks) * BLOCK
     size = int(blocks.sum()) * BLOCK
-    sign, known, *inputs = (np.zeros(size, np.float32) for _ in range(2 + len(tables)))
-    for where, bit, base, place in deeper(code, symbols, hashes, STEP):
+    sign, known, *inputs = (np.zeros(size, np.float32) for _ in range(3 + len(ORDERS)))
+    for d, (where, bit, base, place) in enumerate(deeper(code, symbols, hashes, STEP), STEP):
         own = lane[where]
         here = np.bincount(own, minlength=len(owner))
         at = np.arange(len(own)) + (free - (np.cumsum(here) - here))[own]
         free += here
         sign[at] = bit * 2 - 1
-        hit = tables[-1].take(base[-2]) == base[-1]
-        known[at] = hit
+        if paths:
+            found = paths.odds.take(begin.take(where) + d)
+            known[at] = found != UNKNOWN
+            inputs[-1][at] = found
+        else:
+            known[at] = tables[-1].take(base[-2]) == base[-1]
         for v, t, x in zip(inputs, tables, base):
             v[at] = t.take(x + place)
     inputs[-1] *= known
@@ -341,14 +368,19 @@ def lowered(batch: pa.RecordBatch, column: str) -> list[bytes]:
     return [x.lower() for x in c.raw(batch, column)]
 
 
-def count_words(docs: DataFrame, text: str) -> DataFrame:
-    """(word, n): how often each word occurs in the texts; the empty word counts the texts."""
+def count_words(docs: DataFrame, learn: Column, text: str) -> DataFrame:
+    """(word, n): how often each word occurs in the texts that teach, 0 for those of other texts only; the empty
+    word counts the texts."""
     def count(batches):
         seen: Counter = Counter()
         for batch in batches:
-            for x in lowered(batch, "text"):
-                seen.update(x.split())
-            seen[b""] += batch.num_rows
+            for x, teaches in zip(lowered(batch, "text"), batch.column("teaches").to_pylist()):
+                if teaches:
+                    seen.update(x.split())
+                    seen[b""] += 1
+                else:
+                    for w in (b"", *x.split()):
+                        seen.setdefault(w, 0)
             if len(seen) > c.CACHED_WORDS:
                 yield rows(seen)
                 seen.clear()
@@ -357,7 +389,8 @@ def count_words(docs: DataFrame, text: str) -> DataFrame:
     def rows(seen):
         return pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    texts = docs.select(F.col(text).alias("text"), learn.alias("teaches"))
+    return texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def count_bits(docs: DataFrame, text: str, code: Code) -> DataFrame:
@@ -393,85 +426,161 @@ def frequent(words: DataFrame, most: int) -> DataFrame:
     """The most frequent words, at most so many: those above a count found from a histogram of
     logarithms, which has a few hundred bars."""
     level = F.floor(F.log2("n") * 8).cast("int")
-    bars = sorted(((r["level"], r["count"]) for r in words.groupBy(level.alias("level")).count().collect()), reverse=True)
+    bars = sorted(((r["level"], r["count"]) for r in words.where("n > 0").groupBy(level.alias("level")).count().collect()), reverse=True)
     least, total = None, 0
     for at, many in bars:
         total += many
         if total > most:
             break
         least = at
-    return words.where(F.lit(False) if least is None else (level >= least) & (F.length("word") > 0))
+    return words.where(F.lit(False) if least is None else (F.col("n") > 0) & (level >= least) & (F.length("word") > 0))
+
 
+@dataclass
+class Head:
+    """The most frequent words in order, with their counts and paths; the path of the empty word is the first."""
 
-def head_table(head: DataFrame, code: Code) -> DataFrame:
-    """The frequent words, their counts, and the table of their beginnings, made in one task: all
-    three have a fixed bound."""
-    def build(batches):
-        found = [x for batch in batches for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-        found.sort()
-        table = word_table(dict(found), code)
-        rows = [("words", 0, b"\n".join(w for w, _ in found)), ("counts", 0, np.array([n for _, n in found], np.int64).tobytes())]
-        rows += [("table", at // (1 << 20), table[at:at + (1 << 20)].tobytes()) for at in range(0, len(table), 1 << 20)]
-        for row in rows:
-            yield c.vector_batch([row])
+    words: bytes
+    counts: np.ndarray
+    starts: np.ndarray
+    odds: np.ndarray
+    layout: Layout
 
-    return head.select("word", "n").repartition(1).mapInArrow(build, c.VECTOR)
+    @classmethod
+    def of(cls, paths: DataFrame, code: Code) -> Head:
+        """The base of the paths."""
+        layout, found = Layout(code), paths.where("base").toArrow().sort_by("word")
+        words = found["word"].to_pylist()
+        odds, starts, done = [], [], 0
+        for at in range(0, len(words), c.CHUNK_SLOTS):  # some at a time: unpacking takes many times their room
+            one, begin = layout.unpack(words[at:at + c.CHUNK_SLOTS], found["path"][at:at + c.CHUNK_SLOTS].to_pylist())
+            odds.append(one)
+            starts.append(begin + done)
+            done += len(one)
+        odds, starts = (np.concatenate(x) if x else np.empty(0, kind) for x, kind in ((odds, np.int8), (starts, np.int64)))
+        return cls(b"\n".join(words[1:]), found["n"].to_numpy()[1:], starts, odds, layout)
+
+    def numbers(self) -> dict[bytes, int]:
+        return dict(zip(self.words.split(b"\n"), range(len(self.counts))))
+
+
+def pieces(text: bytes) -> list[bytes]:
+    """The words of a text, cut at zero bytes: what has a path."""
+    return (text.replace(b"\0", b" ") if b"\0" in text else text).split()
+
+
+def wanted(text: bytes, known: dict[bytes, int]) -> list[bytes]:
+    """What a text must be brought, in order: its words and their pieces that are not among the known ones."""
+    return sorted({*text.split(), *(pieces(text) if b"\0" in text else ())}.difference(known))
+
+
+class Scorer:
+    """Scores texts with the words of the head and those that come with a text."""
+
+    def __init__(self, head: Head, code: Code, tables: list[np.ndarray]):
+        self.head, self.code, self.tables = head, code, tables
+        self.number = head.numbers()
+        self.logs = np.log10(head.counts + 1.0)
+        self.odds = head.odds
+
+    def find(self, words: list[bytes], own: dict[bytes, int]) -> np.ndarray:
+        """Number of each word in the head or, from the head's end on, among the text's own."""
+        at = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+        for i in np.flatnonzero(at < 0).tolist():
+            at[i] = own[words[i]]
+        return at
+
+    def rate(self, parts: list[bytes], counts: list[int], packed: list[bytes | None]):
+        """Log10 probability of each text, and of its words the number, the known ones and the sum of the logarithms of their
+        counts and one. ``counts`` and ``packed`` paths are those of the words that the texts want, one after the other."""
+        many, room = len(self.logs), self.code.bit.shape[1]
+        own = [wanted(x, self.number) for x in parts]
+        words = [w for x in own for w in x]
+        there = [i for i, x in enumerate(packed) if x is not None]
+        head = self.head.odds, self.head.starts
+        flat, begin = self.head.layout.unpack([words[i] for i in there], [packed[i] for i in there], head)
+        base = len(self.head.odds)
+        if len(self.odds) < base + len(flat) + room:
+            self.odds = np.concatenate((self.head.odds, np.zeros(2 * len(flat) + room, np.int8)))
+        self.odds[base:base + len(flat)] = flat
+        places = np.zeros(len(words), np.int64)
+        places[there] = begin + base
+        starts = np.concatenate((self.head.starts[1:], places))
+        logs = np.concatenate((self.logs, np.log10(np.array(counts, np.int64) + 1.0)))
+        tokens, known, base, found = [], [], [], []
+        first = 0
+        for x, new in zip(parts, own):
+            mine = dict(zip(new, range(many + first, many + first + len(new))))
+            first += len(new)
+            ws = x.split()
+            at = self.find(ws, mine)
+            gains = logs[at]
+            tokens.append(len(ws))
+            known.append(int(np.count_nonzero(gains)))
+            base.append(math.fsum(gains.tolist()))
+            found.append(self.find(pieces(x), mine) if b"\0" in x else at)
+        paths = Paths(self.head.layout, self.odds, starts[np.concatenate(found)], 0)
+        return score(parts, self.code, self.tables, paths), tokens, known, base
 
 
 def score_texts(docs: DataFrame, learn: Column, keep: list[str], text: str = "text", head: int = 200_000) -> DataFrame:
     """Columns ``keep`` of every row with n_tokens, n_known, train_tokens, base_score and score.
 
-    ``learn`` says which rows teach. The ``head`` most frequent words travel to the tasks with the
-    bit counters (both of fixed size); the rest are looked up by a join, so for n_known and base_score all words
-    count exactly. ``score`` knows the words of the ``head`` alone, and its counters of bytes are shared by more
-    contexts the larger the corpus is.
+    ``learn`` says which rows teach. All their words count, for all columns: counts and paths of the ``head`` most frequent
+    ones travel to the tasks with the bit counters (both of fixed size), those of the rest reach the texts that
+    hold them by a join, so ``head`` has no part in the result. The counters of bytes are taught by all texts, and shared
+    by more contexts the larger the corpus is.
     """
     spark = docs.sparkSession
-    train = docs.where(F.coalesce(learn, F.lit(False)))
-    words = stored(count_words(train, text), "words")
-    stats = words.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.length("word") == 0, F.col("n"))).alias("ends")).first()
+    learn = F.coalesce(learn, F.lit(False))
+    words = stored(count_words(docs, learn, text), "words")
+    stats = words.where("n > 0").agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.length("word") == 0, F.col("n"))).alias("ends")).first()
     n, v, ends = stats["n"] or 0, stats["v"], stats["ends"] or 0
     weight = byte_weights(words) + 1
     weight[END] += ends
     code = Code.of(weight)
-    parts: dict[str, list[bytes]] = {"words": [], "counts": [], "table": []}
-    for r in sorted(head_table(frequent(words, head), code).collect(), key=lambda r: r["chunk"]):
-        parts[r["part"]].append(bytes(r["counts"]))
-    counted = c.gather(count_bits(train, text, code), 1 << SLOT_BITS, np.int8)
+    most = frequent(words, head).select("word").toArrow()["word"].to_pylist()
+    paths = stored(word_paths(words, code, [b"", *(w for w in most if b"\0" not in w)]), "paths")
+    counted = c.gather(count_bits(docs.where(learn), text, code), 1 << SLOT_BITS, np.int8)
     tables = [counted.get(f"context{k}", np.zeros(1 << SLOT_BITS, np.int8)) for k in range(len(ORDERS))]
-    blobs = {k: b"".join(x) for k, x in parts.items()}
-    tables.append(np.frombuffer(blobs["table"], np.int8) if blobs["table"] else np.zeros(1 << WORD_BITS, np.int8))
-    held = spark.sparkContext.broadcast((blobs["words"], blobs["counts"], code, tables))
+    held = spark.sparkContext.broadcast((Head.of(paths, code), code, tables))
     fall, end_score = math.log10(n + v + 1), math.log10(ends + 1)
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    kept = ", ".join(f"`{k}` {types[k]}" for k in keep)
 
-    def rate(batches):
-        names, counts, code, tables = held.value
-        logs = dict(zip(names.split(b"\n"), np.log10(np.frombuffer(counts, np.int64) + 1.0).tolist())) if counts else {}
+    def ask(batches):
+        number, codec = held.value[0].numbers(), pa.Codec("zstd", compression_level=3)
         for whole in batches:
             for at in range(0, whole.num_rows, c.ROWS):
                 batch = whole.slice(at, c.ROWS)
                 parts = lowered(batch, "__text")
-                bits = np.concatenate([score(parts[a:b], code, tables) for a, b in c.slices(parts, WORK)])
-                tokens, known, base, rest = [], [], [], []
-                for x in parts:
-                    ws = x.split()
-                    found = list(map(logs.get, ws))
-                    hit = [x for x in found if x is not None]
-                    tokens.append(len(ws) + 1)
-                    known.append(len(hit) + (ends > 0))
-                    base.append(math.fsum(hit) + end_score - (len(ws) + 1) * fall)
-                    rest.append([w for w, x in zip(ws, found) if x is None] if len(hit) < len(ws) else [])
-                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()),
-                                                  pa.array(base, pa.float64()), pa.array(bits, pa.float64()), pa.array(rest, pa.list_(pa.binary()))],
-                                                 names=[*keep, "n_tokens", "__known", "__base", "score", "__rest"])
-
-    fields = ", ".join([*(f"`{k}` {types[k]}" for k in keep), "n_tokens long", "__known long", "__base double", "score double", "__rest array<binary>"])
-    rated = stored(docs.select(*keep, F.col(text).alias("__text")).mapInArrow(rate, fields).withColumn("__row", F.monotonically_increasing_id()), "scores")
-    asked = rated.select("__row", F.explode("__rest").alias("word"))
-    found = (asked.join(words.where(F.length("word") > 0), "word")
-             .groupBy("__row").agg(F.count("*").alias("__more"), F.sum(F.log10(F.col("n") + 1)).alias("__gain")))
-    none = F.lit(0)
-    return rated.drop("__rest").join(found, "__row", "left").select(
-        *keep, "n_tokens", (F.col("__known") + F.coalesce("__more", none)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("__base") + F.coalesce("__gain", none.cast("double"))).alias("base_score"), "score")
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array([codec.compress(x, asbytes=True) for x in parts], pa.binary()),
+                                                  pa.array(map(len, parts), pa.int32()), pa.array([wanted(x, number) for x in parts], pa.list_(pa.binary()))],
+                                                 names=[*keep, "__text", "__size", "__rest"])
+
+    def rate(batches):
+        scorer, codec = Scorer(*held.value), pa.Codec("zstd")
+        for whole in batches:
+            for at in range(0, whole.num_rows, c.ROWS):
+                batch = whole.slice(at, c.ROWS)
+                sizes, brought = batch.column("__size").to_pylist(), batch.column("__found")
+                parts = [codec.decompress(x, n, asbytes=True) if n else b"" for x, n in zip(batch.column("__text").to_pylist(), sizes)]
+                many = pc.fill_null(pc.list_value_length(brought), 0).to_numpy(zero_copy_only=False)
+                until = np.concatenate(([0], np.cumsum(many)))
+                place, *own = brought.flatten().flatten()
+                order = pa.array(np.lexsort((place.to_numpy(zero_copy_only=False), np.repeat(np.arange(len(many)), many))))
+                own = [x.take(order).to_pylist() for x in own]
+                out = [scorer.rate(parts[a:b], *(x[until[a]:until[b]] for x in own)) for a, b in c.slices(parts, WORK)]
+                bits, tokens, known, base = (np.concatenate(x) for x in zip(*out))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(tokens + 1, pa.int64()), pa.array(known + (ends > 0), pa.int64()),
+                                                  pa.array(base + end_score - (tokens + 1) * fall, pa.float64()), pa.array(bits, pa.float64())],
+                                                 names=[*keep, "n_tokens", "n_known", "base_score", "score"])
+
+    comma = ", " if keep else ""
+    asked = docs.select(*keep, F.col(text).alias("__text")).mapInArrow(ask, f"{kept}{comma}__text binary, __size int, __rest array<binary>")
+    asked = stored(asked.withColumn("__row", F.monotonically_increasing_id()), "asked")
+    found = (asked.select("__row", F.posexplode("__rest").alias("__place", "word")).join(paths.drop("base"), "word")
+             .groupBy("__row").agg(F.collect_list(F.struct("__place", "n", "path")).alias("__found")))
+    rated = asked.drop("__rest").join(found, "__row", "left").select(*keep, "__text", "__size", "__found").mapInArrow(
+        rate, f"{kept}{comma}n_tokens long, n_known long, base_score double, score double")
+    return rated.select(*keep, "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
