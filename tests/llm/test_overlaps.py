@@ -379,6 +379,70 @@ def test_documents_with_a_window_in_common_are_connected(spark):
         assert reached == ids
 
 
+def families(n, copies):
+    """Texts that each hold a noisy copy of the 60 words of their family, and where it begins."""
+    r, docs, at = random.Random(21), [], {}
+    for i in range(n):
+        words = prose(9000 + i, 60).split(" ")
+        for j in range(copies):
+            gone = set(r.sample(range(60), r.choice((4, 7, 10))))
+            copy = [f"z{r.randrange(10 ** 9)}" if k in gone else w for k, w in enumerate(words)]
+            before, behind = ([f"b{r.randrange(10 ** 9)}" for _ in range(r.randint(0, 70))] for _ in range(2))
+            docs.append((1000 * i + j, " ".join([*before, *copy, *behind])))
+            at[1000 * i + j] = len(before)
+    return docs, at
+
+
+def diagonal_pairs(docs, at):
+    """Documents of one family with a passage and a seed in it, where their copies stand beside each other; those with 50 equal words apart."""
+    words = {i: np.array(t.split(" ")) for i, t in docs}
+    fuzzy, equal = set(), set()
+    for i in words:
+        for j in words:
+            if i < j and i // 1000 == j // 1000:
+                same = words[i][at[i]:at[i] + 60] == words[j][at[j]:at[j] + 60]
+                found = passages.best_stretch(same, 50)
+                if found:
+                    inner = "".join("01"[int(x)] for x in same[found[0]:found[1]])
+                    if "1" * 50 in inner:
+                        equal.add((i, j))
+                    elif "1" * passages.SEED in inner or any(inner[k:k + 4] == inner[k + 5:k + 9] == "1111" for k in range(len(inner))):
+                        fuzzy.add((i, j))
+    return fuzzy, equal
+
+
+@pytest.mark.parametrize("n, copies, block", [(40, 10, 2048), (3, 60, 2048), (2, 60, 16)])
+def test_all_holders_of_a_seed_meet(spark, monkeypatch, n, copies, block):
+    """Few copies, and so many that their seeds are crowded, in one block or in several."""
+    monkeypatch.setattr(passages, "BLOCK", block)
+    docs, at = families(n, copies)
+    fuzzy, _ = diagonal_pairs(docs, at)
+    got = passages.shared(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert len(fuzzy) > 500 and fuzzy <= {(r["other_id"], r["doc_id"]) for r in got}
+
+
+def test_crowds_keep_fuzzy_links_of_copies(spark):
+    """A line in 60 documents; four others go on with one text or a fuzzy copy of it, each in two equal documents."""
+    line, words = prose(40, 10), prose(41, 50).split(" ")
+    docs = [(i, " ".join([prose(2200 + i, 30), line, prose(2300 + i, 60)])) for i in range(60)]
+    changed = [f"q{k}" if k % 12 == 7 else w for k, w in enumerate(words)]
+    docs += [(i, " ".join([prose(2401, 70), line, *words, prose(2402, 70)])) for i in (100, 300)]
+    docs += [(i, " ".join([prose(2403, 70), line, *changed[:30], "more", *changed[30:], prose(2404, 70)])) for i in (200, 400)]
+    got = [r for r in passages.shared(spark.createDataFrame(docs, "doc_id long, text string")).collect()]
+    assert {r["doc_id"] for r in got} | {r["other_id"] for r in got} == {100, 200, 300, 400}
+    pairs = {(r["other_id"], r["doc_id"]): (r["other_start"], r["other_words"], r["start"], r["n_words"]) for r in got}
+    assert {(100, 300), (200, 400)} <= set(pairs) and pairs[100, 200] == (70, 60, 70, 61)
+
+
+def test_common_tokens_as_sets():
+    rng = np.random.default_rng(3)
+    for rows in (1, 5, 90):
+        x, y = (np.array([rng.choice(200, 12, replace=False) * (rng.random(12) < 0.8) for _ in range(m)], np.uint64) for m in (rows, 70))
+        x[:, 0] = y[:, 0] = 1000  # in all
+        want = [[len(set(a.tolist()) & set(b.tolist()) - {0}) for b in y] for a in x]
+        assert passages._common(x, y).tolist() == want
+
+
 def test_thinned_runs_keep_their_ends():
     r = random.Random(14)
     for _ in range(100):
