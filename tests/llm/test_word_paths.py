@@ -127,3 +127,26 @@ def test_words_beyond_the_head_teach_the_score(spark):
     assert set(whole) == {i for i, _ in rows}
     for key, (score, known) in whole.items():
         assert joined[key] == (pytest.approx(score, rel=1e-4), known)
+
+
+def test_a_chunk_of_texts_asks_once_for_a_word(spark, monkeypatch):
+    """What is written and shuffled for words beyond the head grows with the words of a chunk, not with those of its texts."""
+    monkeypatch.setattr(w, "TRIED", 3)
+    monkeypatch.setattr(m, "RANGE", 25)
+    rare = " ".join(f"rareword{i}" for i in range(90)) + " rare\0word \0 é"
+    rows = [(i, f"{rare} {prose(i, 9)}") for i in range(40)] + [(100, ""), (101, None), (102, "unheard rareword7 \0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    asked, answers = [], m.answers
+    monkeypatch.setattr(m, "answers", lambda paths, asks: asked.append(asks) or answers(paths, asks))
+    whole, joined = ({r["doc_id"]: (r["score"], r["n_known"], r["base_score"]) for r in m.score_texts(docs, F.col("doc_id") < 90, ["doc_id"], head=head).collect()} for head in (200_000, 3))
+    words = Counter(x for r in asked[1].collect() for x in m.c.opened(bytes(r["words"])).split(b"\n"))
+    assert len({r["part"] for r in asked[1].collect()}) > 3 and 1 < max(words.values()) <= asked[1].select("__chunk").distinct().count() <= 4
+    assert set(whole) == {i for i, _ in rows}
+    for key, (score, known, base) in whole.items():
+        assert joined[key] == (pytest.approx(score, rel=1e-4), known, pytest.approx(base))
+
+
+def test_packed_counts():
+    counts = np.array([0, 1, 255, 256, 65_536, 2 ** 31 - 1, 0], np.int32)
+    assert m.c.opened_counts(m.c.squeezed_counts(counts)).tolist() == counts.tolist()
+    assert m.c.opened(m.c.squeezed(b"")) == b""

@@ -8,7 +8,7 @@ byte's code, and whether the word so far is known; the weights are refined while
 document is read, a block of bits at a time. The bits' probabilities multiply to that of the text.
 
 All words of the training texts teach the word so far (``word_paths``): the odds of the most frequent ones travel to
-the tasks, those of the others reach the texts that hold them by a join.
+the tasks; for those of the others chunks of texts ask, range by range of words, and the answers meet the chunk.
 
 Beside it stands a word model: add-one log probabilities of the words and one end token.
 
@@ -22,19 +22,19 @@ from __future__ import annotations
 
 import heapq
 import math
+from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.storage import stored
 from . import common as c
-from .word_paths import DOUBT, SCALE, STEP, UNKNOWN, Layout, word_paths
+from .word_paths import DOUBT, RANGE, SCALE, STEP, UNKNOWN, Layout, bounds, word_paths
 
 SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 END = 0xFF                    # never a byte of UTF-8
@@ -47,6 +47,7 @@ BLOCK = 64                    # bits between updates of the weights
 RATE = 0.01
 START = (0.25, 0.65, -0.15, -0.1, 0.45)  # weights of the orders, what known words add to them, of the word
 WORK = 1 << 18                # bytes handled at once
+CHUNKS = 8                    # chunks of texts that a task scores, about
 
 
 # -- the code of bytes ----------------------------------------------------------------------
@@ -400,9 +401,9 @@ def count_bits(docs: DataFrame, text: str, code: Code) -> DataFrame:
             parts = lowered(batch, "text")
             for a, b in c.slices(parts, WORK):
                 tally(parts[a:b], code, totals)
-        yield from c.vector_rows({f"context{k}": t for k, t in enumerate(totals)})
+        yield from c.vector_rows({f"context{k}": t for k, t in enumerate(totals)}, pack=c.squeezed_counts)
 
-    return c.summed(docs.select(F.col(text).alias("text")).mapInArrow(count, c.VECTOR), odds)
+    return c.summed(docs.select(F.col(text).alias("text")).mapInArrow(count, c.VECTOR), odds, unpack=c.opened_counts)
 
 
 def byte_weights(words: DataFrame) -> np.ndarray:
@@ -469,66 +470,107 @@ def pieces(text: bytes) -> list[bytes]:
     return (text.replace(b"\0", b" ") if b"\0" in text else text).split()
 
 
-def wanted(text: bytes, known: dict[bytes, int]) -> list[bytes]:
-    """What a text must be brought, in order: its words and their pieces that are not among the known ones."""
-    return sorted({*text.split(), *(pieces(text) if b"\0" in text else ())}.difference(known))
+def wanted(parts: list[bytes], known: dict[bytes, int]) -> list[bytes]:
+    """What some texts must be brought, in order: their words and the words' pieces that are not among the known ones."""
+    seen: set[bytes] = set()
+    for x in parts:
+        seen.update(x.split())
+        if b"\0" in x:
+            seen.update(pieces(x))
+    return sorted(seen.difference(known))
 
 
 class Scorer:
-    """Scores texts with the words of the head and those that come with a text."""
+    """Scores texts with the words of the head and those that come with a chunk of texts."""
 
     def __init__(self, head: Head, code: Code, tables: list[np.ndarray]):
         self.head, self.code, self.tables = head, code, tables
         self.number = head.numbers()
-        self.logs = np.log10(head.counts + 1.0)
+        self.head_logs = np.log10(head.counts + 1.0)
         self.odds = head.odds
 
-    def find(self, words: list[bytes], own: dict[bytes, int]) -> np.ndarray:
-        """Number of each word in the head or, from the head's end on, among the text's own."""
-        at = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
-        for i in np.flatnonzero(at < 0).tolist():
-            at[i] = own[words[i]]
-        return at
-
-    def rate(self, parts: list[bytes], counts: list[int], packed: list[bytes | None]):
-        """Log10 probability of each text, and of its words the number, the known ones and the sum of the logarithms of their
-        counts and one. ``counts`` and ``packed`` paths are those of the words that the texts want, one after the other."""
-        many, room = len(self.logs), self.code.bit.shape[1]
-        own = [wanted(x, self.number) for x in parts]
-        words = [w for x in own for w in x]
+    def take(self, words: list[bytes], counts: np.ndarray, packed: list[bytes | None]) -> None:
+        """From now on these words, with their counts and packed paths, are at hand beside the head's."""
         there = [i for i, x in enumerate(packed) if x is not None]
-        head = self.head.odds, self.head.starts
-        flat, begin = self.head.layout.unpack([words[i] for i in there], [packed[i] for i in there], head)
-        base = len(self.head.odds)
+        flat, begin = self.head.layout.unpack([words[i] for i in there], [packed[i] for i in there], (self.head.odds, self.head.starts))
+        base, room = len(self.head.odds), self.code.bit.shape[1]
         if len(self.odds) < base + len(flat) + room:
             self.odds = np.concatenate((self.head.odds, np.zeros(2 * len(flat) + room, np.int8)))
         self.odds[base:base + len(flat)] = flat
         places = np.zeros(len(words), np.int64)
         places[there] = begin + base
-        starts = np.concatenate((self.head.starts[1:], places))
-        logs = np.concatenate((self.logs, np.log10(np.array(counts, np.int64) + 1.0)))
+        self.starts = np.concatenate((self.head.starts[1:], places))
+        self.logs = np.concatenate((self.head_logs, np.log10(counts + 1.0)))
+        self.own = dict(zip(words, range(len(self.head_logs), len(self.logs))))
+
+    def find(self, words: list[bytes]) -> np.ndarray:
+        """Number of each word in the head or, from the head's end on, among those at hand beside it."""
+        at = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+        for i in np.flatnonzero(at < 0).tolist():
+            at[i] = self.own[words[i]]
+        return at
+
+    def rate(self, parts: list[bytes]):
+        """Log10 probability of each text, and of its words the number, the known ones and the sum of the logarithms of their
+        counts and one."""
         tokens, known, base, found = [], [], [], []
-        first = 0
-        for x, new in zip(parts, own):
-            mine = dict(zip(new, range(many + first, many + first + len(new))))
-            first += len(new)
+        for x in parts:
             ws = x.split()
-            at = self.find(ws, mine)
-            gains = logs[at]
+            at = self.find(ws)
+            gains = self.logs[at]
             tokens.append(len(ws))
             known.append(int(np.count_nonzero(gains)))
             base.append(math.fsum(gains.tolist()))
-            found.append(self.find(pieces(x), mine) if b"\0" in x else at)
-        paths = Paths(self.head.layout, self.odds, starts[np.concatenate(found)], 0)
+            found.append(self.find(pieces(x)) if b"\0" in x else at)
+        paths = Paths(self.head.layout, self.odds, self.starts[np.concatenate(found)], 0)
         return score(parts, self.code, self.tables, paths), tokens, known, base
 
 
+def answers(paths: DataFrame, asks: DataFrame) -> DataFrame:
+    """(__chunk, part, answer): counts and paths of the words that chunks of texts ask of a range, in the words' order. Ranges of words
+    and what is asked of them meet in a task, which holds the words of one range at a time."""
+    none = F.lit(None)
+    rows = (paths.where("not base").select("part", F.lit(-1).cast("long").alias("__chunk"), "word", "n", "path")
+            .unionByName(asks.select("part", "__chunk", F.col("words").alias("word"), none.cast("long").alias("n"), none.cast("binary").alias("path"))))
+
+    def run(batches):
+        at, known = None, {}
+        for batch in batches:
+            out = []
+            for part, chunk, word, n, path in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                if part != at:
+                    at, known = part, {}
+                if chunk < 0:
+                    known[word] = n, path
+                else:
+                    counts, found = zip(*map(known.__getitem__, c.opened(word).split(b"\n")))
+                    sizes = np.fromiter((-1 if x is None else len(x) for x in found), np.int32, len(found))
+                    out.append((chunk, part, c.squeezed(b"".join((np.array([len(found)], np.int64), np.array(counts, np.int64), sizes, *filter(None, found))))))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary()))],
+                                                 names=["__chunk", "part", "answer"])
+
+    return rows.repartition("part").sortWithinPartitions("part", "__chunk").mapInArrow(run, "__chunk long, part int, answer binary")
+
+
+def answered(packed: list[bytes]) -> tuple[np.ndarray, list[bytes | None]]:
+    """Counts and paths that were packed in ``answers``."""
+    counts, paths = [np.empty(0, np.int64)], []
+    for data in map(c.opened, packed):
+        n = int.from_bytes(data[:8], "little")
+        counts.append(np.frombuffer(data, np.int64, n, 8))
+        sizes = np.frombuffer(data, np.int32, n, 8 + 8 * n)
+        ends = (np.cumsum(np.maximum(sizes, 0)) + 8 + 12 * n).tolist()
+        paths += [None if size < 0 else data[end - size:end] for size, end in zip(sizes.tolist(), ends)]
+    return np.concatenate(counts), paths
+
+
 def score_texts(docs: DataFrame, learn: Column, keep: list[str], text: str = "text", head: int = 200_000) -> DataFrame:
     """Columns ``keep`` of every row with n_tokens, n_known, train_tokens, base_score and score.
 
     ``learn`` says which rows teach. All their words count, for all columns: counts and paths of the ``head`` most frequent
-    ones travel to the tasks with the bit counters (both of fixed size), those of the rest reach the texts that
-    hold them by a join, so ``head`` has no part in the result. The counters of bytes are taught by all texts, and shared
+    ones travel to the tasks with the bit counters (both of fixed size). Texts ask for those of the rest chunk by chunk: what a chunk asks
+    meets the words range by range, and the answers meet the chunk, so ``head`` has no part in the result. The counters of bytes are taught by all texts, and shared
     by more contexts the larger the corpus is.
     """
     spark = docs.sparkSession
@@ -540,47 +582,56 @@ def score_texts(docs: DataFrame, learn: Column, keep: list[str], text: str = "te
     weight[END] += ends
     code = Code.of(weight)
     most = frequent(words, head).select("word").toArrow()["word"].to_pylist()
-    paths = stored(word_paths(words, code, [b"", *(w for w in most if b"\0" not in w)]), "paths")
+    between = bounds(words, RANGE)
+    paths = stored(word_paths(words, code, [b"", *(w for w in most if b"\0" not in w)], between=between), "paths")
     counted = c.gather(count_bits(docs.where(learn), text, code), 1 << SLOT_BITS, np.int8)
     tables = [counted.get(f"context{k}", np.zeros(1 << SLOT_BITS, np.int8)) for k in range(len(ORDERS))]
-    held = spark.sparkContext.broadcast((Head.of(paths, code), code, tables))
+    held, ranges = (spark.sparkContext.broadcast(x) for x in ((Head.of(paths, code), code, tables), between))
     fall, end_score = math.log10(n + v + 1), math.log10(ends + 1)
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    kept = ", ".join(f"`{k}` {types[k]}" for k in keep)
 
     def ask(batches):
-        number, codec = held.value[0].numbers(), pa.Codec("zstd", compression_level=3)
+        number = held.value[0].numbers()
         for whole in batches:
             for at in range(0, whole.num_rows, c.ROWS):
                 batch = whole.slice(at, c.ROWS)
                 parts = lowered(batch, "__text")
-                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array([codec.compress(x, asbytes=True) for x in parts], pa.binary()),
-                                                  pa.array(map(len, parts), pa.int32()), pa.array([wanted(x, number) for x in parts], pa.list_(pa.binary()))],
-                                                 names=[*keep, "__text", "__size", "__rest"])
+                for a, b in c.slices(parts):
+                    yield chunk(batch.slice(a, b - a), parts[a:b], number)
+
+    def chunk(batch, parts, number):
+        asked = wanted(parts, number)
+        cuts = [0, *(bisect_left(asked, x) for x in ranges.value), len(asked)]
+        asks = [{"part": i, "words": c.squeezed(b"\n".join(asked[a:b]))} for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+        whole = pa.array([0, batch.num_rows], pa.int32())
+        return pa.RecordBatch.from_arrays([*(pa.ListArray.from_arrays(whole, pa.concat_arrays([batch.column(k)])) for k in keep), pa.array([c.squeezed(b"".join(parts))], pa.binary()),
+                                           pa.array([[len(x) for x in parts]], pa.list_(pa.int64())), pa.array([asks], pa.list_(pa.struct([("part", pa.int32()), ("words", pa.binary())])))],
+                                          names=[*keep, "__texts", "__sizes", "__asks"])
 
     def rate(batches):
-        scorer, codec = Scorer(*held.value), pa.Codec("zstd")
+        scorer, found = Scorer(*held.value), []
         for whole in batches:
-            for at in range(0, whole.num_rows, c.ROWS):
-                batch = whole.slice(at, c.ROWS)
-                sizes, brought = batch.column("__size").to_pylist(), batch.column("__found")
-                parts = [codec.decompress(x, n, asbytes=True) if n else b"" for x, n in zip(batch.column("__text").to_pylist(), sizes)]
-                many = pc.fill_null(pc.list_value_length(brought), 0).to_numpy(zero_copy_only=False)
-                until = np.concatenate(([0], np.cumsum(many)))
-                place, *own = brought.flatten().flatten()
-                order = pa.array(np.lexsort((place.to_numpy(zero_copy_only=False), np.repeat(np.arange(len(many)), many))))
-                own = [x.take(order).to_pylist() for x in own]
-                out = [scorer.rate(parts[a:b], *(x[until[a]:until[b]] for x in own)) for a, b in c.slices(parts, WORK)]
+            for at in range(whole.num_rows):
+                batch = whole.slice(at, 1)
+                if batch.column("answer")[0].is_valid:  # a chunk's answers come before its texts
+                    found.append(batch.column("answer")[0].as_py())
+                    continue
+                data, until = c.opened(batch.column("__texts")[0].as_py()), np.cumsum(batch.column("__sizes")[0].as_py()).tolist()
+                parts = [data[a:b] for a, b in zip([0, *until], until)]
+                scorer.take(wanted(parts, scorer.number), *answered(found))
+                found = []
+                out = [scorer.rate(parts[a:b]) for a, b in c.slices(parts, WORK)]
                 bits, tokens, known, base = (np.concatenate(x) for x in zip(*out))
-                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(tokens + 1, pa.int64()), pa.array(known + (ends > 0), pa.int64()),
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).flatten() for k in keep), pa.array(tokens + 1, pa.int64()), pa.array(known + (ends > 0), pa.int64()),
                                                   pa.array(base + end_score - (tokens + 1) * fall, pa.float64()), pa.array(bits, pa.float64())],
                                                  names=[*keep, "n_tokens", "n_known", "base_score", "score"])
 
-    comma = ", " if keep else ""
-    asked = docs.select(*keep, F.col(text).alias("__text")).mapInArrow(ask, f"{kept}{comma}__text binary, __size int, __rest array<binary>")
-    asked = stored(asked.withColumn("__row", F.monotonically_increasing_id()), "asked")
-    found = (asked.select("__row", F.posexplode("__rest").alias("__place", "word")).join(paths.drop("base"), "word")
-             .groupBy("__row").agg(F.collect_list(F.struct("__place", "n", "path")).alias("__found")))
-    rated = asked.drop("__rest").join(found, "__row", "left").select(*keep, "__text", "__size", "__found").mapInArrow(
-        rate, f"{kept}{comma}n_tokens long, n_known long, base_score double, score double")
+    kept, lists = ("".join(f"`{k}` {kind.format(types[k])}, " for k in keep) for kind in ("{}", "array<{}>"))
+    asked = docs.select(*keep, F.col(text).alias("__text")).mapInArrow(ask, f"{lists}__texts binary, __sizes array<long>, __asks array<struct<part: int, words: binary>>")
+    asked = stored(asked.withColumn("__chunk", F.monotonically_increasing_id()), "asked")
+    brought = answers(paths, asked.select("__chunk", F.inline("__asks")))
+    chunks = asked.select("__chunk", F.lit(len(between) + 1).alias("part"), *keep, "__texts", "__sizes").unionByName(brought, allowMissingColumns=True)
+    tasks = max(spark.sparkContext.defaultParallelism, asked.count() // CHUNKS)
+    rated = chunks.repartition(tasks, "__chunk").sortWithinPartitions("__chunk", "part").drop("__chunk", "part").mapInArrow(
+        rate, f"{kept}n_tokens long, n_known long, base_score double, score double")
     return rated.select(*keep, "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -229,7 +229,7 @@ def bounds(words: DataFrame, size: int) -> list[bytes]:
         return []
     every = max(1, total // (TRIED * (total // size + 1)))
     tried = words.where((F.length("word") <= BOUND_BYTES) & (F.length("word") > 0) & (F.pmod(F.xxhash64("word"), F.lit(every)) == 0)).select("word").collect()
-    return sorted({r["word"] for r in sorted(tried)[TRIED::TRIED] if b"\0" not in r["word"]})
+    return sorted({bytes(r["word"]) for r in sorted(tried)[TRIED::TRIED] if b"\0" not in r["word"]})
 
 
 def count_beginnings(words: DataFrame, beginnings: set[bytes]) -> dict[bytes, dict[int, int]]:
@@ -260,11 +260,11 @@ def count_beginnings(words: DataFrame, beginnings: set[bytes]) -> dict[bytes, di
     return out
 
 
-def word_paths(words: DataFrame, code, base: list[bytes] = (), size: int = RANGE) -> DataFrame:
-    """(word, n, path, base: whether it is a word of the base) of all counted words, and of the empty one if it is among them; a word with a zero
-    byte has no path, its pieces have (with n 0 if they are no words)."""
+def word_paths(words: DataFrame, code, base: list[bytes] = (), size: int = RANGE, between: list[bytes] | None = None) -> DataFrame:
+    """(word, n, path, base: whether it is a word of the base, part: number of its range) of all counted words, and of the empty one if it
+    is among them; a word with a zero byte has no path, its pieces have (with n 0 if they are no words). ``between``: the ranges' bounds."""
     spark = words.sparkSession
-    between = [bytes(x) for x in bounds(words, size)]
+    between = bounds(words, size) if between is None else between
     shared = count_beginnings(words, {x[:i] for x in between for i in range(len(x))})
     base = sorted(base)
     held = spark.sparkContext.broadcast((between, shared, Layout(code), base))
@@ -290,15 +290,15 @@ def word_paths(words: DataFrame, code, base: list[bytes] = (), size: int = RANGE
         for batch in batches:
             for p, *row in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 if p != part:
-                    yield from finished(rows, layout, shared, base)
+                    yield from finished(part, rows, layout, shared, base)
                     part, rows = p, []
                 if rows and rows[-1][0] == row[0]:
                     rows[-1] = [row[0], *(a + b for a, b in zip(rows[-1][1:], row[1:]))]
                 else:
                     rows.append(row)
-        yield from finished(rows, layout, shared, base)
+        yield from finished(part, rows, layout, shared, base)
 
-    def finished(rows, layout, shared, base):
+    def finished(part, rows, layout, shared, base):
         whole, own = [r for r in rows if b"\0" not in r[0]], {*base}
         made = pack([r[0] for r in whole], *(np.array([r[k] for r in whole], np.int64) for k in (1, 2)), layout, shared, base) if whole else []
         out = [(r[0], r[3], path, r[0] in own) for r, path in zip(whole, made)]
@@ -306,7 +306,8 @@ def word_paths(words: DataFrame, code, base: list[bytes] = (), size: int = RANGE
         for at in range(0, len(out), ROWS):
             some = out[at:at + ROWS]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], pa.binary()), pa.array([r[1] for r in some], pa.int64()),
-                                              pa.array([r[2] for r in some], pa.binary()), pa.array([r[3] for r in some], pa.bool_())], names=["word", "n", "path", "base"])
+                                              pa.array([r[2] for r in some], pa.binary()), pa.array([r[3] for r in some], pa.bool_()), pa.array([part] * len(some), pa.int32())],
+                                             names=["word", "n", "path", "base", "part"])
 
     dealt = words.select("word", "n").mapInArrow(deal, "part int, word binary, spaces long, zeros long, n long")
-    return dealt.repartition("part").sortWithinPartitions("part", "word").mapInArrow(build, "word binary, n long, path binary, base boolean")
+    return dealt.repartition("part").sortWithinPartitions("part", "word").mapInArrow(build, "word binary, n long, path binary, base boolean, part int")
