@@ -443,6 +443,56 @@ def test_common_tokens_as_sets():
         assert passages._common(x, y).tolist() == want
 
 
+def test_a_repeated_line_does_not_multiply_links(spark, monkeypatch):
+    """Twelve documents hold a line twelve times, or seventy times: 144 or 4,900 links for each seed and two documents."""
+    line, r = prose(60, 10), random.Random(22)
+    docs = [(i, " ".join(f"{line} u{r.randrange(10 ** 9)}" for _ in range(12))) for i in range(12)]
+    docs += [(i, " ".join(f"{prose(61, 10)} u{r.randrange(10 ** 9)}" for _ in range(70))) for i in (20, 21)]
+    rows, whole = [], passages.crowd_links
+    monkeypatch.setattr(passages, "crowd_links", lambda *args: rows.append(whole(*args)) or rows[-1])
+    got = passages.shared(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {(r["other_id"], r["doc_id"]) for r in got} == {(i, j) for i in range(12) for j in range(i + 1, 12)} | {(20, 21)}
+    assert rows[0].where("a < 20").groupBy("a", "b").count().agg(F.max("count")).first()[0] <= 8 * 4  # seeds of a line, ends
+    assert rows[0].where("a = 20").count() <= 8 * 70
+    texts = {i: t.split(" ") for i, t in docs}
+    for r in got:
+        a, b = (texts[r[k]][r[s]:r[s] + r[n]] for k, s, n in (("doc_id", "start", "n_words"), ("other_id", "other_start", "other_words")))
+        assert min(len(a), len(b)) >= 50 and r["n_matched"] >= 0.8 * max(len(a), len(b)) and passages.edit_matches(*(np.array([hash(w) for w in v]) for v in (a, b))) >= r["n_matched"]
+
+
+def test_ends_and_bundles_of_links():
+    rng = np.random.default_rng(23)
+    for _ in range(200):
+        n, m = rng.integers(1, 30, 2)
+        doc, at = np.concatenate((np.sort(rng.integers(0, 4, n)), np.sort(rng.integers(0, 4, m)))), rng.integers(0, 99, n + m)
+        one, two = np.arange(n), np.arange(n, n + m)
+        good = rng.random((n, m)) < rng.choice([0.1, 0.6, 1.0])
+        p, q = passages._outermost(good, doc[one], doc[two])
+        assert good[p, q].all()
+        for a in range(4):
+            for b in range(4):
+                x, y = np.nonzero(good & (doc[one] == a)[:, None] & (doc[two] == b))
+                mine = (doc[one][p] == a) & (doc[two][q] == b)
+                assert len(x) == mine.sum() == 0 or ({x.min(), x.max()} <= set(p[mine]) and {y.min(), y.max()} <= set(q[mine]))
+        links, bundles = [], []
+        passages._bundle(good.copy(), one, two, doc, at, bundles, links)
+        got = [(doc[p], doc[q], at[p], at[q]) for p, q in zip(*links[0])]
+        got += [(doc[p], doc[q], x, y) for p, q, data in bundles for x, y in zip(*passages._unbundled(data))]
+        assert sorted(got) == sorted((doc[p], doc[n + q], at[p], at[n + q]) for p, q in zip(*np.nonzero(good)))
+
+
+def test_words_go_on_as_arrays_do():
+    r = random.Random(24)
+    for _ in range(300):
+        n = r.choice([0, 5, 40, 64, 65, 300])
+        same = np.array([r.random() < r.choice([0.5, 0.97]) for _ in range(n)], bool)
+        x = np.arange(n)
+        y = np.where(same, x, -1)
+        far, met = passages.outward(same)
+        assert passages.Words(x, y, (False,) * 4).outward(0, 0, 1, n) == (far, int(same[:far].sum()), met)
+        assert passages.Words(x[::-1], y[::-1], (False,) * 4).outward(n - 1, n - 1, -1, n) == (far, int(same[:far].sum()), met)
+
+
 def test_thinned_runs_keep_their_ends():
     r = random.Random(14)
     for _ in range(100):
