@@ -460,6 +460,19 @@ def test_a_repeated_line_does_not_multiply_links(spark, monkeypatch):
         assert min(len(a), len(b)) >= 50 and r["n_matched"] >= 0.8 * max(len(a), len(b)) and passages.edit_matches(*(np.array([hash(w) for w in v]) for v in (a, b))) >= r["n_matched"]
 
 
+def test_passages_do_not_depend_on_the_blocks(spark, monkeypatch):
+    """Documents with the same words around some places of a line, so that a link may go to either of two."""
+    line = prose(63, 10)
+    texts = [" ".join([*[f"{line} {prose(64 + i + k % 2, 1)}" for k in range(14)], prose(70 + i, 60)]) for i in range(5)]
+    docs = spark.createDataFrame([(10 * i + j, t if j else t + " more") for i, t in enumerate(texts) for j in range(3)], "doc_id long, text string").cache()
+    found = []
+    for block in (2048, 5):
+        monkeypatch.setattr(passages, "BLOCK", block)
+        monkeypatch.setattr(passages, "STRETCH", 2 * block)
+        found.append(sorted(tuple(r) for r in passages.shared(docs).collect()))
+    assert found[0] and found[0] == found[1]
+
+
 def test_ends_and_bundles_of_links():
     rng = np.random.default_rng(23)
     for _ in range(200):
