@@ -494,6 +494,18 @@ def test_ends_and_bundles_of_links():
         assert sorted(got) == sorted((doc[p], doc[n + q], at[p], at[n + q]) for p, q in zip(*np.nonzero(good)))
 
 
+def test_a_stretch_is_looked_at_once(monkeypatch):
+    """Two seeds on one diagonal, in chains of their own, grow to the same 24 words, too few for a passage."""
+    asked, whole = [], passages.best_window
+    monkeypatch.setattr(passages, "best_window", lambda words, *args: asked.append(args) or whole(words, *args))
+    x, y = np.arange(200, dtype=np.uint32), np.arange(1000, 1200, dtype=np.uint32)
+    y[80:104] = x[80:104]
+    words = passages.Words(x, y, (False,) * 4)
+    found = [passages.align(words, [p], [p], 50) for p in (80, 98)]
+    assert found == [[(80, 104, 80, 104, 24)]] * 2
+    assert len(asked) == len(set(asked)) == 1
+
+
 def test_words_go_on_as_arrays_do():
     r = random.Random(24)
     for _ in range(300):
